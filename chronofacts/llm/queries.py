@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, sentencepiece_scan
+from . import decontaminate, license_scan, sentencepiece_scan, simhash
 from .common import parquet
 
 
@@ -12,6 +12,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(parquet(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.duplicate_report(parquet(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
@@ -20,7 +24,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encoding_report(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op7_decontaminate, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_simhash, op7_decontaminate, op10_sentencepiece)}
 
 _OP7_WORDS = r"""string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"""
 
