@@ -30,6 +30,8 @@ Null gives null ids; an empty text gives none. Repeated rows are encoded each. U
 from __future__ import annotations
 
 import hashlib
+import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +88,9 @@ class Lattice:
                 raise ValueError("a piece holds a space behind another character, or a line feed")
         self.piece = {v.pieces[i]: (v.scores[i], i) for i in text}
         self.longest = max(map(len, self.piece), default=1)
+        #: Every beginning of a piece, so that a search stops where no piece goes on; ``()`` if it is no piece itself.
+        self.trie: dict[str, tuple] = {p[:k]: () for p in self.piece for k in range(1, len(p))}
+        self.trie.update(self.piece)
         self.states = self.longest
         self.byte = [0] * 256
         for i, k in enumerate(v.kinds):
@@ -105,9 +110,12 @@ class Lattice:
 
     def steps(self, s: str, at: int) -> Iterator[tuple[int, int, int]]:
         """(end, score, piece id or -1) of all pieces that begin at ``at``."""
-        piece, single = self.piece, False
-        for end in range(at + 1, min(len(s), at + self.longest) + 1):
-            if found := piece.get(s[at:end]):
+        trie, single = self.trie, False
+        for end in range(at + 1, len(s) + 1):
+            found = trie.get(s[at:end])
+            if found is None:
+                break
+            if found:
                 single = single or end == at + 1
                 yield end, found[0], found[1]
         if not single:
@@ -191,7 +199,7 @@ class Lattice:
 
     def _worth(self, s: str) -> int:
         """Worth of the best path through whole units."""
-        return sum(self.units.worth(u) for u in units(s.replace(MARK, " ").replace(ALIEN, MARK).encode())) if s else 0
+        return sum(n * self.units.worth(u) for u, n in Counter(units(s.replace(MARK, " ").replace(ALIEN, MARK).encode())).items()) if s else 0
 
     def entries(self, chunk: str, ahead: str, left: np.ndarray) -> list[int]:
         """For each state at the right edge, the state at the left edge from which the best path comes; -1 if none does."""
@@ -220,8 +228,8 @@ class Lattice:
         return _packed(head) + b"".join(map(self.units.__getitem__, units(middle) if middle else ())) + _packed(tail)
 
 
-def _packed(ids) -> bytes:
-    return np.array(ids, "<i4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 def _passes(s: str, i: int) -> bool:
@@ -272,21 +280,49 @@ class Units(dict):
             return unit[:-1].decode()
         return " " + unit.decode()
 
+    def _segment(self, unit: bytes) -> tuple[int, list[int]]:
+        """``Lattice.best`` and ``Lattice.path``, written out for short strings: most of the time goes into this loop."""
+        lattice = self.lattice
+        s, find, unknown = lattice.symbols(self.text(unit)), lattice.trie.get, lattice.unknown
+        n = len(s)
+        worth, back = [NEVER] * (n + 1), [(0, -1)] * (n + 1)
+        worth[0] = 0
+        for at in range(n):
+            now, end = worth[at], at + 1
+            found = find(s[at:end])
+            if not found and now + unknown > worth[end]:
+                worth[end], back[end] = now + unknown, (at, -1)
+            while found is not None:
+                if found and now + found[0] > worth[end]:
+                    worth[end], back[end] = now + found[0], (at, found[1])
+                if end == n:
+                    break
+                end += 1
+                found = find(s[at:end])
+        ids: list[int] = []
+        end = n
+        while end:
+            at, piece = back[end]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += lattice.ids_of(s, at, piece)[::-1]
+            end = at
+        return worth[n], ids[::-1]
+
     def __missing__(self, unit: bytes) -> bytes:
-        s = self.lattice.symbols(self.text(unit))
-        worth, back = self.lattice.best(s, {0: 0})
         if len(self) >= CACHE:
             self.clear()
-            self.worths.clear()
-        self.worths[unit] = worth[-1]
-        self[unit] = out = _packed(self.lattice.path(s, back, len(s))[1])
+        self[unit] = out = _packed(self._segment(unit)[1])
         return out
 
     def worth(self, unit: bytes) -> int:
-        if unit not in self.worths:
-            self.pop(unit, None)
-            self[unit]
-        return self.worths[unit]
+        found = self.worths.get(unit)
+        if found is None:
+            if len(self.worths) >= CACHE:
+                self.worths.clear()
+            found = self.worths[unit] = self._segment(unit)[0]
+        return found
 
 
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
