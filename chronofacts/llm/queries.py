@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, sentencepiece_scan, simhash, toxicity
+from . import decontaminate, html_extract, license_scan, sentencepiece_scan, sharding, simhash, toxicity
 from .common import parquet
 
 
@@ -16,6 +16,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicate_report(parquet(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(parquet(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
@@ -24,11 +28,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text_report(parquet(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encoding_report(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_simhash, op6_toxicity, op7_decontaminate, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_simhash, op5_sharding, op6_toxicity, op7_decontaminate, op9_html_extraction, op10_sentencepiece)}
 
 _OP7_WORDS = r"""string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"""
 
