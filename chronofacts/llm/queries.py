@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, sentencepiece_scan, sharding, simhash, toxicity
+from . import decontaminate, html_extract, license_scan, sentencepiece_scan, sharding, simhash, toxicity, url_filter
 from .common import parquet
 
 
@@ -12,6 +12,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(parquet(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(parquet(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicate_report(parquet(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encoding_report(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_simhash, op5_sharding, op6_toxicity, op7_decontaminate, op9_html_extraction, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_url_filter, op4_simhash, op5_sharding, op6_toxicity, op7_decontaminate, op9_html_extraction, op10_sentencepiece)}
 
 _OP7_WORDS = r"""string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"""
 
@@ -60,4 +64,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLE = {"op7_decontaminate": _OP7}
+ORACLE = {"op3_url_filter": url_filter.oracle(), "op7_decontaminate": _OP7}

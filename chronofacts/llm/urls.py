@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_PARTS = r"://([^/?#]*)([^?#]*)"
 
 
 def host(url: Column) -> Column:
