@@ -6,7 +6,7 @@ whole text; each filter's maximum, through a rectifier, enters a logistic layer.
 the smoothed log odds of the words in the training texts; everything is then trained with Adam.
 
 Training rows: those of ``labels`` whose document has ``crc32(doc_id as text) mod 4 <> 2``, of them the
-``SAMPLE`` with the smallest hash of doc_id (a documented bound; scoring covers every document). A quarter of them
+``SAMPLE`` with the smallest hash of doc_id (a documented bound; scoring covers every document; repeated doc_ids may add rows). A quarter of them
 (remainder 3) is kept from training to calibrate: the logit is shifted so that the best F1 falls at a score of
 ``THRESHOLD``; then each language with enough positives gets the threshold of its own best F1. Language enters that
 decision (``rejected``) only, never a score.
@@ -270,10 +270,12 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on labelled rows that are not held out."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    # The sample is drawn from the labels alone; its size is a constant, so it may be broadcast, and no text is shuffled.
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), lang.alias("lang"))
-    rows = texts.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    got = rows.collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.text or b"")))
     return train([words(bytes(r.text)) if r.text else [] for r in got], [int(r.toxic > 0) for r in got], [zlib.crc32(str(r.doc_id).encode()) % 4 == 3 for r in got], [r.lang for r in got])
 
 
