@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, license_scan, sentencepiece_scan, sharding, simhash, toxicity, url_filter
+from . import chat, decontaminate, html_extract, license_scan, sentencepiece_scan, sharding, simhash, topk_search, toxicity, url_filter
 from .common import parquet
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(parquet(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(parquet(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encoding_report(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_url_filter, op4_simhash, op5_sharding, op6_toxicity, op7_decontaminate, op8_chat_format, op9_html_extraction, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_url_filter, op4_simhash, op5_sharding, op6_toxicity, op7_decontaminate, op8_chat_format, op9_html_extraction, op10_sentencepiece)}
 
 _OP7_WORDS = r"""string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"""
 
@@ -89,4 +93,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE = {"op8_chat_format": _OP8, "op3_url_filter": url_filter.oracle(), "op7_decontaminate": _OP7}
+_OP1 = """
+WITH v AS (
+  SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE = {"op1_topk_search": _OP1, "op8_chat_format": _OP8, "op3_url_filter": url_filter.oracle(), "op7_decontaminate": _OP7}
