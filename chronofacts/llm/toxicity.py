@@ -36,7 +36,7 @@ TABLE = 1 << 16
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 #: Distinct words whose filter products a task keeps; positions that it convolves at once.
-CACHE, BLOCK = 400_000, 1 << 16
+CACHE, BLOCK = 200_000, 1 << 16
 _PAD = max(WIDTHS) - 1
 
 
@@ -155,18 +155,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def train(texts: list[list[bytes]], toxic: list[int], calibrate: list[bool], langs: list[str | None], seed: int = 7) -> Model:
-    """A model from tokenised texts. Deterministic for the same rows in the same order."""
+def train(texts: list[bytes], toxic: list[int], calibrate: list[bool], langs: list[str | None], seed: int = 7) -> Model:
+    """A model from UTF-8 texts, tokenised one at a time. Deterministic for the same rows in the same order."""
     y = np.array(toxic, np.float32)
     fit = np.flatnonzero(~np.array(calibrate, bool))
     if len(set(y[fit].tolist())) < 2:
         return _untrained(float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in text), np.int64, len(text)) for text in texts]
-    hashed = np.zeros((len(vocabulary) + 1, 1 + len(STEMS)), np.int64)
-    if vocabulary:
-        hashed[1:] = [features(w) for w in vocabulary]
+    ids = []
+    for text in texts:
+        w = words(text)
+        ids.append(np.fromiter((vocabulary.setdefault(x, len(vocabulary) + 1) for x in w), np.int32, len(w)))
+    hashed = np.zeros((len(vocabulary) + 1, 1 + len(STEMS)), np.int32)
+    for w, i in vocabulary.items():
+        hashed[i] = features(w)
+    del vocabulary
 
     counts = np.zeros((2, TABLE))
     for i in fit:
@@ -185,7 +189,7 @@ def train(texts: list[list[bytes]], toxic: list[int], calibrate: list[bool], lan
     for _ in range(EPOCHS):
         for chosen in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH)):
             step += 1
-            flat = np.concatenate([np.r_[ids[i], np.zeros(pad, np.int64)] for i in chosen])
+            flat = np.concatenate([x for i in chosen for x in (ids[i], np.zeros(pad, np.int32))])
             size = np.array([len(ids[i]) for i in chosen]) + pad
             starts = np.r_[0, np.cumsum(size)[:-1]]
             used, at = np.unique(flat, return_inverse=True)
@@ -252,14 +256,17 @@ def _calibrate(model: Model, texts: list, y: np.ndarray, rows: np.ndarray, langs
         return
     scorer = Scorer(model)
     logit = lambda p: np.log(p) - np.log1p(-p)
-    scores = np.clip(scorer.scores([texts[i] for i in rows]), 1e-12, 1 - 1e-12)
+    def score_all() -> np.ndarray:
+        return np.clip([p for k in range(0, len(rows), 256) for p in scorer.scores([words(texts[i]) for i in rows[k : k + 256]])], 1e-12, 1 - 1e-12)
+
+    scores = score_all()
     model.shift += logit(THRESHOLD) - best_threshold(logit(scores), y[rows])
-    scores = np.array(scorer.scores([texts[i] for i in rows]))
+    scores = score_all()
     names = np.array([str(langs[i]) for i in rows])
     for lang in sorted(set(names.tolist())):
         own = names == lang
         if y[rows][own].sum() >= LANGUAGE_LEAST and len(set(y[rows][own].tolist())) == 2:
-            x = best_threshold(logit(np.clip(scores[own], 1e-12, 1 - 1e-12)), y[rows][own])
+            x = best_threshold(logit(scores[own]), y[rows][own])
             model.thresholds[lang] = model.probability(x)
 
 
@@ -276,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), lang.alias("lang"))
     rows = texts.join(F.broadcast(chosen), "doc_id")
     got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.text or b"")))
-    return train([words(bytes(r.text)) if r.text else [] for r in got], [int(r.toxic > 0) for r in got], [zlib.crc32(str(r.doc_id).encode()) % 4 == 3 for r in got], [r.lang for r in got])
+    return train([bytes(r.text or b"") for r in got], [int(r.toxic > 0) for r in got], [zlib.crc32(str(r.doc_id).encode()) % 4 == 3 for r in got], [r.lang for r in got])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
