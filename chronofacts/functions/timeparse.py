@@ -7,6 +7,8 @@ A parsed time is struct(raw, start, end, granularity, is_interval), null if noth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,65 +60,75 @@ def _part(c: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
 
 
-def _time(raw: Column, start: Column, end: Column, granularity: str | None, interval: bool) -> Column:
-    kind = F.lit(granularity).cast("string")
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(raw.alias("raw"), start.alias("start"), end.alias("end"), kind.alias("granularity"), F.lit(interval).alias("is_interval")))
-
-
-def _single(raw: Column, text: Column, month_first: bool) -> Column:
-    day = r"^(\d{4})-(\d{2})-(\d{2})$"
-    month = r"^(\d{4})-(\d{2})$"
-    year = r"^(\d{4})$"
-    named = r"^([A-Za-z]+)\s+(\d{4})$"
-    day_named = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
-    named_day = r"^([A-Za-z]+)\s+(\d{1,2})\s+(\d{4})$"
-    point = lambda d: _time(raw, d, d, "day", False)
-    span = lambda d, g: _time(raw, d, F.last_day(d) if g == "month" else F.last_day(F.add_months(d, 11)), g, False)
-    branches = [
-        (day, point(_date(_part(text, day, 1), _part(text, day, 2), _part(text, day, 3)))),
-        (month, span(_date(_part(text, month, 1), _part(text, month, 2), "1"), "month")),
-        (year, span(_date(_part(text, year, 1), "1", "1"), "year")),
-        (named, span(_date(_part(text, named, 2), month_number(_part(text, named, 1)), "1"), "month")),
-        (day_named, point(_date(_part(text, day_named, 3), month_number(_part(text, day_named, 2)), _part(text, day_named, 1)))),
-    ]
-    if month_first:
-        branches.append((named_day, point(_date(_part(text, named_day, 3), month_number(_part(text, named_day, 1)), _part(text, named_day, 2)))))
-    out = F.when(text.rlike(branches[0][0]), branches[0][1])
-    for pattern, value in branches[1:]:
-        out = out.when(text.rlike(pattern), value)
-    return out
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written, planned and computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_ISO = r"^(\d{4})(?:-(\d{2}))?(?:-(\d{2}))?$"
+_NAMED = r"^(?:(\d{1,2})\s+)?([A-Za-z]+)\s+(?:(\d{1,2})\s+)?(\d{4})$"
+DAY_TYPE = "struct<start:date,end:date,granularity:string>"
+
+
+def _single(text: Column, month_first: bool) -> Column:
+    """struct(start, end, granularity) of one cleaned time text, or null."""
+    before, after = _part(text, _NAMED, 1), _part(text, _NAMED, 3)
+    usable = before.isNull() | after.isNull() if month_first else after.isNull()
+    parts = F.struct(
+        F.coalesce(_part(text, _ISO, 1), F.when(usable & month_number(_part(text, _NAMED, 2)).isNotNull(), _part(text, _NAMED, 4))).alias("y"),
+        F.coalesce(_part(text, _ISO, 2), month_number(_part(text, _NAMED, 2)).cast("string")).alias("m"),
+        F.coalesce(_part(text, _ISO, 3), before, after).alias("d"),
+    )
+
+    def widened(p: Column) -> Column:
+        first = _date(p["y"], F.coalesce(p["m"], F.lit("1")), F.coalesce(p["d"], F.lit("1")))
+        end = lambda day: F.when(p["d"].isNotNull(), day).when(p["m"].isNotNull(), F.last_day(day)).otherwise(F.last_day(F.add_months(day, 11)))
+        kind = F.when(p["d"].isNotNull(), "day").when(p["m"].isNotNull(), "month").otherwise("year")
+        return let(first, lambda day: F.when(day.isNotNull(), F.struct(day.alias("start"), end(day).alias("end"), kind.alias("granularity"))))
+
+    return let(parts, widened)
+
+
+def _point(raw: Column, single: Column) -> Column:
+    return let(single, lambda t: F.when(t.isNotNull(), F.struct(raw.alias("raw"), t["start"].alias("start"), t["end"].alias("end"), t["granularity"].alias("granularity"), F.lit(False).alias("is_interval"))))
+
+
+def _between(raw: Column, left: Column, right: Column) -> Column:
+    """An interval from the beginning of one single to the end of another; null if either is."""
+    none = F.lit(None).cast("string")
+    return F.when(left.isNotNull() & right.isNotNull(), F.struct(raw.alias("raw"), left["start"].alias("start"), right["end"].alias("end"), none.alias("granularity"), F.lit(True).alias("is_interval")))
 
 
 def parse_single_time(c: Column) -> Column:
     """One date, month or year: ISO forms, ``Apr 2011``, ``27 October 2006``, ``January 1st, 1981``."""
-    return _single(c, clean_time(c), True)
+    return _point(c, let(clean_time(c), lambda t: _single(t, True)))
 
 
 def parse_single_time_strict(c: Column) -> Column:
     """As ``parse_single_time``, without ordinals, commas and ``January 1 1981``."""
-    return _single(c, clean_time_strict(c), False)
+    return _point(c, let(clean_time_strict(c), lambda t: _single(t, False)))
 
 
-_DAYS = rf"^({DAY})\s*-\s*({DAY})$"
-_YEARS = r"^(\d{4})\s*-\s*(\d{4})$"
-_TO = r"(?i)^(.+?)\s+to\s+(.+)$"
-_DASH = r"^(.*?) - (.*)$"
+#: The first that fits splits a text in two.
+_SPLITS = (rf"^({DAY})\s*-\s*({DAY})$", r"^(\d{4})\s*-\s*(\d{4})$", r"(?i)^(.+?)\s+to\s+(.+)$", r"^(.*?) - (.*)$")
+_DAYS, _YEARS, _TO, _DASH = _SPLITS
 
 
-def _interval(raw: Column, text: Column, pattern: str, single) -> Column:
-    return _time(raw, single(_part(text, pattern, 1))["start"], single(_part(text, pattern, 2))["end"], None, True)
+def _normalized(c: Column, clean: Callable[[Column], Column], month_first: bool) -> Column:
+    def side(text: Column, k: int) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for pattern in _SPLITS:
+            out = out.when(text.rlike(pattern), strip(_part(text, pattern, k)))
+        return out.otherwise(text) if k == 1 else out
+
+    # The sides as an array, parsed by one expression.
+    times = let(clean(c), lambda text: F.transform(F.array(side(text, 1), side(text, 2)), lambda x: F.struct(x.isNotNull().alias("given"), _single(x, month_first).alias("t"))))
+    return let(times, lambda ts: F.when(F.get(ts, F.lit(1))["given"], _between(c, F.get(ts, F.lit(0))["t"], F.get(ts, F.lit(1))["t"])).otherwise(_point(c, F.get(ts, F.lit(0))["t"])))
 
 
 def normalize_time(c: Column) -> Column:
     """A point or an interval: ``A-B`` of days or years, ``A to B``, ``A - B``, or one time."""
-    text = clean_time(c)
-    dash = _interval(c, text, _DASH, parse_single_time)
-    return (
-        F.when(text.rlike(_DAYS), _interval(c, text, _DAYS, parse_single_time))
-        .when(text.rlike(_YEARS), _interval(c, text, _YEARS, parse_single_time))
-        .when(text.rlike(_TO), _interval(c, text, _TO, parse_single_time))
-        .otherwise(F.coalesce(F.when(text.rlike(_DASH), dash), _single(c, text, True)))
-    )
+    return _normalized(c, clean_time, True)
 
 
 def time_error(c: Column) -> Column:
@@ -127,14 +139,13 @@ def time_error(c: Column) -> Column:
 
 def normalize_time_strict(c: Column) -> Column:
     """As ``normalize_time`` with the strict single parser; intervals that end before they begin are null."""
-    text = clean_time_strict(c)
-    whole = F.coalesce(*(F.when(text.rlike(p), _interval(c, text, p, parse_single_time_strict)) for p in (_DAYS, _YEARS, _TO, _DASH)))
-    return F.when(whole.isNotNull(), F.when(whole["end"] >= whole["start"], whole)).otherwise(_single(c, text, False))
+    return let(_normalized(c, clean_time_strict, False), lambda t: F.when(t["end"] >= t["start"], t))
 
 
 def explicit_interval(a: Column, b: Column) -> Column:
     """From the beginning of ``a`` to the end of ``b``; null if either is no time (an error for callers that raise)."""
-    return _time(F.concat(a, F.lit(" to "), b), parse_single_time(a)["start"], parse_single_time(b)["end"], None, True)
+    singles = F.transform(F.array(a, b), lambda x: let(clean_time(x), lambda t: _single(t, True)))
+    return let(singles, lambda ts: _between(F.concat(a, F.lit(" to "), b), F.get(ts, F.lit(0)), F.get(ts, F.lit(1))))
 
 
 def coarsen(start: Column, end: Column, granularity: Column) -> tuple[Column, Column]:

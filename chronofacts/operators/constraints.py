@@ -10,36 +10,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.timeparse import explicit_interval, normalize_time
+from ..functions.timeparse import explicit_interval, let, normalize_time
 
 EVIDENCE = 20
 APPROXIMATE = 50
 FIRST_KEEPS = 3
 
 
-def _ok(c: Column, start: Column, end: Column, anchors: Column) -> Column:
-    """Whether a candidate's range meets one constraint: any anchor time will do; no anchor time, no match."""
-    literal = F.coalesce(explicit_interval(c["interval_start"], c["interval_end"]), normalize_time(c["time_text"]))
-    event = F.coalesce(F.try_element_at(anchors, c["anchor_index"]), F.array().cast("array<struct<start:date,end:date>>"))
-    times = F.when(c["anchor_kind"] == "event", event).when(literal.isNotNull(), F.array(F.struct(literal["start"].alias("start"), literal["end"].alias("end")))).otherwise(F.array().cast("array<struct<start:date,end:date>>"))
+_TIMES = "array<struct<start:date,end:date>>"
+
+
+def _literal(c: Column) -> Column:
+    """The one time that a constraint states itself, as an array; empty if there is none."""
+    stated = F.coalesce(explicit_interval(c["interval_start"], c["interval_end"]), normalize_time(c["time_text"]))
+    return let(stated, lambda t: F.when(t.isNotNull(), F.array(F.struct(t["start"].alias("start"), t["end"].alias("end")))).otherwise(F.array().cast(_TIMES)))
+
+
+def _meets(c: Column, times: Column, start: Column, end: Column) -> Column:
+    """Whether a range meets one constraint with any of its anchor times; no anchor time, no match."""
     test = lambda a: F.when(c["offset_days"].isNotNull(), P.offset_matches_any(start, end, a["start"], a["end"], c["relation"], c["offset_days"])).otherwise(P.matches(start, end, a["start"], a["end"], c["relation"], c["granularity"]))
-    return F.coalesce(F.exists(times, lambda a: F.coalesce(test(a), F.lit(False))), F.lit(False))
+    return F.exists(times, lambda a: F.coalesce(test(a), F.lit(False)))
 
 
 def apply_constraints(plans: DataFrame, candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """Candidates with ``passed``: how many constraints in a row, from the first, each has met; -1 without a time.
 
-    Anchor times travel as one map by question, so the theta condition is checked inside a row and no nested-loop join arises.
+    Anchor times travel with their constraint in one array by question, so the theta condition is checked inside a row and no nested-loop join arises.
     """
-    at = normalize_time(F.col("timestamp"))
-    timed = anchors.withColumn("_t", at).where("_t IS NOT NULL").groupBy("qid", "anchor_index").agg(F.collect_set(F.struct(F.col("_t.start").alias("start"), F.col("_t.end").alias("end"))).alias("_times"))
-    maps = timed.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("anchor_index", "_times"))).alias("_anchors"))
-    joined = candidates.join(plans, "qid").join(maps, "qid", "left").withColumn("_t", at)
-    anchors_of = F.coalesce(F.col("_anchors"), F.create_map().cast("map<int,array<struct<start:date,end:date>>>"))
-    oks = F.transform(F.coalesce("constraints", F.array().cast(plans.schema["constraints"].dataType)), lambda c: _ok(c, F.col("_t.start"), F.col("_t.end"), anchors_of))
-    first_miss = F.array_position(F.transform("_oks", lambda x: x.cast("int")), 0)
-    passed = F.when(F.size("constraints") == 0, 0).when(F.col("_t").isNull(), -1).when(first_miss == 0, F.size("_oks")).otherwise(first_miss - 1)
-    return joined.withColumn("_oks", oks).withColumn("passed", passed.cast("int")).drop("_oks", "_anchors")
+    dated = lambda df: df.withColumn("_t", normalize_time(F.col("timestamp")))
+    timed = dated(anchors).where("_t IS NOT NULL").groupBy("qid", "anchor_index").agg(F.collect_set(F.struct(F.col("_t.start").alias("start"), F.col("_t.end").alias("end"))).alias("times"))
+    maps = timed.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("anchor_index", "times"))).alias("_anchors"))
+    some = F.coalesce("constraints", F.array().cast(plans.schema["constraints"].dataType))
+    event = lambda c: F.coalesce(F.try_element_at(F.col("_anchors"), c["anchor_index"]), F.array().cast(_TIMES))
+    tests = F.transform(some, lambda c: F.struct(c.alias("c"), F.when(c["anchor_kind"] == "event", event(c)).otherwise(_literal(c)).alias("times")))
+    ready = plans.join(maps, "qid", "left").withColumn("constraints", some).withColumn("_tests", tests).drop("_anchors")
+    # Parsed times are columns of their own rows before they meet the candidates.
+    joined = dated(candidates).join(ready, "qid")
+    missed = F.array_position(F.transform("_tests", lambda x: _meets(x["c"], x["times"], F.col("_t.start"), F.col("_t.end")).cast("int")), 0)
+    passed = F.when(F.size("_tests") == 0, 0).when(F.col("_t").isNull(), -1).otherwise(let(missed, lambda k: F.when(k == 0, F.size("_tests")).otherwise(k - 1)))
+    return joined.withColumn("passed", passed.cast("int")).drop("_tests")
 
 
 def rank_candidates(candidates: DataFrame, key: str = "qid") -> DataFrame:
@@ -57,7 +66,7 @@ def constrained(plans: DataFrame, candidates: DataFrame, anchors: DataFrame, cap
     tested = apply_constraints(plans, candidates, anchors).where(F.col("passed") == F.size("constraints"))
     same = Window.partitionBy("qid", "head", "relation", "tail", "timestamp").orderBy("pos")
     distinct = tested.withColumn("_n", F.row_number().over(same)).where("_n = 1 OR size(constraints) = 0").drop("_n")
-    plain, ordered = distinct.where("ranking IS NULL").withColumn("time_rank", F.lit(None).cast("int")), rank_candidates(distinct.where("ranking IS NOT NULL"))
+    plain, ordered = distinct.where("ranking.rank IS NULL").withColumn("time_rank", F.lit(None).cast("int")), rank_candidates(distinct.where("ranking.rank IS NOT NULL"))
     order = Window.partitionBy("qid").orderBy(F.col("time_rank").asc_nulls_last(), "pos")
     out = plain.unionByName(ordered).withColumn("evidence_rank", F.row_number().over(order))
     return out.where(F.col("evidence_rank") <= cap).drop("_t")

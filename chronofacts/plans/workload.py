@@ -391,7 +391,7 @@ def duration_ranked(spark: SparkSession, sf: str) -> DataFrame:
 @query("duration_extremes", f""", s AS (SELECT DISTINCT head, tail, "start", "end", {_DAYS} AS days FROM facts WHERE {_SUPPLY}), r AS (SELECT *, rank() OVER (PARTITION BY head ORDER BY days DESC) AS r FROM s) SELECT head, tail, "start", "end", days FROM r WHERE r = 1""")
 def duration_extremes(spark: SparkSession, sf: str) -> DataFrame:
     s, days = longest(spark, sf)
-    return intervals.extremes(s.withColumn("days", days.cast("long")), "head", F.col("days"), "tail")
+    return intervals.extremes(s.withColumn("days", days.cast("long")), "head", F.col("days"), "tail").drop("relation")
 
 
 for _field in ("start", "end"):
