@@ -19,19 +19,22 @@ REVERSED = ("winner",)
 
 
 def exact(patterns: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts of each pattern, with scores of 1 for each slot: one equi join for each set of known slots, so every join hashes on what is known.
+    """Facts of each pattern, with scores of 1 for each slot.
 
-    A pattern without any known slot matches all facts, which is a broadcast of those patterns: their number is the caller's.
+    Four equi joins: patterns with a known head join on it, then those with a known tail, then those with a known relation; what else is known
+    is a condition of the join. A pattern without any known slot matches all facts, which is a broadcast of those patterns: their number is the caller's.
     """
     p = patterns.withColumns({f"q_{s}": F.when(~X.is_unknown(F.col(s)), F.col(s)) for s in SLOTS}).drop(*SLOTS)
     p = p.withColumn("anchor_type", X.anchor_type(*(F.col(f"q_{s}") for s in SLOTS)))
-    mask = sum((F.when(F.col(f"q_{s}").isNotNull(), 1 << k).otherwise(0) for k, s in enumerate(SLOTS)), F.lit(0))
-    branches = []
-    for m in range(8):
-        own = p.where(mask == m)
-        on = [F.col(f"q_{s}") == F.col(s) for k, s in enumerate(SLOTS) if m >> k & 1]
-        branches.append(facts.join(own, reduce(lambda a, b: a & b, on)) if on else facts.join(F.broadcast(own), F.lit(True)))
-    found = reduce(DataFrame.unionByName, branches).drop(*(f"q_{s}" for s in SLOTS))
+    known = lambda s: F.col(f"q_{s}").isNotNull()
+    same = lambda s: F.col(f"q_{s}") == F.col(s)
+    free = lambda s: F.col(f"q_{s}").isNull() | same(s)
+    found = reduce(DataFrame.unionByName, [
+        facts.join(p.where(known("head")), same("head") & free("relation") & free("tail")),
+        facts.join(p.where(~known("head") & known("tail")), same("tail") & free("relation")),
+        facts.join(p.where(~known("head") & ~known("tail") & known("relation")), same("relation")),
+        facts.join(F.broadcast(p.where(~known("head") & ~known("tail") & ~known("relation"))), F.lit(True)),
+    ]).drop(*(f"q_{s}" for s in SLOTS))
     one = F.lit(1.0)
     return found.withColumns({"h_sim": one, "r_sim": one, "t_sim": one, "score_sum": F.lit(3.0)})
 
