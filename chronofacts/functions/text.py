@@ -25,14 +25,13 @@ def slot_text(c: Column) -> Column:
     return strip(F.lower(F.regexp_replace(c, r"[\[\]{}]", "")))
 
 
-@pandas_udf("string")
-def _folded(s: pd.Series) -> pd.Series:
+def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
 
 
 def folded_text(c: Column) -> Column:
     """NFKC, single spaces, case-folded. Spark has neither form; plain ASCII stays in the JVM."""
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(collapse(c))).otherwise(_folded(c))
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(collapse(c))).otherwise(pandas_udf(_fold, "string")(c))
 
 
 def hit_text(c: Column) -> Column:
