@@ -113,10 +113,10 @@ def test_relation_grammar(spark):
 
 
 def test_answers_from_events(spark):
-    events = [("alpha", "held", "one", dt.date(2000, 1, 1), dt.date(2000, 1, 11)), ("bravo", "held", "two", dt.date(2000, 1, 5), dt.date(2000, 1, 25)), ("gamma", "held", "six", dt.date(2001, 1, 1), dt.date(2001, 1, 11))]
+    events = [("alpha", "held", "ivory", dt.date(2000, 1, 1), dt.date(2000, 1, 11)), ("bravo", "held", "amber", dt.date(2000, 1, 5), dt.date(2000, 1, 25)), ("gamma", "held", "olive", dt.date(2001, 1, 1), dt.date(2001, 1, 11))]
     df = spark.createDataFrame([(events,)], f"e array<{programs.EVENT}>")
     cases = [
-        ("union", "", ["2000-01-01 to 2000-01-25", "2001-01-01 to 2001-01-11"]), ("intersection", "", []), ("sum", "", ["40 days"]), ("average", "", ["13 days"]), ("rank_start_time", "event where bravo held two among all", ["2"]),
+        ("union", "", ["2000-01-01 to 2000-01-25", "2001-01-01 to 2001-01-11"]), ("intersection", "", []), ("sum", "", ["40 days"]), ("average", "", ["13 days"]), ("rank_start_time", "event where bravo held amber among all", ["2"]),
         ("duration_compare", "Which one lasted the longest among gamma, bravo, alpha?", ["2"]), ("duration_compare", "Which one lasted the shortest among gamma, bravo, alpha?", ["1", "3"]),
         ("duration_compare", "Which one is the 2nd longest among alpha, bravo, gamma?", ["1"]), ("duration_compare", "Is the duration of alpha longer than that of bravo?", ["shorter"]),
     ]
