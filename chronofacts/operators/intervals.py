@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,67 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, days: int = 366) -
     spread = lambda df, a, b: df.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(a)), bucket(F.col(b)))))
     pairs = spread(left, "l_start", "l_end").join(spread(right, "r_start", "r_end"), [key, "_bucket"])
     return pairs.where((F.col("l_start") <= F.col("r_end")) & (F.col("l_end") >= F.col("r_start")) & (F.col("_bucket") == bucket(F.greatest("l_start", "r_start")))).drop("_bucket")
+
+
+#: For each interval relation of predicates.ALLEN, where the second interval (ys, ye) must lie: ys and ye from a bound on to below another; None is open.
+REGIONS = {
+    "before": lambda xs, xe: (xe + 1, None, None, None),
+    "after": lambda xs, xe: (None, None, None, xs),
+    "equal": lambda xs, xe: (xs, xs + 1, xe, xe + 1),
+    "during": lambda xs, xe: (None, xs + 1, xe, None),
+    "contains": lambda xs, xe: (xs, None, None, xe + 1),
+    "overlaps": lambda xs, xe: (xs + 1, xe + 1, xe + 1, None),
+    "overlapped_by": lambda xs, xe: (None, xs, xs, xe),
+    "starts": lambda xs, xe: (xs, xs + 1, xe, None),
+    "started_by": lambda xs, xe: (xs, xs + 1, None, xe + 1),
+    "finishes": lambda xs, xe: (None, xs + 1, xe, xe + 1),
+    "finished_by": lambda xs, xe: (xs, None, xe, xe + 1),
+    "meets": lambda xs, xe: (xe, xe + 1, None, None),
+    "metby": lambda xs, xe: (None, None, xs, xs + 1),
+}
+
+
+def _below(ranks: np.ndarray, weights: np.ndarray, first: np.ndarray, last: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """For each query, the weight of the places from ``first`` to below ``last`` whose rank is below the limit: a wavelet matrix, one pass for each bit."""
+    out, lo, hi = np.zeros(len(limits), np.int64), first.copy(), last.copy()
+    for bit in range(int(max(limits.max(initial=0), ranks.max(initial=0))).bit_length() - 1, -1, -1):
+        zero = (ranks >> bit & 1) == 0
+        before = np.concatenate(([0], np.cumsum(zero)))
+        sums = np.concatenate(([0], np.cumsum(np.where(zero, weights, 0))))
+        one = (limits >> bit & 1) == 1
+        out += np.where(one, sums[hi] - sums[lo], 0)
+        lo, hi = (np.where(one, before[-1] + x - before[x], before[x]) for x in (lo, hi))
+        ranks, weights = np.concatenate((ranks[zero], ranks[~zero])), np.concatenate((weights[zero], weights[~zero]))
+    return out
+
+
+def relation_counts(facts: DataFrame, key: str, relation: str) -> DataFrame:
+    """(key, start, end, n, matches): a key's different intervals, how many facts have each, and to how many facts of the key (itself too) it stands in the relation.
+
+    The self-join is counted, not made: equal intervals are one row with a count, and each key's intervals are sorted by start, so that the partners
+    of an interval are a range of starts and a range of ends. Time goes with n log n of a key's different intervals, which one task holds.
+    """
+    spans = facts.where(F.col(key).isNotNull()).groupBy(key, "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    region = REGIONS[relation]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("start")  # nulls last
+        days = lambda c: table[c].combine_chunks().cast(pa.int32()).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: E731  null is nan
+        start, end = days("start"), days("end")
+        starts, ends = start[~np.isnan(start)], np.unique(end[~np.isnan(end)])
+        low, high, least, most = bounds = region(start, end)
+        at = lambda known, bound, otherwise: np.full(len(start), otherwise) if bound is None else np.searchsorted(known, bound)
+        # A day that is not asked for may be null: such starts come last, such ends have the highest rank.
+        first, last = at(starts, low, 0), at(starts, high, len(start) if low is None else len(starts))
+        lower, upper = at(ends, least, 0), at(ends, most, len(ends) + 1 if least is None else len(ends))
+        last, upper = np.maximum(first, last), np.maximum(lower, upper)
+        ranks = np.where(np.isnan(end), len(ends), np.searchsorted(ends, end))
+        weights = table["n"].to_numpy()
+        matches = _below(ranks, weights, first, last, upper) - _below(ranks, weights, first, last, lower)
+        for bound in bounds:
+            if bound is not None:
+                matches[np.isnan(bound)] = 0
+        return table.append_column("matches", pa.array(matches))
+
+    fields = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
+    return spans.groupBy(key).applyInArrow(run, ", ".join(f"`{c}` {t}" for c, t in (fields | {"matches": "bigint"}).items()))

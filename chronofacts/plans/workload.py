@@ -250,8 +250,22 @@ def _allen_query(name: str) -> None:
         return s.join(y, "head").where(test).groupBy("head").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("tail").alias("tails"))
 
 
+def _allen_whole_query(name: str) -> None:
+    @query(f"allen_{name}_whole", f"""
+    , s AS (SELECT * FROM facts WHERE relation = 'supplied'),
+    j AS (SELECT x.head, x.tail, x."start" AS xs, x."end" AS xe, y."start" AS ys, y."end" AS ye FROM s x JOIN s y ON x.head = y.head)
+    SELECT head, count(*) AS pairs, count(DISTINCT tail) AS tails FROM j WHERE {_ALLEN_SQL[name]} GROUP BY head""")
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """All supplies of a supplier against all; allen_<name> without _whole has the first five supplies only on its second side, as its SQL states."""
+        s = supplies(spark, sf)
+        met = intervals.relation_counts(s, "head", name).where("matches > 0").drop("n")
+        return s.join(met, ["head", "start", "end"]).groupBy("head").agg(F.sum("matches").alias("pairs"), F.countDistinct("tail").alias("tails"))
+
+
 for _name in _ALLEN_SQL:
     _allen_query(_name)
+for _name in _ALLEN_SQL:
+    _allen_whole_query(_name)
 
 
 @query("overlap_join", """

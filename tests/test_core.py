@@ -149,3 +149,16 @@ def test_top_k_blocks_agree(spark):
 def test_short_ids_and_texts(spark):
     r = spark.range(1).select(X.short_id(F.lit("a"), "ent_"), X.squeezed_text(F.lit(" A b\tC ")), X.canonical_answer(F.lit("1999-01-01 - 2000-01-01")), X.folded_text(F.lit("Straße  Ａ")), X.ordinal(F.lit("2nd"))).first()
     assert tuple(r) == ("ent_hvfkN_qlp_zhXR3c", "abc", "1999-01-01 to 2000-01-01", "strasse a", 2)
+
+
+@pytest.mark.parametrize("name", list(P.ALLEN))
+def test_relation_counts_take_every_pair_of_a_key(spark, name):
+    rnd = random.Random(name)
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(k)
+    rows = [(rnd.choice("ab"), *(day(x) for x in rnd.choices(range(-9, 9), k=2))) for _ in range(60)]  # some end before they start
+    rows += rows[:9] + [("d", day(k), day(k + k % 7)) for k in range(90)] + [("a", None, day(1)), ("a", day(1), None), (None, day(1), day(1)), ("c", day(3), day(3))]
+    df = spark.createDataFrame(rows, "head string, start date, end date")
+    got = {(r.head, r.start, r.end): (r.n, r.matches) for r in intervals.relation_counts(df, "head", name).collect()}
+    side = lambda a: df.select("head", F.col("start").alias(f"{a}s"), F.col("end").alias(f"{a}e"))
+    pairs = side("x").join(side("y"), "head").where(P.ALLEN[name](F.col("xs"), F.col("xe"), F.col("ys"), F.col("ye"))).groupBy("head", "xs", "xe").count().collect()
+    assert {k: n * m for k, (n, m) in got.items() if m} == {(r.head, r.xs, r.xe): r["count"] for r in pairs}
