@@ -544,6 +544,58 @@ def swap_relax_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.swap_cascade(s.where("id % 2 = 0"), s.where("id % 2 = 1")).select("query_id", "id", "branch", "swapped")
 
 
+# The same six, with every row whose id is divisible by 100 as a query, and all supplies
+
+_WHOLE_SCORES = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id, list_inner_product(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)"""
+_WHOLE_RANKS = _WHOLE_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
+
+
+def all_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The query set grows with the table; a null id is no query."""
+    e = table(spark, sf, "embeddings")
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query("vector_topk_whole", _WHOLE_RANKS + " SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def vector_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(similarity.top_k(*all_vectors(spark, sf), 10).withColumn("score", F.round("score", 6)), "rank")
+
+
+@query("vector_threshold_whole", _WHOLE_RANKS + " SELECT query_id, id, rank FROM r WHERE rank <= 64 AND score >= 0.25")
+def vector_threshold_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(similarity.top_k(*all_vectors(spark, sf), 64, 0.25).select("query_id", "id", "rank"), "rank")
+
+
+@query("vector_range_whole", _WHOLE_SCORES + " SELECT query_id, id FROM s WHERE score > 0.3")
+def vector_range_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.within(*all_vectors(spark, sf), 0.3).select("query_id", "id")
+
+
+@query("high_conf_prune_whole", _WHOLE_RANKS + ", k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r WHERE rank <= 64) SELECT query_id, id FROM k WHERE best <= 0.9 OR score >= 0.9")
+def high_conf_prune_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.prune_confident(similarity.top_k(*all_vectors(spark, sf), 64)).select("query_id", "id")
+
+
+@query("similarity_triple_join_whole", _WHOLE_RANKS + """
+, n AS (SELECT query_id AS qid, concat('Supplier#', lpad(CAST(id AS VARCHAR), 9, '0')) AS name, round(score, 6) AS sim FROM r WHERE rank <= 64), facts AS (""" + FACTS + """)
+SELECT qid, head, tail, sim AS h_sim, round(2.0 + sim, 6) AS score_sum FROM facts JOIN n ON head = name WHERE relation = 'supplied'""")
+def similarity_triple_join_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate names from vector search, joined with all supplies."""
+    near = similarity.top_k(*all_vectors(spark, sf), 64)
+    heads = near.select(F.col("query_id").alias("qid"), F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), F.round("score", 6).alias("sim"))
+    found = similarity.similar_triples({"head": heads, "relation": None, "tail": None}, supplies(spark, sf))
+    return found.select("qid", "head", "tail", "h_sim", F.round("score_sum", 6).alias("score_sum"))
+
+
+@query("swap_relax_cascade_whole", _WHOLE_SCORES + """
+, f AS (SELECT query_id, id, score FROM s WHERE id % 2 = 0 AND id <> query_id), b AS (SELECT query_id, id, score FROM s WHERE id % 2 = 1 AND id <> query_id),
+u AS (SELECT *, 0 AS branch FROM f WHERE score >= 0.4 UNION ALL SELECT *, 1 FROM b WHERE score >= 0.4 UNION ALL SELECT *, 2 FROM f WHERE score >= 0.2 UNION ALL SELECT *, 3 FROM b WHERE score >= 0.2)
+SELECT query_id, id, CAST(branch AS INTEGER) AS branch, branch % 2 = 1 AS swapped FROM u QUALIFY branch = min(branch) OVER (PARTITION BY query_id)""")
+def swap_relax_cascade_whole(spark: SparkSession, sf: str) -> DataFrame:
+    s = similarity.scores(*all_vectors(spark, sf)).where("id <> query_id")
+    return similarity.swap_cascade(s.where("id % 2 = 0"), s.where("id % 2 = 1")).select("query_id", "id", "branch", "swapped")
+
+
 # Curation
 
 
