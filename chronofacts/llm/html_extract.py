@@ -2,8 +2,10 @@
 
 Every element's subtree is hashed (tag, class, id, text and inner hashes). Spark counts, for each host, the pages
 that hold a subtree; one that recurs on ``SHARE`` of the host's pages, and on ``LEAST`` pages at least, belongs to the
-site's template and is deleted. What lies inside the page's article is kept even if it recurs, as quotations and
-copied articles do. Then elements that tell by tag, role or class that they are menus, headers, footers, sidebars,
+site's template and is deleted. Blocks inside an article (or ``main``) are counted by different articles, of which ``INSIDE`` are
+needed: copies and near copies of an article count as one, told by the least hash of its three-word runs, so what they share stays.
+Headings, list items, table cells and inline elements inside an article stay, as deleting them breaks up sentences, lists and
+tables; the article itself and what holds it stay too. Then elements that tell by tag, role or class that they are menus, headers, footers, sidebars,
 notices, adverts, forms or reader comments go, scripts and styles too, and the text of the article (the one with the
 most text; else of ``main``, else of the body) is what remains.
 
@@ -28,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name
+from .common import fresh_name, stored
 from .urls import host
 
 SHARE = 0.2
 LEAST = 3
+INSIDE = 10
 BROADCAST = 100_000
 
 #: Element kinds of the public HTML standard.
@@ -59,6 +62,10 @@ NOISE_WORDS = frozenset(
     " comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations outbrain taboola form login".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements inside an article that may be template.
+LOOSE = BLOCK - HEADINGS - frozenset("article main html body hgroup caption figcaption legend summary dd dt li option optgroup tbody td tfoot th thead tr".split())
+#: Tells digests inside an article from those outside.
+_WITHIN = 0x5BD1E9955BD1E995
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -174,12 +181,13 @@ class Page:
         return bool(named & NOISE_WORDS) or (e.tag == "header" and not in_article)
 
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
-        """The main text, without subtrees whose digests are in ``template`` unless they lie inside the article."""
+        """The main text, without subtrees whose digests are in ``template``."""
         gone, inside = [False] * len(self.elements), [False] * len(self.elements)
         for k, e in enumerate(self.elements):
             up = e.parent
             inside[k] = e.tag in ("article", "main") or (up >= 0 and inside[up])
-            gone[k] = (up >= 0 and gone[up]) or (not inside[k] and e.digest in template) or self._is_noise(e, inside[k])
+            known = (e.tag in LOOSE and e.digest ^ _WITHIN in template) if inside[k] else e.digest in template
+            gone[k] = (up >= 0 and gone[up]) or known or self._is_noise(e, inside[k])
         for kind in ("article", "main", "body", "html"):
             if found := [k for k, e in enumerate(self.elements) if e.tag == kind and not gone[k]]:
                 root = max(found, key=lambda k: (self.elements[k].size, -k))
@@ -205,42 +213,67 @@ class Page:
         blocks.append("".join(now))
         return "\n".join(x for x in (_SPACE.sub(" ", b).strip() for b in blocks) if x)
 
-    def digests(self) -> set[int]:
-        """Subtrees with text, but for the article and what is in it, and for what holds the article."""
-        inside, holds = [False] * len(self.elements), set()
+    def _print(self, root: int) -> int:
+        """The least hash of the three-word runs of an element's text."""
+        from xxhash import xxh64_intdigest
+
+        e = self.elements[root]
+        words = " ".join(x or " " for x in self.parts[e.begin : e.end]).split()
+        runs = (" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+        return min(xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs) - (1 << 63)
+
+    def digests(self) -> dict[int, int | None]:
+        """Subtrees with text, but for articles and what holds one: None outside articles, else the print of the outermost article around."""
+        inside, holds, prints = [-1] * len(self.elements), set(), {}
         for k, e in enumerate(self.elements):
-            inside[k] = e.tag in ("article", "main") or (e.parent >= 0 and inside[e.parent])
-            up = k if inside[k] else -1
+            inside[k] = inside[e.parent] if e.parent >= 0 and inside[e.parent] >= 0 else k if e.tag in ("article", "main") else -1
+            up = k if e.tag in ("article", "main") else -1
             while up >= 0 and up not in holds:
                 holds.add(up)
                 up = self.elements[up].parent
-        return {e.digest for k, e in enumerate(self.elements) if e.size and k not in holds and e.tag not in ("html", "body")}
+        out: dict[int, int | None] = {}
+        for k, e in enumerate(self.elements):
+            root = inside[k]
+            if not e.size or k in holds:
+                continue
+            if root < 0:
+                if e.tag not in ("html", "body"):
+                    out[e.digest] = None
+            elif e.tag in LOOSE:
+                if root not in prints:
+                    prints[root] = self._print(root)
+                out[e.digest ^ _WITHIN] = prints[root]
+        return out
 
 
 def _strings(batch: pa.RecordBatch, at: int) -> list[str]:
     return [x or "" for x in batch.column(at).to_pylist()]
 
 
-def recurring(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def recurring(pages: DataFrame, share: float = SHARE, least: int = LEAST, inside: int = INSIDE) -> DataFrame:
     """(host, digest) of the subtrees of each host's template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(Page(x).digests()) for x in _strings(batch, 1)], pa.list_(pa.int64()))], names=["host", "digests"])
+            found = [Page(x).digests() for x in _strings(batch, 1)]
+            lists = [pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["host", "digests", "articles"])
 
-    found = pages.select(host(F.col("url")).alias("host"), F.col("html")).where("host <> ''").mapInArrow(run, "host string, digests array<long>")
+    found = pages.select(host(F.col("url")).alias("host"), F.col("html")).where("host <> ''").mapInArrow(run, "host string, digests array<long>, articles array<long>")
     # A page counts once under a digest of its own, so pages and subtrees are counted in one pass.
-    rows = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("digests"))).alias("digest"))
-    counts = rows.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
-    sites = counts.where("digest IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where(f"digest IS NOT NULL AND n >= {int(least)}")
+    own = F.array(F.struct(F.lit(None).cast("long").alias("digests"), F.lit(None).cast("long").alias("articles")))
+    rows = found.select("host", F.explode(F.concat(own, F.arrays_zip("digests", "articles"))).alias("x")).select("host", F.col("x.digests").alias("digest"), F.col("x.articles").alias("article"))
+    # Pages with one article, or with copies of it, count once.
+    by_article = rows.groupBy("host", "digest", "article").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_article.groupBy("host", "digest").agg(F.sum(F.when(F.col("article").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max(F.col("article").isNotNull()).alias("within"))
+    # Kept once, so that the pages are not parsed for each side of the join.
+    many = stored(counts.where(F.col("digest").isNull() | (F.col("n") >= F.when(F.col("within"), int(inside)).otherwise(int(least)))).select("host", "digest", "n"))
+    sites, often = many.where("digest IS NULL").select("host", F.col("n").alias("pages")), many.where("digest IS NOT NULL")
     return often.join(sites, "host").where(F.col("n") >= F.lit(share) * F.col("pages")).select("host", "digest")
 
 
 def extract(pages: DataFrame, broadcast_rows: int = BROADCAST) -> tuple[DataFrame, str]:
     """``pages`` with the main text as one more column, and that column's name."""
-    from .common import stored
-
     template = stored(recurring(pages))
     site, known, name = fresh_name(pages, "site_host"), fresh_name(pages, "site_digests"), fresh_name(pages, "main_text")
     schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])

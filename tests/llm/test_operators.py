@@ -266,6 +266,25 @@ def test_html(spark):
     assert html_extract.main_text_report(pages.limit(0)).count() == 0
 
 
+def test_html_template_inside_articles(spark):
+    rnd = random.Random(5)
+    words = lambda n: " ".join(rnd.choices([f"w{k}" for k in range(900)], k=n))
+    box = "<p>Read our <em>other</em> stories</p>"
+    copied, quote = words(80), f"<blockquote>{words(9)}</blockquote>"
+    own = [words(60) for _ in range(20)]
+    bodies = [f"<h2>Facts</h2><p>{own[k]} <em>other</em></p>{quote if k < 5 else ''}{box}<ul><li>item {k}</li><li>yes</li></ul>" for k in range(20)]
+    bodies += [f"<p>{copied}</p><p>{words(1)}</p>" for _ in range(20)]  # near copies of one article
+    html = [f"<body><nav>menu</nav><article>{b}</article></body>" for b in bodies]
+    pages = spark.createDataFrame([(k, "https://a.example/x", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    for limit in (100, 0):
+        found, c = html_extract.extract(pages, broadcast_rows=limit)
+        got = {r.page_id: r[c] for r in found.collect()}
+        assert all("stories" not in t for t in got.values())
+        assert all(got[k].startswith(f"Facts\n{own[k]} other") and got[k].endswith("yes") for k in range(20))
+        assert got[0] == html_extract.Page(html[0].replace(box, "")).text()  # a quotation on five pages stays
+        assert all(copied in got[k] for k in range(20, 40))
+
+
 def test_sentencepiece_scan(spark):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
