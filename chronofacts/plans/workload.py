@@ -659,6 +659,16 @@ def balance_levels(spark: SparkSession, sf: str) -> DataFrame:
     return curate.balance_levels(d, "question_level", "question_type", "h", ("en", "fr", "de")).select("doc_id", "question_level", "question_type")
 
 
+@query("balance_levels_whole", """WITH d AS (SELECT doc_id, lang AS question_level, source AS question_type, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents), r AS (SELECT * FROM d WHERE question_level IN ('en', 'fr', 'de')),
+t AS (SELECT min(c) AS target FROM (SELECT count(*) AS c FROM r GROUP BY question_level)), n AS (SELECT *, row_number() OVER (PARTITION BY question_level, question_type ORDER BY h) AS n FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_level ORDER BY n, question_type DESC) AS k FROM n) SELECT doc_id, question_level, question_type FROM o, t WHERE k <= target
+UNION ALL SELECT doc_id, question_level, question_type FROM d WHERE question_level IS NULL OR question_level NOT IN ('en', 'fr', 'de')""")
+def balance_levels_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents: three languages cut to the size of the smallest, the others and those without a language pass."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("question_level"), F.col("source").alias("question_type"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return curate.balance_levels(d, "question_level", "question_type", "h", ("en", "fr", "de")).select("doc_id", "question_level", "question_type")
+
+
 @query("largest_remainder", """WITH n AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), f AS (SELECT *, n * 8 // 10 AS a, n // 10 AS b, n % 10 AS rest FROM n),
 p AS (SELECT lang, source, n, unnest([{'name': 'train', 'f': a, 'r': n * 8 % 10, 't': 0}, {'name': 'validation', 'f': b, 'r': rest, 't': 1}, {'name': 'test', 'f': b, 'r': rest, 't': 2}], recursive := true) FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY r DESC, t) AS k, n - sum(f) OVER (PARTITION BY lang, source) AS spare FROM p) SELECT lang, source, name AS split, CAST(f + CASE WHEN k <= spare THEN 1 ELSE 0 END AS BIGINT) AS n FROM k""")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronofacts.operators import similarity
 from chronofacts.plans import workload
@@ -11,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 duck = oracle.duck
 
 
-@pytest.mark.parametrize("name", ["vector_topk_whole", "similarity_triple_join_whole", "swap_relax_cascade_whole"])
+@pytest.mark.parametrize("name", ["vector_topk_whole", "similarity_triple_join_whole", "swap_relax_cascade_whole", "balance_levels_whole"])
 def test_whole_query(spark, duck, name):
     oracle.test_query(spark, duck, name)
 
@@ -28,3 +29,10 @@ def test_scores_of_many_blocks_are_those_of_one(spark):
     q = v.where("id % 3 = 0").withColumnRenamed("id", "query_id")
     got = {(r.query_id, r.id): r.score for r in similarity.scores(q, v, block=7).collect()}
     assert got == {(a, b): float(np.dot(x, y)) for a, x in rows if a % 3 == 0 for b, y in rows}
+
+
+def test_other_languages_pass_the_balance(spark):
+    other = F.col("lang").isNull() | ~F.col("lang").isin("en", "fr", "de")
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where(other).select("doc_id").collect()}
+    got = {r.doc_id for r in workload.QUERIES["balance_levels_whole"](spark, SF).select("doc_id").collect()}
+    assert ids and ids <= got
