@@ -48,9 +48,11 @@ class Node:
     worst: float = -np.inf
 
 
-def cover_tree(x: np.ndarray, keep: int = 0) -> Node:
+def cover_tree(x: np.ndarray, keep: int = 0, ids: np.ndarray | None = None) -> Node:
     """The tree over the rows of ``x``. Of equal rows, a leaf keeps only the first ``keep``, if that is not 0.
 
+    With ``ids``, it keeps as many more as one id has repeats among the equal rows, so that ``keep`` - 1 are left without any one id.
+
     The children of a node are the cells of a net at half its scale; cells of ``LEAF`` points or fewer share one leaf.
     """
     squares = np.einsum("ij,ij->i", x, x)
@@ -59,7 +61,10 @@ def cover_tree(x: np.ndarray, keep: int = 0) -> Node:
         return np.sqrt(np.maximum(squares[points] + squares[to] - 2 * (x[points] @ x[to]), 0))
 
     def leaf(points: np.ndarray, center: int, radius: float) -> Node:
-        return Node(x[center], float(np.sqrt(squares[center])), radius, np.sort(points)[:keep] if keep and radius == 0 else points)
+        if keep and radius == 0:
+            repeats = 0 if ids is None else int(np.unique(ids[points], return_counts=True)[1].max()) - 1
+            points = np.sort(points)[: keep + repeats]
+        return Node(x[center], float(np.sqrt(squares[center])), radius, points)
 
     def build(points: np.ndarray, far: np.ndarray, center: int) -> Node:
         radius = float(far.max())
@@ -99,7 +104,7 @@ class Search:
         self.best = np.full((len(queries), k), _NONE)
         self.visited = 0
         if len(queries) and len(data):
-            self._visit(cover_tree(queries), cover_tree(data, k + 1))
+            self._visit(cover_tree(queries), cover_tree(data, k + 1, data_ids))
 
     def _compare(self, q: Node, points: np.ndarray) -> None:
         self.visited += len(q.points) * len(points)

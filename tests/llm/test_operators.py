@@ -251,6 +251,13 @@ def test_chat_nulls(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"\nx\nassistant\n\nuser\nz\nuser\nz\n").hexdigest()
 
 
+def test_top_k_among_equal_vectors_with_repeated_query_id():
+    data = np.array([[4.0, 0.0]] * 20)
+    ids = np.array([0] * 6 + list(range(1, 15)))
+    best = topk_search.Search(np.array([[4.0, 0.0]]), np.array([0]), data, ids, 5).best
+    assert (best >> 20 == 16).all()
+
+
 def test_html(spark):
     page = html_extract.Page
     assert page("<div>x<p>a<b>b</p><p>c &lt; d < e &amp;am &nbsp; z<ul><li>1<li>2</ul></div>tail<br>x<script>a</p></script>").text() == "x\nab\nc < d < e &am z\n1\n2\ntail x"
