@@ -1,4 +1,4 @@
-"""The staged question-answering job: decompose, align, constrain, retrieve, answer, evaluate.
+"""The staged question-answering job: decompose, align, constrain, retrieve, answer.
 
 Every stage is a DataFrame step over all questions, written as a table, so a rerun starts after the last complete stage.
 A stage's state travels as columns: ``status`` and ``record`` are maps by stage.
@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import constraints, match
 from ..sources import providers as M
 
 STAGES = ("decompose", "align", "constraint", "answer")
+ABLATIONS = (None, "no_triple", "no_align", "no_constraint")
 
 
 def with_ledger(questions: DataFrame) -> DataFrame:
@@ -41,6 +43,10 @@ class Job:
     ablation: str | None = None
     stages: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        if self.ablation not in ABLATIONS:
+            raise ValueError(f"unknown ablation: {self.ablation}")
+
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The stage's table if it is complete, else made and written."""
         spark, path = self.facts.sparkSession, f"{self.folder}/{name}"
@@ -71,7 +77,9 @@ class Job:
         return note(out, "align", F.when(problem, "WARNING").otherwise("SUCCESS"), F.coalesce("error", F.lit(""))).drop("result", "error", "_text")
 
     def plan(self, rows: DataFrame) -> DataFrame:
-        """Constraints and ranking from the model; questions without a search triple are not asked."""
+        """Constraints and ranking from the model; questions without a search triple are not asked, and none is with ``no_constraint``."""
+        if self.ablation == "no_constraint":
+            return rows.withColumns({f.name: (F.array() if f.name == "constraints" else F.lit(None)).cast(f.dataType) for f in T.StructType.fromDDL(M.SCHEMAS["constrain"]).fields})
         none = rows.where("aligned_search IS NULL")
         got = M.call(rows.where("aligned_search IS NOT NULL").withColumn("_text", F.to_json(F.struct("question", "aligned_anchors", "aligned_search"))), "constrain", "_text", self.provider)
         kinds = {f.name: f.dataType for f in got.schema["result"].dataType.fields}
@@ -102,6 +110,8 @@ class Job:
         out = rows.join(by_search.unionByName(by_anchor), "qid", "left").join(stats, "qid", "left")
         nothing = F.col("evidence").isNull()
         status = F.when(nothing | (F.col("aligned_search").isNotNull() & (F.size("constraints") == 0)), "WARNING").otherwise("SUCCESS")
+        if self.ablation == "no_constraint":
+            return note(out, "constraint", F.when(nothing, "WARNING").otherwise("SKIPPED"), F.lit("no_constraint"))
         return note(out, "constraint", status, F.when(nothing, "no evidence").otherwise(""))
 
     def answer(self, rows: DataFrame) -> DataFrame:

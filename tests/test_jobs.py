@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronofacts.operators import rag
@@ -31,6 +32,21 @@ def test_job(spark, tmp_path):
     assert broken.run(questions).first().predict_answer == ["dan"]  # every stage is read back, none is asked again
 
 
+def test_job_without_constraints(spark, tmp_path):
+    triples = {"anchor_triples": [["eve", "met", "bob"]], "search_triple": ["ann", "met", "?"]}
+    rules = M.Rules({
+        "decompose": lambda q: triples,
+        "align": lambda t: triples | {"problem": False},
+        "constrain": lambda t: {"constraints": [{"anchor_kind": "event", "relation": "after", "anchor_index": 0}], "ranking": None},
+        "answer": lambda t: {"answers": [line.split(" | ")[2] for line in t.split("\n")[1:]], "thought": ""},
+    })
+    questions = spark.createDataFrame([("q1", "Whom did Ann meet after Eve met Bob?")], "qid string, question string")
+    r = Job(str(tmp_path), rules, facts(spark), ablation="no_constraint").run(questions).first()
+    assert r.predict_answer == ["bob", "cid", "dan"] and r.status["constraint"] == "SKIPPED"
+    with pytest.raises(ValueError, match="unknown ablation"):
+        Job(str(tmp_path), rules, facts(spark), ablation="no_such")
+
+
 def test_baselines(spark, tmp_path):
     lines = facts(spark).select(F.monotonically_increasing_id().alias("id"), rag.sentence(F.col("head"), F.col("relation"), F.col("tail"), F.col("timestamp"), F.col("timestamp")).alias("sentence"))
     corpus = rag.build_corpus(lines, M.HashEmbedder(), str(tmp_path / "corpus"))
