@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -19,10 +21,10 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_TABLE).split() if text else []
 
 
-def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+def utf8(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
-    column = batch.column(batch.schema.names.index(name))
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+    column = batch.column(at)
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()).to_pylist()
 
 
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +50,20 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: Bytes of a column that are Python objects at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows of a batch whose column ``at`` (strings or binary) holds about ``SLICE_BYTES``; a larger value stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        behind = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLICE_BYTES, "right"))
+        yield batch.slice(begin, max(1, behind - begin))
+        begin = max(begin + 1, behind)
+
+
 def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """``df`` with one more column: ``make()``, called once in each task, returns what turns a batch of ``source`` (UTF-8 bytes) into values."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
@@ -56,10 +72,9 @@ def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        f = make()
+        f, arrow = make(), to_arrow_type(kind)
         for batch in batches:
-            column = batch.column(at)
-            raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f(raw), to_arrow_type(kind))], names=[*batch.schema.names, name])
+            for part in slices(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(f(utf8(part, at)), arrow)], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)

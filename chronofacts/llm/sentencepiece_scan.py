@@ -15,12 +15,12 @@ Short documents are one chunk. A document of more than ``CHUNK`` characters is c
    these maps are combined from the right and give each chunk its own exit state;
 4. each chunk backtraces on its own.
 
-A matrix row needs ``states`` numbers, so the rows of one document are smaller than its text by a factor of
-``CHUNK`` / ``states``**2 or so, and grouping them by document is bounded by the size of one text.
+Steps 2 and 3 take one row for each chunk: its matrix and its head, the characters up to the first edge that every path passes
+(mostly a word; the whole chunk where it has neither space nor line feed). The rows of one document meet in one task, bounded by the size of one text.
 
 No piece of the vocabulary has a space behind another character and no piece has a line feed (checked on loading);
 so every path passes through the edges before a run of spaces and around a line feed, and the units between are segmented on
-their own, each distinct unit once in a task's bounded cache.
+their own. New units of a batch are segmented together, position by position, in numpy; short ones stay in a cache of ``CACHE_BYTES``.
 
 Text normalisation: a space is put in front, spaces become U+2581, nothing else changes. Characters without a
 piece become their UTF-8 byte pieces, as does U+2581 in a text itself: so decoding gives back every text exactly.
@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import add_column, fresh_name
+from .common import add_column, fresh_name, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are giant.
 CHUNK = 32_768
-#: Distinct units that a task keeps.
-CACHE = 400_000
+#: Bytes of units and ids that a generation of a worker's cache holds, by estimate; there are two. Units over ``CACHED`` characters are not kept.
+CACHE_BYTES, CACHED = 48 << 20, 24
+#: Units that are segmented together; fewer than ``FEW`` are segmented one by one.
+TOGETHER, FEW = 8192, 24
 MARK = "▁"
 #: Stands for U+2581 of a text itself: a lone surrogate, which no text holds.
 ALIEN = "\ud800"
@@ -99,6 +101,7 @@ class Lattice:
         if sum(k == "byte" for k in v.kinds) != 256:
             raise ValueError("the vocabulary lacks byte pieces")
         self.unknown = min((v.scores[i] for i in text), default=0) - UNKNOWN_PENALTY * v.scale
+        self.value, self.is_byte = np.array(v.scores, np.int64), np.array([k == "byte" for k in v.kinds])
         self.units = Units(self)
         self.raw = [b""] * len(v.pieces)
         for i, k in enumerate(v.kinds):
@@ -148,9 +151,22 @@ class Lattice:
             end = at
         return end, [i for ids in reversed(out) for i in ids]
 
+    def strange(self, ids: bytes) -> bool:
+        """Whether byte pieces are among the ids."""
+        return bool(self.is_byte[np.frombuffer(ids, "<i4")].any())
+
+    def worth_of(self, s: str) -> int:
+        return self.best(s, {0: 0})[0][len(s)]
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes | None]:
+        """Ids of whole texts, as little-endian 32-bit integers."""
+        found = [units(_SP + t) if t else [] for t in texts]
+        self.units.learn(found)
+        get = self.units.__getitem__
+        return [None if t is None else b"".join(map(get, f)) for t, f in zip(texts, found)]
+
     def encode(self, text: bytes) -> bytes:
-        """Ids of a whole text, as little-endian 32-bit integers."""
-        return b"".join(map(self.units.__getitem__, units(_SP + text))) if text else b""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:]
@@ -199,20 +215,24 @@ class Lattice:
 
     def _worth(self, s: str) -> int:
         """Worth of the best path through whole units."""
-        return sum(n * self.units.worth(u) for u, n in Counter(units(s.replace(MARK, " ").replace(ALIEN, MARK).encode())).items()) if s else 0
+        if not s:
+            return 0
+        found = Counter(units(s.replace(MARK, " ").replace(ALIEN, MARK).encode()))
+        self.units.learn([list(found)])
+        return sum(n * self.units.worth(u) for u, n in found.items())
+
+    def head(self, chunk: str, ahead: str) -> tuple[str, int]:
+        """What decides where a backtrace enters the chunk: the symbols up to the first position that every path passes, and that position; or the whole chunk with what lies ahead, and 0."""
+        cut = self._cut(chunk)
+        return (chunk[: cut[0]], cut[0]) if cut else (chunk + ahead[: self.states - 1], 0)
 
-    def entries(self, chunk: str, ahead: str, left: np.ndarray) -> list[int]:
-        """For each state at the right edge, the state at the left edge from which the best path comes; -1 if none does."""
-        n, s = len(chunk), chunk + ahead[: self.states - 1]
+    def entries(self, head: str, cut: int, n: int, left: np.ndarray) -> list[int]:
+        """For each state at the right edge of a chunk of ``n`` symbols, the state at the left edge from which the best path comes; -1 if none does."""
         start = {a: int(x) for a, x in enumerate(left) if x > NEVER}
-        cut = self._cut(chunk)
-        if cut is None:
-            worth, back = self.best_until(s, start, n)
-            return [self.path(s, back, n + b)[0] if worth[n + b] > NEVER else -1 for b in range(self.states)]
-        worth, back = self.best(chunk[: cut[0]], start)
-        entry = self.path(chunk, back, cut[0])[0]
-        right = self._exits(self.best_until(s[cut[1] :], {0: 0}, n - cut[1])[0], n - cut[1])
-        return [entry if x > NEVER else -1 for x in right]
+        if cut:
+            return [self.path(head, self.best(head, start)[1], cut)[0]] * self.states
+        worth, back = self.best_until(head, start, n)
+        return [self.path(head, back, n + b)[0] if worth[n + b] > NEVER else -1 for b in range(self.states)]
 
     def backtrace(self, chunk: str, ahead: str, left: np.ndarray, leave: int) -> bytes:
         """Ids of the pieces that begin in the chunk, on the best path that leaves it in state ``leave``."""
@@ -225,7 +245,9 @@ class Lattice:
         head = self.path(chunk, self.best(chunk[:first], start)[1], first)[1]
         tail = self.path(s[last:], self.best_until(s[last:], {0: 0}, n - last)[1], n - last + leave)[1]
         middle = chunk[first:last].replace(MARK, " ").replace(ALIEN, MARK).encode()
-        return _packed(head) + b"".join(map(self.units.__getitem__, units(middle) if middle else ())) + _packed(tail)
+        found = units(middle) if middle else []
+        self.units.learn([found])
+        return _packed(head) + b"".join(map(self.units.__getitem__, found)) + _packed(tail)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -265,11 +287,72 @@ def units(data: bytes) -> list[bytes]:
     return out
 
 
+class Trie:
+    """The beginnings of all pieces, as a hashed table of (node, character) that numpy searches for many units at once."""
+
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, piece: dict[str, tuple[int, int]]) -> None:
+        letters = sorted({c for p in piece for c in p})
+        self.code = np.full(0x110000, len(letters), np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(len(letters))
+        # Units are looked up as they stand in texts: their spaces are marks, and a mark of the text itself is in no piece.
+        self.code[ord(" ")], self.code[ord(MARK)] = self.code[ord(MARK)], len(letters)
+        coded = lambda c: int(self.code[ord(" " if c == MARK else c)])
+        self.width = len(letters) + 1
+        number = {"": 0}
+        for p in piece:
+            for k in range(1, len(p) + 1):
+                number.setdefault(p[:k], len(number))
+        # The last entry stands for no node; what is no piece can never win.
+        self.score, self.id = np.full(len(number) + 1, NEVER, np.int64), np.full(len(number) + 1, -1, np.int32)
+        for p, (score, i) in piece.items():
+            self.score[number[p]], self.id[number[p]] = score, i
+        names = [p for p in number if p]
+        keys = np.array([number[p[:-1]] * self.width + coded(p[-1]) for p in names], np.int64)
+        bits = max(4, (len(names) * 4).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, children, at = keys, np.array([number[p] for p in names], np.int32), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            own = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[own]], self.child[at[own]] = left[own], children[own]
+            stay = np.ones(len(left), bool)
+            stay[own] = False
+            left, children, at = left[stay], children[stay], (at[stay] + 1) & self.mask
+        self.first = self.step(np.zeros(self.width, np.int32), np.arange(self.width))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self._FACTOR) >> self.shift).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The children of nodes by characters; -1 where no piece goes on."""
+        keys = nodes.astype(np.int64) * self.width + codes
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.child[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.child[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class Units(dict):
-    """Unit to its ids; each distinct unit is segmented once, until the cache is full and begins anew."""
+    """Unit to its ids. ``learn`` segments the new units of a batch; those too long to keep live until the next batch.
+
+    The cache has two generations: what is used again moves to the young one, which becomes the old one when it is full.
+    """
 
     def __init__(self, lattice: Lattice) -> None:
-        self.lattice, self.worths = lattice, {}
+        self.lattice, self.trie = lattice, Trie(lattice.piece)
+        self.once: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
 
     def text(self, unit: bytes) -> str:
         if unit == _NL:
@@ -280,10 +363,10 @@ class Units(dict):
             return unit[:-1].decode()
         return " " + unit.decode()
 
-    def _segment(self, unit: bytes) -> tuple[int, list[int]]:
-        """``Lattice.best`` and ``Lattice.path``, written out for short strings: most of the time goes into this loop."""
+    def _alone(self, s: str) -> list[int]:
+        """``Lattice.best`` and ``Lattice.path``, written out for one string of symbols."""
         lattice = self.lattice
-        s, find, unknown = lattice.symbols(self.text(unit)), lattice.trie.get, lattice.unknown
+        find, unknown = lattice.trie.get, lattice.unknown
         n = len(s)
         worth, back = [NEVER] * (n + 1), [(0, -1)] * (n + 1)
         worth[0] = 0
@@ -308,21 +391,105 @@ class Units(dict):
             else:
                 ids += lattice.ids_of(s, at, piece)[::-1]
             end = at
-        return worth[n], ids[::-1]
+        return ids[::-1]
+
+    def _together(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many strings of similar length, how many each has, and which strings need byte pieces."""
+        trie, unknown = self.trie, self.lattice.unknown
+        count, longest = len(sizes), int(sizes.max())
+        table = np.full((longest, count), trie.width - 1, np.int32)  # behind its end a string meets a character that no piece has
+        for k in range(longest):
+            there = np.flatnonzero(sizes > k)
+            table[k, there] = codes[starts[there] + k]
+        worth = np.full((longest + 1, count), NEVER, np.int64)
+        source, piece = np.zeros((longest + 1, count), np.int32), np.full((longest + 1, count), -1, np.int32)
+        worth[0] = 0
+        for at in range(longest):
+            rows, end = np.flatnonzero(sizes > at), at + 1
+            now = worth[at, rows]
+            nodes = trie.first[table[at, rows]]
+            ids = trie.id[nodes]
+            total = now + np.where(ids >= 0, trie.score[nodes], unknown)
+            while True:
+                better = np.flatnonzero(total > worth[end, rows])
+                won = rows[better]
+                worth[end, won], source[end, won], piece[end, won] = total[better], at, ids[better]
+                go = np.flatnonzero(nodes >= 0)
+                if end == longest or not len(go):
+                    break
+                rows, now = rows[go], now[go]
+                nodes = trie.step(nodes[go], table[end, rows])
+                end += 1
+                ids, total = trie.id[nodes], now + trie.score[nodes]
+        out, used, odd = np.zeros((count, longest), np.int32), np.zeros(count, np.int64), np.zeros(count, bool)
+        ends, rows = sizes.copy(), np.flatnonzero(sizes > 0)
+        while len(rows):
+            here = ends[rows]
+            last = piece[here, rows]
+            odd[rows[last < 0]] = True
+            used[rows] += 1
+            out[rows, longest - used[rows]] = last
+            ends[rows] = here = source[here, rows]
+            rows = rows[here > 0]
+        return out[np.arange(longest)[None, :] >= longest - used[:, None]], used, odd
+
+    def learn(self, found: list[list[bytes]]) -> None:
+        """Segment every unit of the lists that is not kept."""
+        self.once = {}
+        if self.size > CACHE_BYTES:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+        new = set().union(*found) - self.keys()
+        again = new & self.old.keys()
+        self._keep(list(again), [self.old[u] for u in again])
+        new -= again
+        odd = [u for u in new if u[:1] == _BARE or u[-1:] == _BARE or u == _NL]
+        new.difference_update(odd)
+        units = odd + list(new)
+        if not units:
+            return
+        if _NL in odd:
+            self._keep([_NL], [_packed(self._alone("\n"))])
+            units.remove(_NL)
+        # Strings stand one behind the other with a line feed between; only the unit of a line feed itself holds one.
+        whole = "".join(self.text(u) + "\n" for u in odd if u != _NL) + (b" " + b"\n ".join(units[len(units) - len(new) :]) + b"\n" if new else b"").decode()
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        ends = np.flatnonzero(points == 10)
+        starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+        sizes, codes = ends - starts, self.trie.code[points]
+        order = np.argsort(sizes, kind="stable")
+        ordered, at = sizes[order], 0
+        while at < len(order):
+            first = int(ordered[at])
+            stop = min(int(np.searchsorted(ordered, first + first // 8, "right")), at + max(1, min(TOGETHER, (1 << 20) // max(1, first))))
+            rows, at = order[at:stop], stop
+            names = [units[r] for r in rows.tolist()]
+            symbols = lambda r: self.lattice.symbols(whole[starts[r] : ends[r]])
+            if len(rows) < FEW:
+                ids = [_packed(self._alone(symbols(r))) for r in rows]
+            else:
+                flat, used, strange = self._together(codes, starts[rows], sizes[rows])
+                data, stops = flat.astype("<i4").tobytes(), np.cumsum(4 * used)
+                ids = [data[a:b] for a, b in zip((stops - 4 * used).tolist(), stops.tolist())]
+                for k in np.flatnonzero(strange):
+                    ids[k] = _packed(self._alone(symbols(rows[k])))
+            if int(ordered[stop - 1]) <= CACHED:
+                self._keep(names, ids)
+            else:
+                self.once.update(zip(names, ids))
+
+    def _keep(self, found: list[bytes], ids: list[bytes]) -> None:
+        self.update(zip(found, ids))
+        self.size += 200 * len(found) + sum(map(len, found)) + sum(map(len, ids))
 
     def __missing__(self, unit: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[unit] = out = _packed(self._segment(unit)[1])
-        return out
+        return self.once[unit]
 
     def worth(self, unit: bytes) -> int:
-        found = self.worths.get(unit)
-        if found is None:
-            if len(self.worths) >= CACHE:
-                self.worths.clear()
-            found = self.worths[unit] = self._segment(unit)[0]
-        return found
+        """Of a unit that has been learnt."""
+        lattice = self.lattice
+        return int(lattice.value[np.frombuffer(self[unit], "<i4")].sum()) if not lattice.strange(self[unit]) else lattice.worth_of(lattice.symbols(self.text(unit)))
 
 
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -372,7 +539,7 @@ def encode_chunked(lattice: Lattice, text: str, size: int) -> bytes:
     start = np.full(lattice.states, NEVER, np.int64)
     start[0] = 0
     left = prefixes([lattice.matrix(c, a) for c, a in parts], start) if parts else []
-    leave = exits([lattice.entries(c, a, p) for (c, a), p in zip(parts, left)])
+    leave = exits([lattice.entries(*lattice.head(c, a), len(c), p) for (c, a), p in zip(parts, left)])
     return b"".join(lattice.backtrace(c, a, p, e) for (c, a), p, e in zip(parts, left, leave))
 
 
@@ -383,80 +550,98 @@ class _Shared:
     """A broadcast vocabulary, made a lattice once in each worker."""
 
     def __init__(self, df: DataFrame, model: str) -> None:
-        self.shared, self.model = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model)), model
+        v = Vocabulary.load(model)
+        self.longest = max((len(p) for p, k in zip(v.pieces, v.kinds) if k == "text"), default=1)
+        self.name = hashlib.sha256(repr((v.pieces, v.scores, v.kinds)).encode()).hexdigest()
+        self.shared = df.sparkSession.sparkContext.broadcast(v)
 
     def lattice(self) -> Lattice:
         global _kept
-        if "_kept" not in globals() or _kept[0] != self.model:
-            _kept = self.model, Lattice(self.shared.value)
+        if "_kept" not in globals() or _kept[0] != self.name:
+            _kept = self.name, Lattice(self.shared.value)
         return _kept[1]
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> tuple[DataFrame, str]:
-    """``docs`` with one more column, and its name: the ids as binary, little-endian 32-bit integers each."""
-    shared, name = _Shared(docs, model), fresh_name(docs, "piece_ids")
+#: What becomes of a text: its lattice, UTF-8 bytes and ids give a value of the column.
+Finish = Callable[[Lattice, bytes, bytes], object]
+
+
+def _column(docs: DataFrame, text: str, base: str, kind: T.DataType, finish: Finish, model: str, chunk: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column: ``finish`` of every text that is not null. Short texts take one Python pass and no shuffle."""
+    shared, name = _Shared(docs, model), fresh_name(docs, base)
 
     def make():
         lattice = shared.lattice()
-        return lambda texts: [None if t is None else lattice.encode(t) for t in texts]
+        return lambda texts: [None if t is None else finish(lattice, t, i) for t, i in zip(texts, lattice.encode_all(texts))]
 
     giant = F.coalesce(F.length(F.col(text)) > chunk, F.lit(False))
-    short = add_column(docs.where(~giant), name, T.BinaryType(), text, make)
-    return short.unionByName(_encode_giants(docs.where(giant), text, name, shared, chunk)), name
+    short = add_column(docs.where(~giant), name, kind, text, make)
+    giants, key = docs.where(giant), fresh_name(docs, "text_digest")
+    found = _giants(giants.select(F.col(text).alias("text")), kind, finish, shared, chunk).withColumnsRenamed({"digest": key, "found": name})
+    return short.unionByName(giants.withColumn(key, F.sha2(F.col(text), 256)).join(found, key).select(*docs.columns, name)), name
 
 
-def _encode_giants(docs: DataFrame, text: str, name: str, shared: _Shared, size: int) -> DataFrame:
-    """The distributed scan. Rows with equal texts share one encoding: the key is the text's 256-bit digest and length."""
-    digest, at, body, behind = "digest", "at", "body", "behind"
-    # Every chunk row carries what of the next chunk a piece can reach into.
-    whole = F.concat(F.lit(" "), F.col(text))
+def _giants(docs: DataFrame, kind: T.DataType, finish: Finish, shared: _Shared, size: int) -> DataFrame:
+    """(digest, found): the distributed scan over each distinct text, told by its 256-bit digest. Texts are shuffled once, then read from the stored table."""
+    texts = stored(docs.select(F.sha2("text", 256).alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text")))
+    whole = F.concat(F.lit(" "), F.col("text"))
     n = F.ceil(F.length(whole) / F.lit(size)).cast("int")
-    reach = 64
-    texts = docs.select(F.sha2(F.col(text), 256).alias(digest), F.col(text).alias("t")).groupBy(digest).agg(F.first("t").alias(text))
-    chunks = texts.select(digest, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.substring(whole, i * size + 1, F.lit(size)).alias(body), F.substring(whole, (i + 1) * size + 1, F.lit(reach)).alias(behind)))).alias(at, "part")).select(digest, at, f"part.{body}", f"part.{behind}")
-
-    def typed(field: str, kind: T.DataType) -> T.StructType:
-        return T.StructType([T.StructField(digest, T.StringType()), T.StructField(at, T.IntegerType()), T.StructField(field, kind)])
+    # Every chunk row carries what of the next chunk a piece can reach into.
+    part = lambda i: F.struct(F.substring(whole, i * size + 1, F.lit(size)).alias("body"), F.substring(whole, (i + 1) * size + 1, F.lit(shared.longest)).alias("ahead"))
 
-    def rows(df: DataFrame, field: str, kind: T.DataType, f) -> DataFrame:
-        """``df`` through ``f(lattice, row)``, which returns the value behind digest and at."""
-        schema = typed(field, kind)
+    def rows(df: DataFrame, schema: str, f: Callable[[Lattice, dict], dict]) -> DataFrame:
+        """Rows one by one through ``f``, a chunk in memory at a time."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = shared.lattice()
             for batch in batches:
-                yield pa.RecordBatch.from_pylist([{digest: r[digest], at: r[at], field: f(lattice, r)} for r in batch.to_pylist()], to_arrow_schema(schema))
+                for k in range(batch.num_rows):
+                    yield pa.RecordBatch.from_pylist([f(lattice, batch.slice(k, 1).to_pylist()[0])], schema=kinds)
 
+        kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
         return df.mapInArrow(run, schema)
 
-    def symbols(lattice: Lattice, r: dict) -> tuple[str, str]:
-        return lattice.symbols(r[body]), lattice.symbols(r[behind])
+    def matrix(lattice: Lattice, r: dict) -> dict:
+        body, ahead = lattice.symbols(r["body"]), lattice.symbols(r["ahead"])
+        head, cut = lattice.head(body, ahead)
+        return {"digest": r["digest"], "at": r["at"], "m": lattice.matrix(body, ahead).astype("<i8").tobytes(), "head": head.encode("utf-8", "surrogatepass"), "cut": cut, "n": len(body)}
 
-    def scanned(df: DataFrame, field: str, kind: T.DataType, f) -> DataFrame:
-        """All rows of a text, in order, through ``f``: a value for each. They hold a matrix or a map for each chunk, far less than the text."""
-        schema = typed(field, kind)
+    def edges(table: pa.Table) -> pa.Table:
+        """All chunks of one text, in order: the worths at each left edge, and the state in which the best path leaves each chunk."""
+        lattice, got = shared.lattice(), sorted(table.to_pylist(), key=lambda r: r["at"])
+        k, start = lattice.states, np.full(lattice.states, NEVER, np.int64)
+        start[0] = 0
+        left = prefixes([np.frombuffer(r["m"], "<i8").reshape(k, k) for r in got], start)
+        leave = exits([lattice.entries(r["head"].decode("utf-8", "surrogatepass"), r["cut"], r["n"], x) for r, x in zip(got, left)])
+        return pa.table({"key": [got[0]["digest"]], "edges": pa.array([[{"left": x.astype("<i8").tobytes(), "leave": e} for x, e in zip(left, leave)]], edge_kind)})
 
-        def run(table: pa.Table) -> pa.Table:
-            got = sorted(table.to_pylist(), key=lambda r: r[at])
-            return pa.Table.from_pylist([{digest: r[digest], at: r[at], field: x} for r, x in zip(got, f(shared.lattice(), got))], to_arrow_schema(schema))
+    edge_kind = pa.list_(pa.struct([("left", pa.binary()), ("leave", pa.int32())]))
+    chunks = texts.select("digest", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), part)).alias("at", "c")).select("digest", "at", "c.body", "c.ahead")
+    matrices = rows(chunks, "digest string, at int, m binary, head binary, cut int, n int", matrix)
+    known = matrices.groupBy("digest").applyInArrow(edges, "key string, edges array<struct<left: binary, leave: int>>")
+    # The edges of a text join its one row; only then is it cut into chunks again.
+    again = texts.join(known, texts["digest"] == known["key"])
+    again = again.select("digest", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(part(i).alias("c"), F.get("edges", i).alias("e")))).alias("at", "x")).select("digest", "at", "x.c.body", "x.c.ahead", "x.e.left", "x.e.leave")
 
-        return df.groupBy(digest).applyInArrow(run, schema)
+    def backtrace(lattice: Lattice, r: dict) -> dict:
+        ids = lattice.backtrace(lattice.symbols(r["body"]), lattice.symbols(r["ahead"]), np.frombuffer(r["left"], "<i8"), r["leave"])
+        return {"digest": r["digest"], "at": r["at"], "text": r["body"], "ids": ids}
 
-    def left_edges(lattice: Lattice, got: list[dict]) -> list[bytes]:
-        start = np.full(lattice.states, NEVER, np.int64)
-        start[0] = 0
-        k = lattice.states
-        return [p.astype("<i8").tobytes() for p in prefixes([np.frombuffer(r["m"], "<i8").reshape(k, k) for r in got], start)]
+    traced = rows(again, "digest string, at int, text string, ids binary", backtrace)
+    value = to_arrow_schema(T.StructType([T.StructField("found", kind)])).field("found").type
+
+    def join(table: pa.Table) -> pa.Table:
+        got = table.sort_by("at")
+        text, ids = "".join(got["text"].to_pylist())[1:].encode(), b"".join(got["ids"].to_pylist())
+        return pa.table({"digest": [got["digest"][0].as_py()], "found": pa.array([finish(shared.lattice(), text, ids)], value)})
 
-    edges = scanned(rows(chunks, "m", T.BinaryType(), lambda x, r: x.matrix(*symbols(x, r)).astype("<i8").tobytes()), "edge", T.BinaryType(), left_edges)
-    with_edge = chunks.join(edges, [digest, at])
-    edge = lambda r: np.frombuffer(r["edge"], "<i8")
-    leave = scanned(rows(with_edge, "entry", T.ArrayType(T.IntegerType()), lambda x, r: x.entries(*symbols(x, r), edge(r))), "leave", T.IntegerType(), lambda _, got: exits([r["entry"] for r in got]))
-    ids = rows(with_edge.join(leave, [digest, at]), "ids", T.BinaryType(), lambda x, r: x.backtrace(*symbols(x, r), edge(r), r["leave"]))
-    joined = scanned(ids, "ids", T.BinaryType(), lambda _, got: [b"".join(r["ids"] for r in got), *[None] * (len(got) - 1)]).where(F.col(at) == 0)
-    key = fresh_name(docs, "text_digest")
-    keyed = joined.select(F.col(digest).alias(key), F.col("ids").alias(name))
-    return docs.withColumn(key, F.sha2(F.col(text), 256)).join(keyed, key).drop(key)
+    schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("found", kind)])
+    return traced.groupBy("digest").applyInArrow(join, schema)
+
+
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: the ids as binary, little-endian 32-bit integers each."""
+    return _column(docs, text, "piece_ids", T.BinaryType(), lambda lattice, t, ids: ids, model, chunk)
 
 
 def decode(encoded: DataFrame, ids: str, model: str = MODEL) -> tuple[DataFrame, str]:
@@ -470,22 +655,19 @@ def decode(encoded: DataFrame, ids: str, model: str = MODEL) -> tuple[DataFrame,
     return add_column(encoded, name, T.StringType(), ids, make), name
 
 
-_DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-
+_DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("text_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-def encoding_report(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), text_sha256, decoded_sha256 and round_trip (null for a null text)."""
-    found, c = encode(docs.select("doc_id", F.col("text")), model=model, chunk=chunk)
-    shared = _Shared(docs, model)
 
-    def make():
-        lattice = shared.lattice()
+def _digest(lattice: Lattice, text: bytes, ids: bytes) -> dict:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return {"n_tokens": len(ids) // 4, "ids_sha256": sha(ids), "text_sha256": sha(text), "decoded_sha256": sha(lattice.decode(np.frombuffer(ids, "<i4")))}
 
-        def run(rows: list[bytes | None]) -> list[dict | None]:
-            return [None if r is None else {"n_tokens": len(r) // 4, "ids_sha256": hashlib.sha256(r).hexdigest(), "decoded_sha256": hashlib.sha256(lattice.decode(np.frombuffer(r, "<i4"))).hexdigest()} for r in rows]
 
-        return run
+def encoding_report(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), text_sha256, decoded_sha256 and round_trip (null for a null text).
 
-    narrow = found.select("doc_id", F.sha2(F.col("text"), 256).alias("text_sha256"), F.col(c).alias("ids"))
-    out = add_column(narrow, "d", _DIGEST, "ids", make)
-    return out.select("doc_id", "d.n_tokens", "d.ids_sha256", "text_sha256", "d.decoded_sha256", (F.col("d.decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+    Encoding, decoding and digests share one Python pass, so no ids leave the worker of a short text.
+    """
+    found, c = _column(docs.select("doc_id", "text"), "text", "digests", _DIGEST, _digest, model, chunk)
+    d = F.col(c)
+    return found.select("doc_id", d["n_tokens"].alias("n_tokens"), d["ids_sha256"].alias("ids_sha256"), d["text_sha256"].alias("text_sha256"), d["decoded_sha256"].alias("decoded_sha256"), (d["decoded_sha256"] == d["text_sha256"]).alias("round_trip"))
