@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,48 @@ def test_html_template_inside_articles(spark):
         assert all(copied in got[k] for k in range(20, 40))
 
 
+def test_html_keeps_main_text_and_time_in_proportion():
+    page = html_extract.Page
+    kept = '<body><article><header class="post-header"><h1>T</h1></header><p>a</p><div class="foot-note">n</div><section class="discussion"><p>d</p></section><math>x+y</math></article><article><p>second</p></article><div class="ad">x</div></body>'
+    assert page(kept).text() == "T\na\nn\nd\nx+y\nsecond"
+    assert page('<article><p>one <a href="x>two</a> three</p></article>').text() == "one two three"
+    assert page("<article><p>text<p>more <b").text() == "text\nmore"
+    for bad in ("<a ", '<a x="', "</a ", "<a x='>", "<script></script ", "<!", "<p><b></p>", "<p><button><b>", "<b></x>"):
+        began = time.perf_counter()
+        page(bad * 20_000).text()
+        assert time.perf_counter() - began < 4, bad
+
+
+def test_html_template_against_plain_counts(spark):
+    """The template from Spark equals that of a plain loop, and decides the text of pages whose menus tell by nothing else."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(60):
+        chrome = f"<div><p>bar {k % 4} of the site</p></div>"
+        own = " ".join(rnd.choices([f"w{x}" for x in range(900)], k=40))
+        rows.append((k, f"https://{'ab'[k % 2]}.example/{k}", f"<body>{chrome}<article><p>{own} {k}</p></article><div>tail {k}</div></body>" if k % 10 else None))
+    rows += [(100 + k, "https://a.example/x", rows[1][2]) for k in range(5)] + [(200, None, rows[1][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen, sites = {}, Counter()
+    for _, url, html in rows:
+        if url:
+            site = url.split("/")[2]
+            sites[site] += 1
+            mark, found = html_extract.Page(html or "").digests()
+            for d, kind in found.items():
+                seen.setdefault((site, d, kind), set()).add(mark)
+    least = {html_extract.OUTSIDE: 3, html_extract.WITHIN: 10, html_extract.BARE: 3}
+    want = {(site, d) for (site, d, kind), s in seen.items() if len(s) >= least[kind] and (kind == html_extract.OUTSIDE or len(s) >= 0.2 * sites[site])}
+    assert {tuple(r) for r in html_extract.recurring(html_extract.subtrees(pages)).collect()} == want != set()
+    for page_id, url, html in rows:
+        if url and html:
+            page = html_extract.Page(html)
+            known = {d for site, d in want if site == url.split("/")[2]}
+            assert "bar" in page.text(rules=False) and ("bar" in page.text(known, rules=False)) == (page_id >= 100)  # copies of one page count once
+    a, b = ({r.page_id: r.main_text for r in html_extract.extract(pages, broadcast_rows=n)[0].collect()} for n in (1000, 0))
+    assert a == b
+
+
 def test_sentencepiece_scan(spark):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
