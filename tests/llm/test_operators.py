@@ -255,8 +255,51 @@ def test_chat_nulls(spark):
 def test_top_k_among_equal_vectors_with_repeated_query_id():
     data = np.array([[4.0, 0.0]] * 20)
     ids = np.array([0] * 6 + list(range(1, 15)))
-    best = topk_search.Search(np.array([[4.0, 0.0]]), np.array([0]), data, ids, 5).best
-    assert (best >> 20 == 16).all()
+    s = topk_search.Search(np.array([[4.0, 0.0]]), np.array([0]), data, ids, 5)
+    assert s.scores[0].tolist() == [16] * 5 and sorted(ids[s.found[0]]) == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e3, 4e5, 1e12])
+def test_topk_is_exact_for_large_components(spark, spread):
+    """In floating point, in 64 bits, and beyond."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, spread, (400, 12)) * 1024) / 1024
+    if spread == 1e12:  # far apart in size, so that scores fit in a long
+        x[:, 1:] /= 1e12
+        x[::2, 0] = 0.0
+        x[1::2, 0] /= 1e8
+    rows = [(k, x[k % 350].tolist()) for k in range(400)]
+    got = sorted(tuple(r) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).collect())
+    whole = [[int(np.floor(c * 1024)) for c in v] for _, v in rows]
+    want = []
+    for q in range(0, 400, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_topk_rounds_skip_cells_of_clustered_data(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "DATA_BLOCK", 40)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 12)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 8) * 60 + rng.normal(0, 0.2, (100, 8)) for _ in range(8)])
+    rows = [(k, v.tolist()) for k, v in enumerate(x[rng.permutation(800)])] + [(5, x[0].tolist())] * 300
+    sent = []
+    whole_round = topk_search._round
+
+    def watched(routed, asking, cells, blocks, visit, *rest):
+        sent.append((sum(map(len, visit.values())), len(cells) * len(blocks)))
+        return whole_round(routed, asking, cells, blocks, visit, *rest)
+
+    monkeypatch.setattr(topk_search, "_round", watched)
+    got = sorted(tuple(r) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect())
+    whole = [(i, [int(np.floor(c * 1024)) for c in v]) for i, v in rows]
+    want = []
+    for q, v in whole[:800:10]:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert sum(s for s, _ in sent) < 0.6 * sent[0][1]
 
 
 def test_html(spark):
