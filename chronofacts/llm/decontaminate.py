@@ -1,96 +1,126 @@
 """Benchmark decontamination: Wu-Manber multi-pattern search over words.
 
 Every item gives patterns: its windows of ``window`` consecutive words, or all its words if it has fewer.
-The symbols are words, the blocks are word pairs. A shift table tells how far a block lets the search jump;
-a block with shift 0 leads, through its hash bucket and the pattern's first block, to the few patterns that are compared directly.
+The symbols are words, numbered by the benchmark's own vocabulary; the blocks are word pairs. A hashed shift table tells how far a block lets
+the search jump; a block with shift 0 leads, through its hash bucket and the pattern's first block, to the few patterns that are compared directly.
+A pattern is a place in one array of word numbers, so a table takes some 10 bytes for each byte of benchmark text, and each Python worker builds it once.
+
+A benchmark of up to ``BLOCK_BYTES`` is one table; one of up to ``BLOCKS`` such blocks is searched block after block in one pass over the documents.
+A larger one is neither collected nor broadcast: windows of documents and benchmark are joined as words, dealt over ``SALTS`` tasks each.
 
 Nulls: a null text has no words; a null item_id stands as ``null`` in the list of items. Empty items give no pattern.
-Repeated documents are judged row by row, repeated items share patterns. An empty benchmark hits nothing.
+Repeated documents are judged row by row, repeated items count once. An empty benchmark hits nothing, empty documents give an empty result.
+Added columns get names that no column of the documents has.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, fresh_name, words
+from .common import add_column, fresh_name, slices, utf8, words
 
 WINDOW = 10
-#: Text bytes of one block of benchmark items. A larger benchmark is searched block after block in the same pass over the documents.
-BLOCK_BYTES = 32 << 20
+#: Text bytes of one block of benchmark items, and blocks that are searched in one pass.
+BLOCK_BYTES, BLOCKS = 8 << 20, 4
+SALTS = 16
 
-Pattern = tuple[bytes, ...]
+#: Multipliers of a pair's hash; a table's index is some of the upper bits.
+_A, _B, _DOWN = 0x9E3779B1, 0x85EBCA77, 11
 
 
 class WuManber:
-    """Search for patterns (tuples of words) that all have ``least`` words or more."""
-
-    def __init__(self, patterns: dict[Pattern, set[str]]) -> None:
-        self.least = least = min(map(len, patterns))
-        self.block = block = min(2, least)
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(lambda: defaultdict(list))
-        for pattern, items in patterns.items():
-            for end in range(block, least + 1):
-                key = pattern[end - block : end]
-                self.shift[key] = min(self.shift.get(key, least), least - end)
-            self.buckets[pattern[least - block : least]][pattern[:block]].append((pattern, items))
-        self.buckets = {k: dict(v) for k, v in self.buckets.items()}
-        self.farthest = least - block + 1
-
-    def find(self, text: list[bytes]) -> Iterator[tuple[int, int, set[str]]]:
-        """(first word, word behind the last, items) of every occurrence, by the end of its first ``least`` words."""
-        least, block, farthest, shift, n = self.least, self.block, self.farthest, self.shift.get, len(text)
-        end = least
-        if block == 2:
-            while end <= n:
-                jump = shift((text[end - 2], text[end - 1]), farthest)
-                if jump:
-                    end += jump
-                    continue
-                yield from self._compare(text, end)
-                end += 1
-        else:
-            for end in range(1, n + 1):
-                if (text[end - 1],) in self.buckets:
-                    yield from self._compare(text, end)
-
-    def _compare(self, text: list[bytes], end: int) -> Iterator[tuple[int, int, set[str]]]:
-        start = end - self.least
-        bucket = self.buckets.get(tuple(text[end - self.block : end]), {})
-        for pattern, items in bucket.get(tuple(text[start : start + self.block]), ()):
-            if tuple(text[start : start + len(pattern)]) == pattern:
-                yield start, start + len(pattern), items
+    """Search for the patterns of ``length`` words that begin at ``starts`` in ``flat`` (word numbers); ``items`` are their items' numbers."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, items: np.ndarray, length: int, number: dict[bytes, int]) -> None:
+        self.length, self.block, self.flat, self.number = length, min(2, length), flat, number
+        bits = min(20, max(8, (4 * len(starts)).bit_length()))
+        self.mask = (1 << bits) - 1
+        table = np.full(1 << bits, min(255, length - self.block + 1), np.uint8)
+        for end in range(self.block, length + 1):  # shifts grow smaller, so the least stays
+            table[self._hash(flat[starts + max(0, end - 2)], flat[starts + end - 1])] = min(255, length - end)
+        self.shift = table.tobytes()
+        bucket = self._hash(flat[starts + max(0, length - 2)], flat[starts + length - 1])
+        first = self._pair(flat[starts], flat[starts + self.block - 1])
+        order = np.lexsort((first, bucket))
+        self.starts, self.items, self.first = starts[order].astype(np.int32), items[order], first[order]
+        self.begin = np.searchsorted(bucket[order], np.arange((1 << bits) + 1)).astype(np.int32)
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.int64) << 32) | b
+
+    def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a.astype(np.int64) * _A + b.astype(np.int64) * _B) >> _DOWN) & self.mask
+
+    def find(self, text: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(first word, item's number) of every occurrence, in the order of places."""
+        length, shift, get, mask, n = self.length, self.shift, self.number.get, self.mask, len(text)
+        farthest, back = length - self.block + 1, min(2, length)
+        end = length
+        while end <= n:
+            b = get(text[end - 1], -1)
+            a = get(text[end - back], -1)
+            if a < 0 or b < 0:
+                end += farthest
+                continue
+            h = ((a * _A + b * _B) >> _DOWN) & mask
+            jump = shift[h]
+            if jump:
+                end += jump
+                continue
+            yield from self._compare(text, end - length, h)
+            end += 1
+
+    def _compare(self, text: list[bytes], start: int, h: int) -> Iterator[tuple[int, int]]:
+        get = self.number.get
+        a, b = get(text[start], -1), get(text[start + self.block - 1], -1)
+        low, high = int(self.begin[h]), int(self.begin[h + 1])
+        if a < 0 or b < 0 or low == high:
+            return
+        key, near = (a << 32) | b, self.first[low:high]
+        low, high = low + int(np.searchsorted(near, key)), low + int(np.searchsorted(near, key, "right"))
+        if low == high:
+            return
+        own = np.array([get(w, -1) for w in text[start : start + self.length]], self.flat.dtype)
+        for k in range(low, high, 4096):
+            places = self.starts[k : min(high, k + 4096)]
+            same = (self.flat[places[:, None] + np.arange(self.length)] == own).all(axis=1)
+            yield from ((start, int(i)) for i in self.items[k : min(high, k + 4096)][same])
 
 
 class Scanner:
-    """Full windows and short items have tables of their own, so that one short item does not shorten every jump."""
+    """Full windows have one table, and so have short items of each length, so that one short item does not shorten every jump."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int) -> None:
-        full: dict[Pattern, set[str]] = defaultdict(set)
-        short: dict[Pattern, set[str]] = defaultdict(set)
-        for item, text in items:
-            w, name = words(text), "null" if item is None else str(item)
-            if len(w) >= window:
-                for i in range(len(w) - window + 1):
-                    full[tuple(w[i : i + window])].add(name)
-            elif w:
-                short[tuple(w)].add(name)
-        self.tables = [WuManber(p) for p in (full, short) if p]
+        number: dict[bytes, int] = {}
+        self.names = ["null" if item is None else str(item) for item, _ in items]
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, (_, text) in enumerate(items):
+            if w := words(text):
+                codes = np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w))
+                by_length.setdefault(min(len(w), window), []).append((k, codes))
+        self.tables = []
+        for length, found in sorted(by_length.items()):
+            sizes = np.array([len(c) for _, c in found])
+            flat, windows = np.concatenate([c for _, c in found]), sizes - length + 1
+            starts = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+            self.tables.append(WuManber(flat, starts, np.repeat(np.array([k for k, _ in found], np.int32), windows), length, number))
 
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         spans, items = [], set()
         for table in self.tables:
-            for start, end, found in table.find(text):
-                spans.append((start, end))
-                items |= found
-        return merged(spans), items
+            for start, item in table.find(text):
+                if not spans or spans[-1] != (start, start + table.length):
+                    spans.append((start, start + table.length))
+                items.add(item)
+        return merged(spans), {self.names[i] for i in items}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,53 +141,100 @@ _FOUND = T.StructType([
 ])
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, bytes | None]]]:
-    """The benchmark's rows in blocks of about ``BLOCK_BYTES``: one at the usual sizes, so one collected list is bounded."""
-    rows = benchmark.select(F.col(item).alias("i"), F.col(text).cast("binary").alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t", F.col("i").cast("string")), F.lit(n)) == k)
-        yield [(r.i, None if r.t is None else bytes(r.t)) for r in part.collect()]
+def _report(n_words: int, spans: list[tuple[int, int]], items: set[str] | list[str]) -> dict:
+    return {"n_words": n_words, "spans": [{"first": a, "behind": b} for a, b in spans], "items": sorted(items)}
+
+
+def _scanner(name: str, block: list, window: int) -> Scanner:
+    """Built once in a worker for each block; those of another benchmark are let go."""
+    global _built
+    if "_built" not in globals() or name.partition("/")[0] not in {k.partition("/")[0] for k in _built}:
+        _built = {}
+    if name not in _built:
+        _built[name] = Scanner(block, window)
+    return _built[name]
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, str]:
-    """``docs`` with one more column, and that column's name: struct(n_words, spans of hit words, items found). No shuffle."""
-    name = fresh_name(docs, "passages")
-    out, first = docs, True
-    for block in list(_blocks(benchmark, item, item_text)) or [[]]:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    """``docs`` with one more column, and that column's name: struct(n_words, spans of hit words, items found). No shuffle up to ``BLOCKS`` blocks of benchmark."""
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).distinct()
+    size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    name, n = fresh_name(docs, "passages"), max(1, -(-size // BLOCK_BYTES))
+    if n > BLOCKS:
+        return _joined(docs, rows, text, name, window), name
+    out = docs
+    for k in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == k)
+        block = [(r.i, None if r.t is None else bytes(r.t)) for r in part.orderBy("i", "t").collect()]
+        mark = hashlib.sha256(repr((window, block)).encode()).hexdigest()
+        shared = docs.sparkSession.sparkContext.broadcast((f"{size}-{n}-{window}/{mark}", block))
 
         def make(shared=shared):
-            scanner = Scanner(shared.value, window)
+            scanner = _scanner(*shared.value, window)
 
             def run(texts: list[bytes | None]) -> list[dict]:
-                found = []
-                for x in texts:
-                    w = words(x)
-                    spans, items = scanner.scan(w)
-                    found.append({"n_words": len(w), "spans": [{"first": a, "behind": b} for a, b in spans], "items": sorted(items)})
-                return found
+                return [_report(len(w), *scanner.scan(w)) for w in map(words, texts)]
 
             return run
 
-        part = name if first else fresh_name(out, "passages_more")
-        out = add_column(out, part, _FOUND, text, make)
-        if not first:
-            out = out.withColumn(name, _both(F.col(name), F.col(part))).drop(part)
-        first = False
+        column = name if k == 0 else fresh_name(out, "passages_more")
+        out = add_column(out, column, _FOUND, text, make)
+        if k:
+            out = out.withColumn(name, _both(F.col(name), F.col(column))).drop(column)
     return out, name
 
 
+def _windows(rows: DataFrame, window: int, lengths: list[int] | None) -> DataFrame:
+    """(key, at, window as words between spaces) of ``rows`` (key, t): all windows of ``lengths`` words; None: those that are patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                keys, ats, texts = [], [], []
+                for key, x in zip(part.column(0).to_pylist(), utf8(part, 1)):
+                    w = words(x)
+                    for n in lengths or ([min(len(w), window)] if w else []):
+                        for i in range(len(w) - n + 1):
+                            keys.append(key)
+                            ats.append(i)
+                            texts.append(b" ".join(w[i : i + n]))
+                            if len(texts) == 65536:
+                                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ats, pa.int64()), pa.array(texts, pa.binary())], names=["key", "at", "w"])
+                                keys, ats, texts = [], [], []
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ats, pa.int64()), pa.array(texts, pa.binary())], names=["key", "at", "w"])
+
+    return rows.mapInArrow(run, "key string, at long, w binary")
+
+
+def _joined(docs: DataFrame, rows: DataFrame, text: str, name: str, window: int) -> DataFrame:
+    """As the tables find, by a join of windows; for benchmarks of any size. A window that stands in many documents is dealt over ``SALTS`` tasks."""
+    counted = fresh_name(docs, "passage_words")
+    counting = add_column(docs, counted, T.LongType(), text, lambda: lambda texts: [len(words(x)) for x in texts])
+    key = fresh_name(counting, "passage_text")
+    keyed = counting.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    patterns = _windows(rows.select(F.coalesce("i", F.lit("null")).alias("key"), "t"), window, None).groupBy("w").agg(F.collect_set("key").alias("items"))
+    lengths = sorted({min(r.n, window) for r in patterns.select((F.size(F.split(F.col("w").cast("string"), " "))).alias("n")).distinct().collect()})
+    patterns = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    texts = docs.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("key"), F.col(text).cast("binary").alias("t")).groupBy("key").agg(F.first("t").alias("t"))
+    mine = _windows(texts, window, lengths or [window]).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    hits = mine.join(patterns, ["w", "salt"]).select("key", F.struct(F.col("at").alias("first"), (F.col("at") + F.size(F.split(F.col("w").cast("string"), " "))).cast("long").alias("behind")).alias("span"), "items")
+    found = hits.groupBy("key").agg(_disjoint(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = found.select(F.col("key").alias("_key"), "spans", "items")
+    out = keyed.join(found, F.col(key) == F.col("_key"), "left")
+    whole = F.struct(F.col(counted).alias("n_words"), F.coalesce("spans", F.array().cast(_FOUND["spans"].dataType)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(*(keyed[c] for c in docs.columns), whole.alias(name))
+
+
+def _disjoint(spans: Column) -> Column:
+    """Disjoint spans, in order, that cover the same words as an array of spans."""
+    last = lambda s: F.element_at(s, -1)
+    grown = lambda s, x: F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last(s)["first"].alias("first"), F.greatest(last(s)["behind"], x["behind"]).alias("behind"))))
+    return F.aggregate(F.array_sort(spans), F.array().cast(_FOUND["spans"].dataType), lambda s, x: F.when((F.size(s) > 0) & (last(s)["behind"] >= x["first"]), grown(s, x)).otherwise(F.concat(s, F.array(x))))
+
+
 def _both(a: Column, b: Column) -> Column:
     """What two blocks of the benchmark have found in the same text: the union of items, and of spans as disjoint spans."""
-    last = lambda s: F.element_at(s, -1)
-    spans = F.aggregate(
-        F.array_sort(F.concat(a["spans"], b["spans"])),
-        F.slice(a["spans"], 1, 0),
-        lambda s, x: F.when((F.size(s) > 0) & (last(s)["behind"] >= x["first"]), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last(s)["first"].alias("first"), F.greatest(last(s)["behind"], x["behind"]).alias("behind"))))).otherwise(F.concat(s, F.array(x))),
-    )
-    return F.struct(a["n_words"].alias("n_words"), spans.alias("spans"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"))
+    return F.struct(a["n_words"].alias("n_words"), _disjoint(F.concat(a["spans"], b["spans"])).alias("spans"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -213,8 +213,9 @@ def test_decontamination_edges(spark, monkeypatch):
                         ids.add(str(item))
         return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
-    for size in (32 << 20, 80):
+    for size, blocks in ((8 << 20, 4), (80, 100), (80, 1)):  # one table, several, and the join
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "BLOCKS", blocks)
         rows = decontaminate.contamination(docs_of(spark, texts), bench).orderBy("doc_id").collect()
         assert [tuple(r)[1:] for r in rows] == [brute(t) for t in texts]
     extra = docs_of(spark, texts).withColumn("passages", F.lit(1))
@@ -222,6 +223,31 @@ def test_decontamination_edges(spark, monkeypatch):
     assert decontaminate.contamination(docs_of(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_table_stays_small():
+    """Arrays take a bounded number of bytes for each byte of benchmark text; finds what a plain search finds."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.choice([3, 9, 10, 40, 200]))).encode()) for k in range(800)]
+    size = sum(len(t) for _, t in items)
+    scanner = decontaminate.Scanner(items, 10)
+    assert sum(a.nbytes for t in scanner.tables for a in (t.flat, t.starts, t.items, t.first, t.begin)) + sum(len(t.shift) for t in scanner.tables) < 20 * size
+    text = [w for _ in range(40) for w in (*rnd.choices(vocabulary, k=30), *items[rnd.randrange(800)][1].decode().split())]
+    whole, hit, found = " " + " ".join(text) + " ", set(), set()
+    for k, t in items:
+        w = t.decode().split()
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1):
+            s = " " + " ".join(w[i : i + n]) + " "
+            at = whole.find(s)
+            while at >= 0:
+                first = whole.count(" ", 0, at)
+                hit |= set(range(first, first + n))
+                found.add(str(k))
+                at = whole.find(s, at + 1)
+    spans, names = scanner.scan([w.encode() for w in text])
+    assert {i for a, b in spans for i in range(a, b)} == hit and names == found
+
+
 def test_chat_round_trip():
     rnd = random.Random(9)
     parts = ["[INST]", "[/INST]", "</s>", "<s>", "[\\INST]", "<<SYS>>", "\\", "<", "[", " ", "a", "[TURN]", "/INST]", "\n", "é"]
