@@ -6,10 +6,11 @@ whole text; each filter's maximum, through a rectifier, enters a logistic layer.
 the smoothed log odds of the words in the training texts; everything is then trained with Adam.
 
 Training rows: those of ``labels`` whose document has ``crc32(doc_id as text) mod 4 <> 2``, of them the
-``SAMPLE`` with the smallest hash of doc_id (a documented bound; scoring covers every document; repeated doc_ids may add rows). A quarter of them
+``SAMPLE`` with the smallest hash of doc_id, and of these, in that order, as many as have ``TRAIN_BYTES`` of text together (documented bounds; scoring
+covers every document). Of rows with one doc_id the text with the smallest digest counts. A quarter of them
 (remainder 3) is kept from training to calibrate: the logit is shifted so that the best F1 falls at a score of
-``THRESHOLD``; then each language with enough positives gets the threshold of its own best F1. Language enters that
-decision (``rejected``) only, never a score.
+``THRESHOLD``; then each language with ``LANGUAGE_LEAST`` positives and a negative among the calibration rows gets the threshold of its own best F1, for fewer tell
+nothing about it; the others share the common one. Language enters that decision (``rejected``) only, never a score.
 
 Nulls: null and empty texts are scored as texts without words; a null doc_id is not held out; a null label is no label;
 of repeated labels of one doc_id the larger counts. Without labels of both classes every score is the share of label 1, or 0.
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, fresh_name, words
+from .common import add_column, fresh_name, stored, words
 
 THRESHOLD = 0.3
 #: Labelled rows that training takes at most.
 SAMPLE = 8_000
+#: Bytes of text that training takes at most.
+TRAIN_BYTES = 64 << 20
 #: Positives that a language needs in the calibration rows for a threshold of its own.
 LANGUAGE_LEAST = 30
 TABLE = 1 << 16
@@ -280,10 +283,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # The sample is drawn from the labels alone; its size is a constant, so it may be broadcast, and no text is shuffled.
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), lang.alias("lang"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), lang.alias("lang"))
     rows = texts.join(F.broadcast(chosen), "doc_id")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.text or b"")))
-    return train([bytes(r.text or b"") for r in got], [int(r.toxic > 0) for r in got], [zlib.crc32(str(r.doc_id).encode()) % 4 == 3 for r in got], [r.lang for r in got])
+    # One row for each doc_id; what reaches the driver is bounded in rows, then in bytes.
+    one = stored(rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "toxic"), F.struct(F.sha2("text", 256), F.coalesce("lang", F.lit("")))).alias("r")).select("doc_id", "r.*"))
+    taken, size = [], 0
+    for r in one.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if size + r.size <= TRAIN_BYTES:
+            taken.append(r.doc_id)
+            size += r.size
+    got = sorted(one.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], one.select("doc_id").schema)), "doc_id").collect(), key=lambda r: r.doc_id) if taken else []
+    return train([bytes(r.text) for r in got], [int(r.toxic > 0) for r in got], [zlib.crc32(str(r.doc_id).encode()) % 4 == 3 for r in got], [r.lang for r in got])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:

@@ -196,6 +196,58 @@ def test_toxicity_learns_and_keeps_labels_out(spark):
     assert all(0 <= r[c] <= 1 for r in found.collect())
 
 
+def toxic_rows(rnd, n, langs):
+    clean = [f"w{k}" for k in range(200)]
+    texts, marks = [], []
+    for k in range(n):
+        w = rnd.choices(clean, k=rnd.randint(5, 40))
+        if k % 3 == 0:
+            w[rnd.randrange(len(w))] = {"en": "awful", "de": "furchtbar"}[langs[k]]
+        texts.append(" ".join(w))
+        marks.append(int(k % 3 == 0))
+    return texts, marks
+
+
+def test_toxicity_thresholds_by_language_and_plain_convolution(spark):
+    rnd = random.Random(13)
+    langs = ["de" if k % 4 == 1 else "en" for k in range(600)]
+    texts, marks = toxic_rows(rnd, 600, langs)
+    model = toxicity.train([t.encode() for t in texts], marks, [k % 3 == 1 or k % 2 == 0 for k in range(600)], langs)
+    assert set(model.thresholds) == {"en", "de"} or set(model.thresholds) == {"en"}  # a language needs LANGUAGE_LEAST positives of its own
+    odd = toxicity.Model(model.table, model.filters, model.bias, model.out, model.shift, None, {"de": 2.0, "en": -1.0})
+    docs = spark.createDataFrame([(k, "text", lang) for k, lang in enumerate(["de", "en", "fr", None])], "doc_id long, text string, lang string")
+    found, c = toxicity.score(docs, odd)
+    got = {r.doc_id: (r[c], r.x) for r in found.withColumn("x", toxicity.rejected(docs, odd, c)).collect()}
+    assert [got[k][1] for k in range(4)] == [False, True, got[2][0] >= 0.3, got[3][0] >= 0.3]
+    for text in ["", "awful", " ".join(texts[:3]), "w1 " * 70_000 + "awful w2"]:
+        ws = toxicity.words(text.encode())
+        vectors = [model.table[toxicity.features(w)].sum(axis=0) for w in ws] or [np.zeros(toxicity.DIM)]
+        logit = model.shift
+        for width, kernel in model.filters.items():
+            padded = [*vectors, *[np.zeros(toxicity.DIM)] * (width - 1)]
+            seen = {}
+            peak = np.full(toxicity.FILTERS, -np.inf)
+            for i in range(len(vectors)):
+                key = (*ws[i : i + width],)
+                if key not in seen:
+                    seen[key] = sum(padded[i + k] @ kernel[k] for k in range(width))
+                peak = np.maximum(peak, seen[key])
+            logit += (np.maximum(peak + model.bias[width], 0) * model.out[width]).sum()
+        assert toxicity.Scorer(model).scores([ws])[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
+
+
+def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, *rest: taken.append(texts))
+    docs = spark.createDataFrame([(k % 40, f"text {k % 80}", "en") for k in range(4000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    allowed = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 50)
+    toxicity.fit(docs, labels)
+    assert len(taken[0]) == len(allowed) and 0 < sum(map(len, taken[1])) <= 50
+
+
 def test_decontamination_edges(spark, monkeypatch):
     items = [(1, "a b c d e f g h i j k"), (2, "short one"), (3, None), (4, ""), (5, "solo"), (1, "a b c d e f g h i j k")]
     texts = EDGE + ["x A b, c d e f g h i j y", "A b c d e f g h i j k z", "short ONE short one", "nothing", "solo"]
