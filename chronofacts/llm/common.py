@@ -34,10 +34,12 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lost executors recompute nothing above it.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a local master (tests) may go without; then a temporary one is made.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 

@@ -140,7 +140,7 @@ def test_simhash_chains_in_small_buckets(spark, monkeypatch):
             x ^= 1 << rnd.randrange(64)
             prints.add(x)
     rows = [(k * 3, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)]
-    found = dict(simhash.components(simhash.links(spark.createDataFrame(rows, "node long, fp long"))).collect())
+    found = dict(simhash.components(simhash.links(spark.createDataFrame(rows, "node long, f0 long"))).collect())
     assert {n: found.get(n, n) for n, _ in rows} == components_of([(n, p % (1 << 64)) for n, p in rows])
 
 
@@ -152,6 +152,71 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def shingles(text, n=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar_components(texts):
+    """By the rule between all pairs, one by one: some 32-bit segment of the words' part within one bit, and both parts within their radius."""
+    prints = [[x % (1 << 64) for x in simhash.similar_fingerprint(t.encode())] for t in texts]
+    part = list(range(len(texts)))
+
+    def find(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            x = [p ^ q for p, q in zip(a, b)]
+            if sum(map(int.bit_count, x[:3])) <= 22 and sum(map(int.bit_count, x[3:])) <= 28 and any((y >> s & 0xFFFFFFFF).bit_count() <= 1 for y in x[:3] for s in (0, 32)):
+                r, q = sorted((find(i), find(j)))
+                part[q] = r
+    return [find(i) for i in range(len(texts))]
+
+
+def test_simhash_similar_texts(spark):
+    """Near copies by the similarity of their five-word shingles are caught, others stay; equal ids of unlike texts stay."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 8)))
+    texts, pairs = [], []
+    for k in range(150):
+        base = [word() for _ in range(rnd.randint(60, 400))]
+        copy = list(base)
+        for _ in range(len(base) // 70):
+            copy[rnd.randrange(len(copy))] = word()
+        texts += [" ".join(base), " ".join(copy)]
+        a, b = map(shingles, texts[-2:])
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(k)
+    shuffled = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in texts[:20:2]]  # the same words in another order
+    docs = docs_of(spark, [*texts, *shuffled])
+    kept = {r.doc_id for r in simhash.deduplicate(docs, simhash.SIMILAR).collect()}
+    assert sum(2 * k + 1 not in kept for k in pairs) >= 0.9 * len(pairs) > 90
+    assert all(2 * k in kept for k in range(150)) and all(k in kept for k in range(300, 310))
+    odd = spark.createDataFrame([(1, "one two three four five"), (1, "six seven eight nine ten"), (1, "one two three four five"), (None, "one two three four five"), (None, "eleven"), (7, None), (8, "")], "doc_id long, text string")
+    rows = sorted((r.doc_id or 0, r.text or "") for r in simhash.deduplicate(odd, simhash.SIMILAR).collect())
+    assert rows == [(0, "eleven"), (1, "one two three four five"), (1, "six seven eight nine ten"), (7, "")]
+    assert simhash.deduplicate(odd.limit(0), simhash.SIMILAR).count() == 0
+
+
+def test_simhash_similar_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    kept = {r.doc_id for r in simhash.deduplicate(docs, simhash.SIMILAR).collect()}
+    part = similar_components([t or "" for _, t in rows])
+    assert kept == {rows[k][0] for k, p in enumerate(part) if k == p}
+    sets = [shingles(t) for _, t in rows]
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    meets = Counter((a, b) for ks in holders.values() if len(ks) < 100 for i, a in enumerate(ks) for b in ks[:i])
+    near = {a for (a, b), n in meets.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    assert len(near) > 20 and sum(rows[a][0] not in kept for a in near) >= 0.9 * len(near)
+
+
 def test_sharding(spark):
     rnd = random.Random(6)
     texts = ["copy " * 50] * 400 + ["t" * rnd.randint(0, 900) + str(k) for k in range(800)] + [None, ""]
@@ -493,7 +558,9 @@ def test_pipeline(spark):
     rows = pipeline.run(spark, SF).collect()
     found, c = toxicity.score(docs, model := toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     clean = {r.doc_id: r.text for r in found.where(~toxicity.rejected(docs, model, c)).collect()}
-    firsts = set(components_of([(d, plain_print(t)) for d, t in clean.items()]).values())
+    names = sorted(clean)
+    part = similar_components([clean[d] or "" for d in names])
+    firsts = {names[k] for k, p in enumerate(part) if k == p}
     dirty = {r.doc_id for r in decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
     assert {r.doc_id for r in rows} == firsts - dirty
     lattice = sentencepiece_scan.Lattice(sentencepiece_scan.Vocabulary.load(sentencepiece_scan.MODEL))
