@@ -232,6 +232,33 @@ def test_sharding(spark):
     assert sharding.shard_report(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_sharding_cuts_hot_texts_without_ids(spark):
+    """By brute force: the shards are the order of all rows cut at even bytes, and no range keeps over the limit."""
+    rnd = random.Random(16)
+    rows = [(None, "hot text")] * 900 + [(5, "same row")] * 500 + [(k, "t" * rnd.randint(0, 300)) for k in range(600)] + [(None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = sharding.stored(docs.select("doc_id", "text", *sharding._sized(docs, "text", "doc_id"), F.monotonically_increasing_id().alias("tie")))
+    assert max(r["count"] for r in sharding._cut_again(keyed.withColumn("range", F.lit(0).cast("long")), 100).groupBy("range").count().collect()) <= 100
+    got = sharding._placed(keyed, 7, 0.0, 100).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    total, at, want, slots = sum(r.size for r in got), 0, {}, Counter()
+    for r in sorted(got, key=lambda r: (r.key, r.sub, r.tie)):
+        shard = at * 7 // total
+        want[r.tie] = (shard, slots[shard])
+        slots[shard] += 1
+        at += r.size
+    assert {r.tie: (r.shard, r.slot) for r in got} == want
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(k % 50 or None, f"text {k % 120}" * (k % 9), k, str(k)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard long, Slot string")
+    name = sharding.write_shards(docs, str(tmp_path / "out"), 5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "_shard" and sorted(map(tuple, back.select("doc_id", "text", "shard", "Slot").collect()), key=repr) == sorted(rows, key=repr)
+    assert {r[name] for r in back.select(name).distinct().collect()} == set(range(5))
+
+
 def test_toxicity_learns_and_keeps_labels_out(spark):
     rnd = random.Random(8)
     clean = [f"w{k}" for k in range(300)]
