@@ -203,22 +203,27 @@ def edge_time(timestamp: Column, start: Column, end: Column) -> Column:
 
 
 def answer_timestamps(c: Column) -> Column:
-    """Forms under which a time answers: a day as ``d-d``; an interval as itself and its ends as points; else the text."""
-    text = clean_time(c)
+    """Forms under which a time answers: a day as ``d-d``; an interval ``A-B`` as itself and its ends as points; else the folded text; none for null and empty."""
+    from .text import folded_text
+
+    text = strip(c)
     a, b = _part(text, _DAYS, 1), _part(text, _DAYS, 2)
     twice = lambda d: F.concat(d, F.lit("-"), d)
-    return F.when(text.rlike(_DAYS), F.array_distinct(F.array(F.concat(a, F.lit("-"), b), twice(a), twice(b)))).when(text.rlike(rf"^{DAY}$"), F.array(twice(text))).when(text != "", F.array(F.lower(text))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.when(c.isNull() | (c == ""), none).when(text.rlike(_DAYS), F.array_distinct(F.array(F.concat(a, F.lit("-"), b), twice(a), twice(b)))).when(text.rlike(rf"^{DAY}$"), F.array(twice(text))).otherwise(F.array(folded_text(text)))
 
 
 def gold_answer(c: Column) -> Column:
-    """A gold answer for matching: null for plain numbers (years too) and durations; intervals as ``A-B``, days as ``d-d``; else lower-case text."""
-    text = strip(F.regexp_replace(c, r"(?U)\s+", " "))
-    to = rf"(?i)^({DAY})\s+to\s+({DAY})$"
+    """A gold answer for matching: null for plain digits (years too) and durations; ``A to B`` as ``A-B``, days as ``d-d``; else the folded text."""
+    from .text import folded_text
+
+    text = strip(F.lower(c))
+    to = rf"^({DAY})\s+to\s+({DAY})$"
     return (
-        F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$") | text.rlike(r"(?i)^\d+ days?$") | (text == ""), F.lit(None).cast("string"))
+        F.when(text.rlike(r"^\d+$") | text.rlike(r"^\d+\s+days?$"), F.lit(None).cast("string"))
         .when(text.rlike(to), F.concat(_part(text, to, 1), F.lit("-"), _part(text, to, 2)))
         .when(text.rlike(rf"^{DAY}$"), F.concat(text, F.lit("-"), text))
-        .otherwise(F.lower(text))
+        .otherwise(folded_text(text))
     )
 
 
