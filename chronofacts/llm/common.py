@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -66,6 +67,15 @@ def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         begin = max(begin + 1, behind)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that is used again does not keep what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """``df`` with one more column: ``make()``, called once in each task, returns what turns a batch of ``source`` (UTF-8 bytes) into values."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
@@ -78,5 +88,7 @@ def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Ca
         for batch in batches:
             for part in slices(batch, at):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(f(utf8(part, at)), arrow)], names=[*batch.schema.names, name])
+        del f
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -47,7 +47,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are giant.
 CHUNK = 32_768
 #: Bytes of units and ids that a generation of a worker's cache holds, by estimate; there are two. Units over ``CACHED`` characters are not kept.
-CACHE_BYTES, CACHED = 48 << 20, 24
+CACHE_BYTES, CACHED = 24 << 20, 24
 #: Units that are segmented together; fewer than ``FEW`` are segmented one by one.
 TOGETHER, FEW = 8192, 24
 MARK = "▁"
