@@ -84,3 +84,20 @@ def test_union_stream_equals_batch(spark, tmp_path):
     newest = {k: max(r.version for r in got if r.key == k) for k in "ab"}
     last = [r for r in got if r.version == newest[r.key]]
     assert sorted((r.key, r.start, r.end) for r in last) == [("a", day(0), day(12)), ("b", day(1), day(1))]
+
+
+def test_repaired_cases_are_split(spark):
+    from chronofacts.operators import programs
+
+    rows = [(1, "simple", ["a"], ["a"]), (2, "simple", ["a"], ["a", "b"]), (3, "medium", ["a"], []), (4, "medium", [], ["b"]), (5, "simple", ["a", "b"], ["b"]), (6, "medium", None, ["b"])]
+    cases = spark.createDataFrame(rows, "id int, question_level string, answer array<string>, semantic_gold array<string>")
+    cases = cases.withColumn("repair_status", programs.compare_answers(cases["answer"], cases["semantic_gold"]))
+    clean, exceptions = programs.clean_and_exceptions(cases, most=1)
+    assert {(r.id, *r.answer) for r in clean.collect()} == {(1, "a"), (5, "b")}
+    assert {r.id: r.retention_reason for r in exceptions.collect()} == {
+        2: "SUBSET_BUT_SEMANTIC_GOLD_TOO_LARGE:2>1", 3: "REPAIR_STATUS_NOT_ACCEPTED:NO_REPAIRED_ANSWER", 4: "REPAIR_STATUS_NOT_ACCEPTED:DIFFERENT", 6: "REPAIR_STATUS_NOT_ACCEPTED:DIFFERENT",
+    }
+    exact, review = programs.exact_and_review(cases)
+    assert [r.id for r in exact.collect()] == [1] and sorted(r.id for r in review.collect()) == [2, 3, 4, 5, 6]
+    counts = {(r.question_level, r.repair_status): r.n for r in programs.levels_by_status(cases).collect()}
+    assert counts["complex", None] == 0 and counts["medium", "DIFFERENT"] == 2 and sum(counts.values()) == 6
