@@ -240,23 +240,11 @@ _ALLEN_SQL = {
 
 def _allen_query(name: str) -> None:
     @query(f"allen_{name}", f"""
-    , s AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY "start", "end", tail) AS n FROM facts WHERE relation = 'supplied'),
-    j AS (SELECT x.head, x.tail, x."start" AS xs, x."end" AS xe, y."start" AS ys, y."end" AS ye FROM s x JOIN s y ON x.head = y.head AND y.n <= 5)
-    SELECT head, count(*) AS pairs, count(DISTINCT tail) AS tails FROM j WHERE {_ALLEN_SQL[name]} GROUP BY head""")
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        s = supplies(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("head").orderBy("start", "end", "tail")))
-        y = s.where("n <= 5").select("head", F.col("start").alias("ys"), F.col("end").alias("ye"))
-        test = P.ALLEN[name](F.col("start"), F.col("end"), F.col("ys"), F.col("ye"))
-        return s.join(y, "head").where(test).groupBy("head").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("tail").alias("tails"))
-
-
-def _allen_whole_query(name: str) -> None:
-    @query(f"allen_{name}_whole", f"""
     , s AS (SELECT * FROM facts WHERE relation = 'supplied'),
     j AS (SELECT x.head, x.tail, x."start" AS xs, x."end" AS xe, y."start" AS ys, y."end" AS ye FROM s x JOIN s y ON x.head = y.head)
     SELECT head, count(*) AS pairs, count(DISTINCT tail) AS tails FROM j WHERE {_ALLEN_SQL[name]} GROUP BY head""")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        """All supplies of a supplier against all; allen_<name> without _whole has the first five supplies only on its second side, as its SQL states."""
+        """All supplies of a supplier against all of it, by counts."""
         s = supplies(spark, sf)
         met = intervals.relation_counts(s, "head", name).where("matches > 0").drop("n")
         return s.join(met, ["head", "start", "end"]).groupBy("head").agg(F.sum("matches").alias("pairs"), F.countDistinct("tail").alias("tails"))
@@ -264,8 +252,6 @@ def _allen_whole_query(name: str) -> None:
 
 for _name in _ALLEN_SQL:
     _allen_query(_name)
-for _name in _ALLEN_SQL:
-    _allen_whole_query(_name)
 
 
 @query("overlap_join", """
@@ -493,25 +479,26 @@ def invalid_answer_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 # Similarity
 
-_VEC = "SELECT vec_id, embedding, label FROM embeddings"
-_SCORES = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS id, list_inner_product(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)"""
+# Every row whose id is divisible by 100 is a query
+
+_SCORES = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id, list_inner_product(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)"""
+_RANKS = _SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The query set grows with the table; a null id is no query."""
     e = table(spark, sf, "embeddings")
-    return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
-@query("vector_topk", _SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+@query("vector_topk", _RANKS + " SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q, v = vectors(spark, sf)
-    return longs(similarity.top_k(q, v, 10).withColumn("score", F.round("score", 6)), "rank")
+    return longs(similarity.top_k(*vectors(spark, sf), 10).withColumn("score", F.round("score", 6)), "rank")
 
 
-@query("vector_threshold", _SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, rank FROM r WHERE rank <= 64 AND score >= 0.25")
+@query("vector_threshold", _RANKS + " SELECT query_id, id, rank FROM r WHERE rank <= 64 AND score >= 0.25")
 def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    q, v = vectors(spark, sf)
-    return longs(similarity.top_k(q, v, 64, 0.25).select("query_id", "id", "rank"), "rank")
+    return longs(similarity.top_k(*vectors(spark, sf), 64, 0.25).select("query_id", "id", "rank"), "rank")
 
 
 @query("vector_range", _SCORES + " SELECT query_id, id FROM s WHERE score > 0.3")
@@ -519,19 +506,19 @@ def vector_range(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.within(*vectors(spark, sf), 0.3).select("query_id", "id")
 
 
-@query("high_conf_prune", _SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s), k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r WHERE rank <= 64) SELECT query_id, id FROM k WHERE best <= 0.9 OR score >= 0.9")
+@query("high_conf_prune", _RANKS + ", k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r WHERE rank <= 64) SELECT query_id, id FROM k WHERE best <= 0.9 OR score >= 0.9")
 def high_conf_prune(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.prune_confident(similarity.top_k(*vectors(spark, sf), 64)).select("query_id", "id")
 
 
-@query("similarity_triple_join", _SCORES + """
-, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s), n AS (SELECT query_id AS qid, concat('Supplier#', lpad(CAST(id AS VARCHAR), 9, '0')) AS name, round(score, 6) AS sim FROM r WHERE rank <= 64), facts AS (""" + FACTS + """)
-SELECT qid, head, tail, sim AS h_sim, round(2.0 + sim, 6) AS score_sum FROM facts JOIN n ON head = name WHERE relation = 'supplied' AND "start" = "end" """)
+@query("similarity_triple_join", _RANKS + """
+, n AS (SELECT query_id AS qid, concat('Supplier#', lpad(CAST(id AS VARCHAR), 9, '0')) AS name, round(score, 6) AS sim FROM r WHERE rank <= 64), facts AS (""" + FACTS + """)
+SELECT qid, head, tail, sim AS h_sim, round(2.0 + sim, 6) AS score_sum FROM facts JOIN n ON head = name WHERE relation = 'supplied'""")
 def similarity_triple_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate names from vector search, joined with supplies of one day."""
+    """Candidate names from vector search, joined with all supplies."""
     near = similarity.top_k(*vectors(spark, sf), 64)
     heads = near.select(F.col("query_id").alias("qid"), F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), F.round("score", 6).alias("sim"))
-    found = similarity.similar_triples({"head": heads, "relation": None, "tail": None}, supplies(spark, sf).where(F.col("start") == F.col("end")))
+    found = similarity.similar_triples({"head": heads, "relation": None, "tail": None}, supplies(spark, sf))
     return found.select("qid", "head", "tail", "h_sim", F.round("score_sum", 6).alias("score_sum"))
 
 
@@ -544,58 +531,6 @@ def swap_relax_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.swap_cascade(s.where("id % 2 = 0"), s.where("id % 2 = 1")).select("query_id", "id", "branch", "swapped")
 
 
-# The same six, with every row whose id is divisible by 100 as a query, and all supplies
-
-_WHOLE_SCORES = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id, list_inner_product(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)"""
-_WHOLE_RANKS = _WHOLE_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
-
-
-def all_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The query set grows with the table; a null id is no query."""
-    e = table(spark, sf, "embeddings")
-    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-
-
-@query("vector_topk_whole", _WHOLE_RANKS + " SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
-def vector_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return longs(similarity.top_k(*all_vectors(spark, sf), 10).withColumn("score", F.round("score", 6)), "rank")
-
-
-@query("vector_threshold_whole", _WHOLE_RANKS + " SELECT query_id, id, rank FROM r WHERE rank <= 64 AND score >= 0.25")
-def vector_threshold_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return longs(similarity.top_k(*all_vectors(spark, sf), 64, 0.25).select("query_id", "id", "rank"), "rank")
-
-
-@query("vector_range_whole", _WHOLE_SCORES + " SELECT query_id, id FROM s WHERE score > 0.3")
-def vector_range_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.within(*all_vectors(spark, sf), 0.3).select("query_id", "id")
-
-
-@query("high_conf_prune_whole", _WHOLE_RANKS + ", k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r WHERE rank <= 64) SELECT query_id, id FROM k WHERE best <= 0.9 OR score >= 0.9")
-def high_conf_prune_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.prune_confident(similarity.top_k(*all_vectors(spark, sf), 64)).select("query_id", "id")
-
-
-@query("similarity_triple_join_whole", _WHOLE_RANKS + """
-, n AS (SELECT query_id AS qid, concat('Supplier#', lpad(CAST(id AS VARCHAR), 9, '0')) AS name, round(score, 6) AS sim FROM r WHERE rank <= 64), facts AS (""" + FACTS + """)
-SELECT qid, head, tail, sim AS h_sim, round(2.0 + sim, 6) AS score_sum FROM facts JOIN n ON head = name WHERE relation = 'supplied'""")
-def similarity_triple_join_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate names from vector search, joined with all supplies."""
-    near = similarity.top_k(*all_vectors(spark, sf), 64)
-    heads = near.select(F.col("query_id").alias("qid"), F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), F.round("score", 6).alias("sim"))
-    found = similarity.similar_triples({"head": heads, "relation": None, "tail": None}, supplies(spark, sf))
-    return found.select("qid", "head", "tail", "h_sim", F.round("score_sum", 6).alias("score_sum"))
-
-
-@query("swap_relax_cascade_whole", _WHOLE_SCORES + """
-, f AS (SELECT query_id, id, score FROM s WHERE id % 2 = 0 AND id <> query_id), b AS (SELECT query_id, id, score FROM s WHERE id % 2 = 1 AND id <> query_id),
-u AS (SELECT *, 0 AS branch FROM f WHERE score >= 0.4 UNION ALL SELECT *, 1 FROM b WHERE score >= 0.4 UNION ALL SELECT *, 2 FROM f WHERE score >= 0.2 UNION ALL SELECT *, 3 FROM b WHERE score >= 0.2)
-SELECT query_id, id, CAST(branch AS INTEGER) AS branch, branch % 2 = 1 AS swapped FROM u QUALIFY branch = min(branch) OVER (PARTITION BY query_id)""")
-def swap_relax_cascade_whole(spark: SparkSession, sf: str) -> DataFrame:
-    s = similarity.scores(*all_vectors(spark, sf)).where("id <> query_id")
-    return similarity.swap_cascade(s.where("id % 2 = 0"), s.where("id % 2 = 1")).select("query_id", "id", "branch", "swapped")
-
-
 # Curation
 
 
@@ -650,20 +585,11 @@ def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return curate.duplicate_groups(hashed, "question_hash")
 
 
-@query("balance_levels", """WITH r AS (SELECT doc_id, lang AS question_level, source AS question_type, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE lang IN ('en', 'fr', 'de')),
-t AS (SELECT min(c) AS target FROM (SELECT count(*) AS c FROM r GROUP BY question_level)), n AS (SELECT *, row_number() OVER (PARTITION BY question_level, question_type ORDER BY h) AS n FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY question_level ORDER BY n, question_type DESC) AS k FROM n) SELECT doc_id, question_level, question_type FROM o, t WHERE k <= target""")
-def balance_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Languages cut to the size of the smallest of three by taking from the largest sources. (The SQL counts rows by height, then by source from the last.)"""
-    d = table(spark, sf, "documents").where("lang IN ('en', 'fr', 'de')").select("doc_id", F.col("lang").alias("question_level"), F.col("source").alias("question_type"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    return curate.balance_levels(d, "question_level", "question_type", "h", ("en", "fr", "de")).select("doc_id", "question_level", "question_type")
-
-
-@query("balance_levels_whole", """WITH d AS (SELECT doc_id, lang AS question_level, source AS question_type, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents), r AS (SELECT * FROM d WHERE question_level IN ('en', 'fr', 'de')),
+@query("balance_levels", """WITH d AS (SELECT doc_id, lang AS question_level, source AS question_type, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents), r AS (SELECT * FROM d WHERE question_level IN ('en', 'fr', 'de')),
 t AS (SELECT min(c) AS target FROM (SELECT count(*) AS c FROM r GROUP BY question_level)), n AS (SELECT *, row_number() OVER (PARTITION BY question_level, question_type ORDER BY h) AS n FROM r),
 o AS (SELECT *, row_number() OVER (PARTITION BY question_level ORDER BY n, question_type DESC) AS k FROM n) SELECT doc_id, question_level, question_type FROM o, t WHERE k <= target
 UNION ALL SELECT doc_id, question_level, question_type FROM d WHERE question_level IS NULL OR question_level NOT IN ('en', 'fr', 'de')""")
-def balance_levels_whole(spark: SparkSession, sf: str) -> DataFrame:
+def balance_levels(spark: SparkSession, sf: str) -> DataFrame:
     """All documents: three languages cut to the size of the smallest, the others and those without a language pass."""
     d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("question_level"), F.col("source").alias("question_type"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
     return curate.balance_levels(d, "question_level", "question_type", "h", ("en", "fr", "de")).select("doc_id", "question_level", "question_type")

@@ -12,14 +12,14 @@ SF = "/root/testdata/sf0.01"
 duck = oracle.duck
 
 
-@pytest.mark.parametrize("name", ["vector_topk_whole", "similarity_triple_join_whole", "swap_relax_cascade_whole", "balance_levels_whole"])
+@pytest.mark.parametrize("name", ["vector_topk", "similarity_triple_join", "swap_relax_cascade", "balance_levels"])
 def test_whole_query(spark, duck, name):
     oracle.test_query(spark, duck, name)
 
 
 def test_every_hundredth_vector_is_a_query(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
-    assert {r.query_id for r in workload.QUERIES["vector_topk_whole"](spark, SF).select("query_id").distinct().collect()} == ids
+    assert {r.query_id for r in workload.QUERIES["vector_topk"](spark, SF).select("query_id").distinct().collect()} == ids
 
 
 def test_scores_of_many_blocks_are_those_of_one(spark):
@@ -34,5 +34,5 @@ def test_scores_of_many_blocks_are_those_of_one(spark):
 def test_other_languages_pass_the_balance(spark):
     other = F.col("lang").isNull() | ~F.col("lang").isin("en", "fr", "de")
     ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where(other).select("doc_id").collect()}
-    got = {r.doc_id for r in workload.QUERIES["balance_levels_whole"](spark, SF).select("doc_id").collect()}
+    got = {r.doc_id for r in workload.QUERIES["balance_levels"](spark, SF).select("doc_id").collect()}
     assert ids and ids <= got
