@@ -652,6 +652,42 @@ def program_execute(spark: SparkSession, sf: str) -> DataFrame:
     return done.join(compiled.select(F.col("id").alias("qid"), "status"), "qid").select("qid", F.size("answers").cast("long").alias("n_answers"), "status")
 
 
+def graph_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Six questions for each supplier of two parts or more, each over the first supplies of its alphabetically first and last part."""
+    s = supplies(spark, sf)
+    first = s.groupBy("head", "tail").agg(F.min(F.struct("start", "end")).alias("at"))
+    ends = first.groupBy("head").agg(F.min_by("at", "tail").alias("x"), F.min("tail").alias("a"), F.max_by("at", "tail").alias("y"), F.max("tail").alias("b")).where("a <> b")
+    event = lambda tail, at: F.struct("head", F.lit("supplied").alias("relation"), F.col(tail).alias("tail"), F.col(f"{at}.start").alias("start"), F.col(f"{at}.end").alias("end"))
+    kinds = [("timeline", "timestamp_range"), ("timeline", "object"), ("union", "timestamp_range"), ("intersection", "timestamp_range"), ("sum", "duration"), ("average", "duration")]
+    kind = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), F.lit(t).alias("t")) for o, t in kinds)))
+    rows = ends.select("head", F.array(event("a", "x"), event("b", "y")).alias("event_list"), kind.alias("k"))
+    return rows.select(F.concat_ws("/", "head", "k.o", "k.t").alias("id"), F.lit("").alias("question"), F.col("k.o").alias("temporal_relation"), F.col("k.t").alias("answer_type"), "event_list")
+
+
+@query("program_operators_on_graph", """
+, s AS (SELECT DISTINCT head, tail, "start", "end" FROM facts WHERE relation = 'supplied'), t AS (SELECT head, min(tail) AS a, max(tail) AS b FROM s GROUP BY head HAVING min(tail) <> max(tail)),
+g AS (SELECT s.*, CAST(tail = b AS INTEGER) AS seed, concat(CAST("start" AS VARCHAR), ' to ', CAST("end" AS VARCHAR)) AS span FROM s JOIN t USING (head) WHERE tail IN (a, b)),
+f AS (SELECT head, seed, min(("start", "end")) AS at FROM g GROUP BY head, seed),
+m AS (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY head, seed ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM g),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY head, seed ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM m),
+i AS (SELECT head, seed, min("start") AS s, max("end") AS e FROM n GROUP BY head, seed, island),
+um AS (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY head ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM g),
+un AS (SELECT *, sum(fresh) OVER (PARTITION BY head ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM um),
+u AS (SELECT head, min("start") AS s, max("end") AS e FROM un GROUP BY head, island),
+x AS (SELECT a.head, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM i a JOIN i b ON a.head = b.head AND a.seed = 0 AND b.seed = 1 WHERE greatest(a.s, b.s) <= least(a.e, b.e)),
+days AS (SELECT head, CAST(sum(e - s) AS BIGINT) AS d FROM i GROUP BY head),
+one AS (SELECT head, span, min(seed) AS seed FROM g GROUP BY head, span), tails AS (SELECT s.head, s.tail, min((f.seed, s."start", s."end", s.tail)) AS k FROM s JOIN f ON s.head = f.head AND s."start" = f.at[1] AND s."end" = f.at[2] GROUP BY s.head, s.tail)
+SELECT concat(head, '/timeline/timestamp_range') AS id, string_agg(span, ';' ORDER BY seed, span) AS answers FROM one GROUP BY head
+UNION ALL SELECT concat(head, '/timeline/object'), string_agg(tail, ';' ORDER BY k) FROM tails GROUP BY head
+UNION ALL SELECT concat(head, '/union/timestamp_range'), string_agg(concat(CAST(s AS VARCHAR), ' to ', CAST(e AS VARCHAR)), ';' ORDER BY s) FROM u GROUP BY head
+UNION ALL SELECT concat(t.head, '/intersection/timestamp_range'), coalesce(string_agg(concat(CAST(s AS VARCHAR), ' to ', CAST(e AS VARCHAR)), ';' ORDER BY s) FILTER (s IS NOT NULL), '') FROM t LEFT JOIN x USING (head) GROUP BY t.head
+UNION ALL SELECT concat(head, '/sum/duration'), concat(d, ' days') FROM days UNION ALL SELECT concat(head, '/average/duration'), concat(d // 2, ' days') FROM days""")
+def program_operators_on_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Operators over all supplies of the named parts instead of the named supplies alone."""
+    done = programs.execute_operators(programs.compile_cases(graph_cases(spark, sf)), supplies(spark, sf))
+    return done.select(F.col("qid").alias("id"), F.array_join("answers", ";").alias("answers"))
+
+
 @query("program_union_from_events", _ISLANDS.format(keys="head", where="relation = 'supplied'") + """ SELECT head AS id, string_agg(concat(CAST("start" AS VARCHAR), ' to ', CAST("end" AS VARCHAR)), ';' ORDER BY "start") AS answers FROM u GROUP BY head""")
 def program_union_from_events(spark: SparkSession, sf: str) -> DataFrame:
     e = supplies(spark, sf).groupBy("head").agg(F.collect_list(F.struct("head", "relation", "tail", "start", "end")).alias("event_list"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -205,3 +206,16 @@ def base_name(path: str) -> str:
 
 def point_column(df: DataFrame) -> Column:
     return df["start"] == df["end"]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back; what is built on it is planned and recomputed from there.
+
+    A local master may go without the setting; then a temporary folder is made.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
