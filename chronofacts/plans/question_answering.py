@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import constraints, match
+from ..operators import alignment, constraints, evaluate, match
 from ..sources import providers as M
+from ..sources.facts import stored
 
 STAGES = ("decompose", "align", "constraint", "answer")
 ABLATIONS = (None, "no_triple", "no_align", "no_constraint")
@@ -34,13 +35,14 @@ def note(rows: DataFrame, stage: str, status: Column, message: Column) -> DataFr
 
 @dataclass
 class Job:
-    """One run: where its tables lie, the model and the facts."""
+    """One run: where its tables lie, the model and the facts. With an embedder, alignment gives the model gold lists from the graph's vocabulary."""
 
     folder: str
     provider: M.Caller
     facts: DataFrame
     similar: Callable[[DataFrame], DataFrame] | None = None
     ablation: str | None = None
+    embedder: M.Embedder | None = None
     stages: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -66,15 +68,30 @@ class Job:
         empty = (F.size("anchor_triples") == 0) & F.col("search_triple").isNull()
         return note(out, "decompose", F.when(F.col("error").isNotNull() | empty, "SKIPPED").otherwise("SUCCESS"), F.coalesce("error", F.when(empty, "no triples").otherwise(""))).drop("result", "error")
 
+    def gold(self, rows: DataFrame, high: float = 0.4, low: float = 0.2, cap: int = 10) -> DataFrame:
+        """Gold lists of each question from candidates of its triples: swapped and relaxed from ``high`` to ``low``."""
+        slots = [F.get("t", F.lit(k)).alias(s) for k, s in enumerate(match.SLOTS)]
+        each = rows.select("qid", F.posexplode("anchor_triples").alias("place", "t")).unionByName(rows.where("search_triple IS NOT NULL").select("qid", F.lit(alignment.SEARCH).alias("place"), F.col("search_triple").alias("t")))
+        triples = stored(each.select("qid", "place", *slots))
+        words = alignment.vocabulary(self.facts, self.embedder)
+        ents = stored(alignment.near_names(triples, ("head", "tail"), words["entity"], self.embedder, low))
+        rels = stored(alignment.near_names(triples, ("relation",), words["relation"], self.embedder, low))
+        found = stored(alignment.cascade(triples, self.facts, ents, rels, high))
+        return alignment.gold_lists(triples, found, cap)
+
     def align(self, rows: DataFrame) -> DataFrame:
-        """Triples in the graph's vocabulary from the model; a failure keeps the extracted ones."""
+        """Triples in the graph's vocabulary from the model; a failure keeps the extracted ones. The search triple is turned as the anchors tell."""
         if self.ablation == "no_align":
             return note(rows.withColumn("aligned_anchors", F.col("anchor_triples")).withColumn("aligned_search", F.col("search_triple")), "align", F.lit("SKIPPED"), F.lit("no_align"))
-        text = F.to_json(F.struct("question", "anchor_triples", "search_triple"))
-        got = M.call(rows.withColumn("_text", text), "align", "_text", self.provider)
+        asked, lost = ["question", "anchor_triples", "search_triple"], F.lit(False)
+        if self.embedder is not None:
+            rows = rows.join(self.gold(rows).withColumnRenamed("problem", "_lost"), "qid", "left")
+            asked, lost = [*asked, "gold_entities", "gold_relations", "gold_triples"], F.coalesce("_lost", F.lit(False))
+        got = M.call(rows.withColumn("_text", F.to_json(F.struct(*asked))), "align", "_text", self.provider)
         out = got.withColumn("aligned_anchors", F.coalesce("result.anchor_triples", "anchor_triples")).withColumn("aligned_search", F.coalesce("result.search_triple", "search_triple"))
-        problem = F.col("error").isNotNull() | F.coalesce("result.problem", F.lit(False))
-        return note(out, "align", F.when(problem, "WARNING").otherwise("SUCCESS"), F.coalesce("error", F.lit(""))).drop("result", "error", "_text")
+        out = out.withColumn("aligned_search", alignment.turned_search(F.col("aligned_anchors"), F.col("aligned_search")))
+        problem = F.col("error").isNotNull() | F.coalesce("result.problem", F.lit(False)) | lost
+        return note(out, "align", F.when(problem, "WARNING").otherwise("SUCCESS"), F.coalesce("error", F.lit(""))).drop("result", "error", "_text", "_lost", "gold_entities", "gold_relations", "gold_triples")
 
     def plan(self, rows: DataFrame) -> DataFrame:
         """Constraints and ranking from the model; questions without a search triple are not asked, and none is with ``no_constraint``."""
@@ -128,3 +145,14 @@ class Job:
         planned = self.stage("plan", lambda: self.plan(aligned))
         found = self.stage("constraint", lambda: self.retrieve(planned))
         return self.stage("answer", lambda: self.answer(found)).drop("evidence", "anchor_triples", "search_triple")
+
+
+def evaluation(results: DataFrame, level: str = "question_level", kind: str = "question_type") -> dict[str, DataFrame]:
+    """Tables of a job's results by level, kind and overall: ``compression`` of the evidence and, where the questions carry ``answer``, ``hits`` at 1 and 10.
+
+    Questions without evidence or without a search count with the counts they have; a question whose level or kind is missing is counted as unknown.
+    """
+    tables = {"compression": evaluate.by_groups(results, level, kind, *evaluate.compression("retrieved_count", "final_count"))}
+    if "answer" in results.columns:
+        tables["hits"] = evaluate.hits(results, "predict_answer", "answer", [level, kind])
+    return tables

@@ -1,12 +1,13 @@
 """The staged job, the retrieval baselines and the stateful stream, with deterministic providers."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronofacts.operators import rag
-from chronofacts.plans.question_answering import Job
+from chronofacts.operators import alignment, rag
+from chronofacts.plans.question_answering import Job, evaluation
 from chronofacts.sources import providers as M
 from chronofacts.streaming import facts as stream
 
@@ -47,6 +48,40 @@ def test_job_without_constraints(spark, tmp_path):
         Job(str(tmp_path), rules, facts(spark), ablation="no_such")
 
 
+def test_alignment_gives_gold_lists_and_turns_the_search(spark, tmp_path):
+    def align(text):
+        t = json.loads(text)
+        assert t["gold_relations"][0] == "met" and set(t["gold_entities"]) >= {"ann", "eve", "bob"} and t["gold_triples"][0] == ["bob", "met", "eve"], t
+        return {"anchor_triples": [["ann", "met", "cid"]], "search_triple": ["?", "met", "ann"], "problem": False}
+
+    rules = M.Rules({
+        "decompose": lambda q: {"anchor_triples": [["bob", "mett", "eve"]], "search_triple": ["ann", "met", "?"]},
+        "align": align,
+        "constrain": lambda t: {"constraints": [{"anchor_kind": "explicit", "relation": "after", "time_text": "2001-06"}], "ranking": None},
+        "answer": lambda t: {"answers": [line.split(" | ")[2] for line in t.split("\n")[1:]], "thought": ""},
+    })
+    questions = spark.createDataFrame([("q1", "Whom did Ann meet?", "simple", "x", ["dan"])], "qid string, question string, question_level string, question_type string, answer array<string>")
+    out = Job(str(tmp_path), rules, facts(spark), embedder=M.HashEmbedder()).run(questions)
+    r = out.first()
+    assert r.aligned_search == ["ann", "met", "?"] and r.status["align"] == "SUCCESS" and r.predict_answer == ["dan"], r
+    tables = evaluation(out)
+    assert {(t.scope, t.before, t.after) for t in tables["compression"].collect()} == {(s, r.retrieved_count, r.final_count) for s in ("level", "type", "overall")}
+    assert {t.hits_1 for t in tables["hits"].collect()} == {1}
+
+
+def test_cascade_prefers_the_first_search_that_finds_any(spark):
+    rows = [("q", 0, "ann", "met", "?"), ("q", 1, "?", "met", "ann"), ("q", 2, "nobody", "xx", "?"), ("q", alignment.SEARCH, "?", "?", "?")]
+    triples = spark.createDataFrame(rows, "qid string, place int, head string, relation string, tail string")
+    near = lambda *pairs: spark.createDataFrame(pairs, "text string, name string, sim double")
+    ents, rels = near(("ann", "ann", 1.0), ("ann", "eve", 0.3)), near(("met", "met", 1.0))
+    found = alignment.cascade(triples, facts(spark), ents, rels)
+    assert {(r.place, r.branch, r.swapped, r.head, r.tail) for r in found.collect()} == {(0, 0, False, "ann", x) for x in ("bob", "cid", "dan")} | {(1, 1, True, "ann", x) for x in ("bob", "cid", "dan")}
+    weak = alignment.cascade(triples, facts(spark), near(("ann", "eve", 0.3)), rels)
+    assert {(r.place, r.branch, r.head) for r in weak.collect()} == {(0, 2, "eve"), (1, 3, "eve")}
+    gold = alignment.gold_lists(triples, found, cap=2).first()
+    assert gold.gold_entities == ["ann", "nobody"] and gold.gold_relations == ["met", "xx"] and gold.gold_triples == [["ann", "met", "bob"], ["ann", "met", "cid"]] and gold.problem
+
+
 def test_baselines(spark, tmp_path):
     lines = facts(spark).select(F.monotonically_increasing_id().alias("id"), rag.sentence(F.col("head"), F.col("relation"), F.col("tail"), F.col("timestamp"), F.col("timestamp")).alias("sentence"))
     corpus = rag.build_corpus(lines, M.HashEmbedder(), str(tmp_path / "corpus"))
