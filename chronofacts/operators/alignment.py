@@ -26,11 +26,12 @@ def vocabulary(facts: DataFrame, embedder: M.Embedder) -> dict[str, DataFrame]:
     return {"entity": vectors(ents), "relation": vectors(rels)}
 
 
-def near_names(triples: DataFrame, slots: tuple[str, ...], names: DataFrame, embedder: M.Embedder, least: float, k: int = 64) -> DataFrame:
-    """(text, name, sim): for each different known text of the slots its ``k`` nearest names of ``least`` or more, only the confident ones where there are any."""
+def near_names(triples: DataFrame, slots: tuple[str, ...], names: DataFrame, embedder: M.Embedder, least: float, k: int = 64, prune: bool = True) -> DataFrame:
+    """(text, name, sim): for each different known text of the slots its ``k`` nearest names of ``least`` or more; with ``prune`` only the confident ones where there are any."""
     texts = reduce(DataFrame.union, [triples.select(F.col(s).alias("query_id")) for s in slots]).where(~X.is_unknown(F.col("query_id"))).distinct()
     queries = M.embed(texts, "query_id", embedder, "v").select("query_id", similarity.normalized(F.col("v")).alias("v"))
-    found = similarity.prune_confident(similarity.top_k(queries, names, k, least))
+    found = similarity.top_k(queries, names, k, least)
+    found = similarity.prune_confident(found) if prune else found
     return found.select(F.col("query_id").alias("text"), F.col("id").alias("name"), F.col("score").alias("sim"))
 
 
@@ -62,6 +63,15 @@ def candidates(triples: DataFrame, facts: DataFrame, entities: DataFrame, relati
     return reduce(DataFrame.unionByName, parts).withColumn("score_sum", F.col("h_sim") + F.col("r_sim") + F.col("t_sim"))
 
 
+def similar(triples: DataFrame, facts: DataFrame, words: dict[str, DataFrame], embedder: M.Embedder, least: float, cap: int, prune: bool = False) -> DataFrame:
+    """The ``cap`` best facts of each triple whose known slots are ``least`` or more similar, as columns of ``match.exact``: qid, place, those of ``facts`` and the scores."""
+    ents, rels = near_names(triples, ("head", "tail"), words["entity"], embedder, least, prune=prune), near_names(triples, ("relation",), words["relation"], embedder, least, prune=prune)
+    found = candidates(triples, facts, ents, rels).withColumn("anchor_type", X.anchor_type(*(F.col(f"q_{s}") for s in match.SLOTS))).drop(*(f"q_{s}" for s in match.SLOTS))
+    others = [F.col(c) for c in facts.columns if c not in match.SLOTS]
+    best = Window.partitionBy("qid", "place").orderBy(F.desc("score_sum"), *match.SLOTS, *others)
+    return found.join(facts, list(match.SLOTS)).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= cap).drop("_n")
+
+
 def cascade(triples: DataFrame, facts: DataFrame, entities: DataFrame, relations: DataFrame, high: float = 0.4) -> DataFrame:
     """Candidates of the first search that finds any: as asked, then with head and tail swapped, at ``high``; then both at the floor of the names.
 

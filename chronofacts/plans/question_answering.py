@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,11 @@ def note(rows: DataFrame, stage: str, status: Column, message: Column) -> DataFr
 
 @dataclass
 class Job:
-    """One run: where its tables lie, the model and the facts. With an embedder, alignment gives the model gold lists from the graph's vocabulary."""
+    """One run: where its tables lie, the model and the facts.
+
+    With an embedder, alignment gives the model gold lists from the graph's vocabulary, and triples without exact matches take the 50 most similar facts
+    unless ``similar`` finds others.
+    """
 
     folder: str
     provider: M.Caller
@@ -58,11 +63,25 @@ class Job:
         self.stages[name] = spark.read.parquet(path)
         return self.stages[name]
 
+    @cached_property
+    def words(self) -> dict[str, DataFrame]:
+        """The vocabulary with its vectors, embedded once."""
+        return {kind: stored(names) for kind, names in alignment.vocabulary(self.facts, self.embedder).items()}
+
     def decompose(self, questions: DataFrame) -> DataFrame:
-        """Triples from the model; without any the question is skipped. ``no_triple`` searches with the question itself in every slot."""
+        """Triples from the model; without any the question is skipped.
+
+        ``no_triple`` searches with the question itself in every slot; with an embedder the three triples most similar to it stand for anchors.
+        """
         if self.ablation == "no_triple":
             whole = F.array(F.col("question"), F.col("question"), F.col("question"))
-            return note(questions.withColumn("anchor_triples", F.array().cast("array<array<string>>")).withColumn("search_triple", whole), "decompose", F.lit("SKIPPED"), F.lit("no_triple"))
+            rows, anchors = questions, F.array().cast("array<array<string>>")
+            if self.embedder is not None:
+                asked = stored(questions.where("question IS NOT NULL").select("qid", F.lit(0).alias("place"), *(F.col("question").alias(s) for s in match.SLOTS)))
+                weak = alignment.similar(asked, self.facts.select(*match.SLOTS).distinct(), self.words, self.embedder, 0.3, 3, prune=True)
+                best = F.array_sort(F.collect_list(F.struct(-F.col("score_sum"), F.array(*match.SLOTS).alias("t"))))
+                rows, anchors = rows.join(weak.groupBy("qid").agg(F.transform(best, lambda x: x["t"]).alias("_weak")), "qid", "left"), F.coalesce("_weak", anchors)
+            return note(rows.withColumn("anchor_triples", anchors).withColumn("search_triple", whole).drop("_weak"), "decompose", F.lit("SKIPPED"), F.lit("no_triple"))
         got = M.call(questions, "decompose", "question", self.provider)
         out = got.withColumn("anchor_triples", F.coalesce("result.anchor_triples", F.array().cast("array<array<string>>"))).withColumn("search_triple", F.col("result.search_triple"))
         empty = (F.size("anchor_triples") == 0) & F.col("search_triple").isNull()
@@ -73,9 +92,8 @@ class Job:
         slots = [F.get("t", F.lit(k)).alias(s) for k, s in enumerate(match.SLOTS)]
         each = rows.select("qid", F.posexplode("anchor_triples").alias("place", "t")).unionByName(rows.where("search_triple IS NOT NULL").select("qid", F.lit(alignment.SEARCH).alias("place"), F.col("search_triple").alias("t")))
         triples = stored(each.select("qid", "place", *slots))
-        words = alignment.vocabulary(self.facts, self.embedder)
-        ents = stored(alignment.near_names(triples, ("head", "tail"), words["entity"], self.embedder, low))
-        rels = stored(alignment.near_names(triples, ("relation",), words["relation"], self.embedder, low))
+        ents = stored(alignment.near_names(triples, ("head", "tail"), self.words["entity"], self.embedder, low))
+        rels = stored(alignment.near_names(triples, ("relation",), self.words["relation"], self.embedder, low))
         found = stored(alignment.cascade(triples, self.facts, ents, rels, high))
         return alignment.gold_lists(triples, found, cap)
 
@@ -107,8 +125,11 @@ class Job:
     def _candidates(self, rows: DataFrame, triple: Column, *extra: str) -> DataFrame:
         patterns = rows.select("qid", *extra, triple.alias("_t")).where("_t IS NOT NULL").select("qid", *extra, *(F.when(F.col("_t")[k] != "?", F.col("_t")[k]).alias(s) for k, s in enumerate(match.SLOTS)))
         found = match.exact(match.known_names(patterns, self.facts), self.facts)
+        missing = patterns.join(found.select("qid", *extra).distinct(), ["qid", *extra], "left_anti")
+        if self.similar is None and self.embedder is not None:
+            near = alignment.similar(stored(missing.select(F.struct("qid", *extra).alias("qid"), F.lit(0).alias("place"), *match.SLOTS)), self.facts, self.words, self.embedder, 0.7, 50)
+            found = found.unionByName(near.drop("place").select("qid.*", *(c for c in near.columns if c not in ("qid", "place"))), allowMissingColumns=True)
         if self.similar is not None:
-            missing = patterns.join(found.select("qid", *extra).distinct(), ["qid", *extra], "left_anti")
             found = found.unionByName(self.similar(missing), allowMissingColumns=True)
         return found
 

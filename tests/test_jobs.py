@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofacts.operators import alignment, rag
-from chronofacts.plans.question_answering import Job, evaluation
+from chronofacts.plans.question_answering import Job, evaluation, with_ledger
 from chronofacts.sources import providers as M
 from chronofacts.streaming import facts as stream
 
@@ -69,6 +69,26 @@ def test_alignment_gives_gold_lists_and_turns_the_search(spark, tmp_path):
     assert {t.hits_1 for t in tables["hits"].collect()} == {1}
 
 
+def test_triples_without_exact_matches_take_similar_facts(spark, tmp_path):
+    triples = {"anchor_triples": [["Eve", "met", "Bob"]], "search_triple": ["Ann", "met", "?"]}
+    rules = M.Rules({
+        "decompose": lambda q: triples,
+        "align": lambda t: triples | {"problem": False},
+        "constrain": lambda t: {"constraints": [{"anchor_kind": "event", "relation": "after", "anchor_index": 0}], "ranking": None},
+        "answer": lambda t: {"answers": [line.split(" | ")[2] for line in t.split("\n")[1:]], "thought": ""},
+    })
+    questions = spark.createDataFrame([("q1", "Whom did Ann meet after Eve met Bob?")], "qid string, question string")
+    run = lambda name, **k: Job(str(tmp_path / name), rules, facts(spark), **k).run(questions).first()
+    assert run("exact").predict_answer is None and run("near", embedder=M.HashEmbedder()).predict_answer == ["dan"]
+
+
+def test_questions_without_triples_take_weak_anchors(spark, tmp_path):
+    questions = spark.createDataFrame([("q1", "ann met"), ("q2", "zzzz"), ("q3", None)], "qid string, question string")
+    job = Job(str(tmp_path), M.Rules({}), facts(spark).withColumn("tail", F.concat(F.lit("ann "), "tail")), ablation="no_triple", embedder=M.HashEmbedder())
+    got = {r.qid: (r.anchor_triples, r.search_triple) for r in job.decompose(with_ledger(questions)).collect()}
+    assert sorted(got["q1"][0]) == [["ann", "met", f"ann {x}"] for x in ("bob", "cid", "dan")] and got["q1"][1] == ["ann met"] * 3 and got["q2"][0] == [] and got["q3"][0] == []
+
+
 def test_cascade_prefers_the_first_search_that_finds_any(spark):
     rows = [("q", 0, "ann", "met", "?"), ("q", 1, "?", "met", "ann"), ("q", 2, "nobody", "xx", "?"), ("q", alignment.SEARCH, "?", "?", "?")]
     triples = spark.createDataFrame(rows, "qid string, place int, head string, relation string, tail string")
