@@ -527,7 +527,7 @@ def similarity_triple_join(spark: SparkSession, sf: str) -> DataFrame:
 u AS (SELECT *, 0 AS branch FROM f WHERE score >= 0.4 UNION ALL SELECT *, 1 FROM b WHERE score >= 0.4 UNION ALL SELECT *, 2 FROM f WHERE score >= 0.2 UNION ALL SELECT *, 3 FROM b WHERE score >= 0.2)
 SELECT query_id, id, CAST(branch AS INTEGER) AS branch, branch % 2 = 1 AS swapped FROM u QUALIFY branch = min(branch) OVER (PARTITION BY query_id)""")
 def swap_relax_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    s = similarity.scores(*vectors(spark, sf)).where("id <> query_id")
+    s = similarity.scores(*vectors(spark, sf), least=0.2).where("id <> query_id")
     return similarity.swap_cascade(s.where("id % 2 = 0"), s.where("id % 2 = 1")).select("query_id", "id", "branch", "swapped")
 
 
