@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.timeparse import explicit_interval, let, normalize_time
+from ..sources.facts import stored
 
 EVIDENCE = 20
 APPROXIMATE = 50
@@ -63,7 +64,11 @@ def rank_candidates(candidates: DataFrame, key: str = "qid") -> DataFrame:
 
 def constrained(plans: DataFrame, candidates: DataFrame, anchors: DataFrame, cap: int = EVIDENCE) -> DataFrame:
     """The evidence of each question: candidates that meet all constraints (without repeats once there is any), ranked if asked, ``cap`` at most."""
-    tested = apply_constraints(plans, candidates, anchors).where(F.col("passed") == F.size("constraints"))
+    return _evidence(apply_constraints(plans, candidates, anchors), cap)
+
+
+def _evidence(tested: DataFrame, cap: int) -> DataFrame:
+    tested = tested.where(F.col("passed") == F.size("constraints"))
     same = Window.partitionBy("qid", "head", "relation", "tail", "timestamp").orderBy("pos")
     distinct = tested.withColumn("_n", F.row_number().over(same)).where("_n = 1 OR size(constraints) = 0").drop("_n")
     plain, ordered = distinct.where("ranking.rank IS NULL").withColumn("time_rank", F.lit(None).cast("int")), rank_candidates(distinct.where("ranking.rank IS NOT NULL"))
@@ -76,14 +81,15 @@ def evidence_stats(plans: DataFrame, candidates: DataFrame, anchors: DataFrame,
     """One row for each question: retrieved, survivors after each executed constraint, how many were executed, final count and reduction ratios.
 
     The step that empties the set counts as executed, later ones do not. Counts before the first constraint include repeats, those after it do not.
+    The tested candidates are stored, since both the steps and the final count read them.
     """
-    tested = apply_constraints(plans, candidates, anchors)
+    tested = stored(apply_constraints(plans, candidates, anchors))
     steps = tested.select("qid", "passed", F.struct("head", "relation", "tail", "timestamp").alias("fact"), F.explode(F.sequence(F.lit(0), F.size("constraints"))).alias("step"))
     counts = steps.groupBy("qid", "step").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.when(F.col("passed") >= F.col("step"), F.col("fact"))).alias("facts"))
     per = counts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("step", "rows", "facts"))).alias("s"))
     after = F.transform(F.filter("s", lambda x: x["step"] > 0), lambda x: x["facts"])
     executed = F.when(F.array_position("after", 0) > 0, F.array_position("after", 0)).otherwise(F.size("after"))
-    final = constrained(plans, candidates, anchors, cap).groupBy("qid").agg(F.count(F.lit(1)).alias("final_count"))
+    final = _evidence(tested, cap).groupBy("qid").agg(F.count(F.lit(1)).alias("final_count"))
     ratio = lambda a, b: F.when(b > 0, (b - a) / b)
     out = per.select("qid", F.get("s", F.lit(0))["rows"].alias("retrieved_count"), after.alias("after")).withColumn("executed_constraint_count", executed.cast("int"))
     out = out.withColumn("after_counts", F.slice("after", F.lit(1), F.col("executed_constraint_count"))).drop("after").join(final, "qid", "left").fillna(0, ["final_count"])

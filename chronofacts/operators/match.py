@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 SLOTS = ("head", "relation", "tail")
+#: Keys that patterns without a known slot are joined by.
+SALTS = 64
 #: Relations that say the same the other way round, and one that is stored in both directions. Fixed values.
 INVERSE = {"part of": "has part", "has part": "part of", "spouse": "spouse of", "spouse of": "spouse", "owned by": "owner of", "owner of": "owned by"}
 REVERSED = ("winner",)
@@ -22,18 +24,19 @@ def exact(patterns: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of each pattern, with scores of 1 for each slot.
 
     Four equi joins: patterns with a known head join on it, then those with a known tail, then those with a known relation; what else is known
-    is a condition of the join. A pattern without any known slot matches all facts, which is a broadcast of those patterns: their number is the caller's.
+    is a condition of the join. A pattern without any known slot matches all facts: a copy of it stands under each of ``SALTS`` keys, over which the facts are spread.
     """
     p = patterns.withColumns({f"q_{s}": F.when(~X.is_unknown(F.col(s)), F.col(s)) for s in SLOTS}).drop(*SLOTS)
     p = p.withColumn("anchor_type", X.anchor_type(*(F.col(f"q_{s}") for s in SLOTS)))
     known = lambda s: F.col(f"q_{s}").isNotNull()
     same = lambda s: F.col(f"q_{s}") == F.col(s)
     free = lambda s: F.col(f"q_{s}").isNull() | same(s)
+    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*SLOTS), F.lit(SALTS)).cast("int"))
     found = reduce(DataFrame.unionByName, [
         facts.join(p.where(known("head")), same("head") & free("relation") & free("tail")),
         facts.join(p.where(~known("head") & known("tail")), same("tail") & free("relation")),
         facts.join(p.where(~known("head") & ~known("tail") & known("relation")), same("relation")),
-        facts.join(F.broadcast(p.where(~known("head") & ~known("tail") & ~known("relation"))), F.lit(True)),
+        spread.join(p.where(~known("head") & ~known("tail") & ~known("relation")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "_salt").drop("_salt"),
     ]).drop(*(f"q_{s}" for s in SLOTS))
     one = F.lit(1.0)
     return found.withColumns({"h_sim": one, "r_sim": one, "t_sim": one, "score_sum": F.lit(3.0)})
