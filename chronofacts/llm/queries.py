@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, license_scan, sentencepiece_scan, sharding, simhash, topk_search, toxicity, url_filter
+from . import ball_kmeans, chat, decontaminate, exact_dedup, html_extract, license_scan, sentencepiece_scan, sharding, simhash, snapshot_diff, topk_search, toxicity, url_filter
 from .common import parquet
 
 
@@ -52,7 +52,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encoding_report(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_url_filter, op4_simhash, op5_sharding, op6_toxicity, op7_decontaminate, op8_chat_format, op9_html_extraction, op10_sentencepiece)}
+def op11_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_diff.difference_report(parquet(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_report(parquet(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster_report(parquet(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_license_scan, op3_url_filter, op4_simhash, op5_sharding, op6_toxicity, op7_decontaminate, op8_chat_format, op9_html_extraction, op10_sentencepiece, op11_snapshot_diff,
+        op12_exact_dedup, op13_ball_kmeans,
+    )
+}
 
 _OP7_WORDS = r"""string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"""
 
@@ -103,4 +121,66 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE = {"op1_topk_search": _OP1, "op8_chat_format": _OP8, "op3_url_filter": url_filter.oracle(), "op7_decontaminate": _OP7}
+#: CRC-32 of a decimal number's text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(id) + 1), lambda i: ascii(id[i])::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_OP11 = f"""
+WITH e AS (SELECT doc_id AS key, text, lang, source, CAST(doc_id AS VARCHAR) AS id FROM documents),
+n AS (SELECT *, coalesce({_CRC} % 25, -1) AS n FROM e),
+l AS (
+  SELECT unnest(CASE n WHEN 0 THEN [] WHEN 3 THEN [-1 - key] WHEN 4 THEN [-1 - key] WHEN 5 THEN [key, -1 - key] ELSE [key] END) AS key,
+    CASE WHEN n = 1 THEN coalesce(text, '') || '+' ELSE text END AS text, CASE WHEN n = 2 THEN source ELSE lang END AS lang,
+    CASE n WHEN 2 THEN lang WHEN 4 THEN NULL ELSE source END AS source
+  FROM n
+),
+k AS (
+  SELECT l.key, e.key AS old_key, e.text IS DISTINCT FROM l.text AS t, e.lang IS DISTINCT FROM l.lang AS g, e.source IS DISTINCT FROM l.source AS s, l.text, l.lang, l.source
+  FROM l JOIN e ON l.key = e.key
+),
+a AS (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY key) AS i FROM e WHERE NOT EXISTS (FROM l WHERE l.key = e.key)),
+b AS (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY key DESC) AS i FROM l WHERE NOT EXISTS (FROM e WHERE l.key = e.key)),
+c AS (
+  SELECT b.key IS NOT NULL AS later, a.key IS NOT NULL AS earlier, a.key AS a_key, b.key AS b_key, a.source IS DISTINCT FROM b.source AS s, b.text, b.lang, b.source
+  FROM a FULL JOIN b ON a.text IS NOT DISTINCT FROM b.text AND a.lang IS NOT DISTINCT FROM b.lang AND a.i = b.i
+),
+r AS (
+  SELECT key, old_key, CASE WHEN t OR g OR s THEN 'update' ELSE 'same' END AS op, concat_ws(',', CASE WHEN t THEN 'text' END, CASE WHEN g THEN 'lang' END, CASE WHEN s THEN 'source' END) AS changed, true AS later, text, lang, source FROM k
+  UNION ALL
+  SELECT coalesce(b_key, a_key), a_key, CASE WHEN later AND earlier THEN 'rekey' WHEN later THEN 'insert' ELSE 'delete' END, CASE WHEN later AND earlier AND s THEN 'source' ELSE '' END, later, text, lang, source FROM c
+)
+SELECT key, old_key, op, changed, CASE WHEN later THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256 FROM r
+"""
+
+_OP12 = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256 FROM d WINDOW w AS (PARTITION BY norm)
+"""
+
+
+def _op13(rounds: int = ball_kmeans.ROUNDS) -> str:
+    """Rounds as common tables; a centroid is a list of doubles, which hold all its whole numbers."""
+    out = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({ball_kmeans.SCALE} * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE len(embedding) = {ball_kmeans.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{ball_kmeans.SEED}:' || vec_id)) - 1 AS k, e FROM v ORDER BY k LIMIT {ball_kmeans.CLUSTERS})"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS (SELECT vec_id, v.e, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.vec_id, v.e, c.k, list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e) AS d FROM v, c{r} c) v GROUP BY vec_id, v.e)"""
+        if r < rounds:
+            out += f""",
+m{r} AS (SELECT k, i, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(e) AS x, unnest(range(1, {ball_kmeans.DIMENSIONS} + 1)) AS i FROM a{r}) GROUP BY k, i),
+c{r + 1} AS (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS e FROM m{r} GROUP BY k) m USING (k))"""
+    return (
+        out
+        + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)
+"""
+    )
+
+
+ORACLE = {"op11_snapshot_diff": _OP11, "op12_exact_dedup": _OP12, "op13_ball_kmeans": _op13(), "op1_topk_search": _OP1, "op8_chat_format": _OP8, "op3_url_filter": url_filter.oracle(), "op7_decontaminate": _OP7}
