@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.timeparse import explicit_interval, let, normalize_time
+from ..functions.timeparse import coarsen, explicit_interval, let, normalize_time
 from ..sources.facts import stored
+from . import intervals, segments
 
 EVIDENCE = 20
 APPROXIMATE = 50
@@ -108,9 +109,69 @@ def parseable(candidates: DataFrame, *keys: str) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.count_if(normalize_time(F.col("timestamp")).isNotNull()).alias("parseable_count"))
 
 
+def _days(c: Column) -> Column:
+    return F.unix_date(c).cast("long")
+
+
+def _holding(candidates: DataFrame, points: DataFrame) -> DataFrame:
+    """Candidates that hold one of their question's ``points`` (qid, point): the first point that is not before the start must not be behind the end."""
+    p = points.select("qid", (-_days(F.col("point"))).alias("_at")).where("_at IS NOT NULL").withColumn("_v", F.col("_at"))
+    asked = candidates.withColumn("_at", -_days(F.col("start"))).where("_at IS NOT NULL")
+    found = segments.best_before(asked, p, ["qid"], "_at", "_v", "_best")
+    return found.where(F.col("_best") >= -_days(F.col("end"))).select(*candidates.columns)
+
+
+def any_match(candidates: DataFrame, anchors: DataFrame, relation: str, granularity: str | None = None, offset_days: int | None = None) -> DataFrame:
+    """Candidates (qid, start, end, others) that meet a relation with any anchor (qid, start, end) of their question, whatever the number of anchors.
+
+    No pairs are made. Only the anchors that can decide take part: for before and after the latest start and the earliest end; else, where a candidate needs an anchor
+    with ``start`` up to one day and ``end`` from another on, the anchor with the latest end among those that start early enough, found for all candidates
+    by one sorted scan over parts of the questions (``segments.best_before``). With ``offset_days`` the anchors' ends, moved, are points that a candidate must hold.
+
+    Candidates and anchors without a start or an end match nothing; repeated candidates stay repeated. Relations without a rule match nothing.
+    """
+    known = F.col("start").isNotNull() & F.col("end").isNotNull()
+    x, y = candidates.where(known), anchors.where(known).select("qid", "start", "end")
+    if offset_days is not None:
+        if relation not in ("before", "after"):
+            return x.limit(0)
+        move = offset_days if relation == "after" else -offset_days
+        return _holding(x, y.select("qid", F.explode(F.array(F.date_add("start", move), F.date_add("end", move))).alias("point")))
+    if relation in ("before", "after"):
+        ends = y.groupBy(F.col("qid").alias("_q")).agg(F.max("start").alias("_late"), F.min("end").alias("_early"))
+        test = F.col("end") < F.col("_late") if relation == "before" else F.col("start") > F.col("_early")
+        return x.join(ends, (F.col("qid") == F.col("_q")) & test).select(*candidates.columns)
+    xs, xe, ys, ye = F.col("start"), F.col("end"), F.col("start"), F.col("end")
+    if relation == "equal":
+        if granularity is None:
+            return x.limit(0)
+        (xs, xe), (ys, ye) = coarsen(xs, xe, F.lit(granularity)), coarsen(ys, ye, F.lit(granularity))
+    inside = relation in ("during", "inside", "in")
+    if not inside and relation not in ("overlap", "overlaps", "equal"):
+        return x.limit(0)
+    frontier = y.select("qid", _days(ys).alias("_at"), _days(ye).alias("_v"))
+    asked = x.withColumn("_at", _days(xs if inside else xe)).withColumn("_least", _days(xe if inside else xs))
+    found = segments.best_before(asked.where("_at IS NOT NULL"), frontier.where("_at IS NOT NULL"), ["qid"], "_at", "_v", "_best")
+    return found.where("_best >= _least").select(*candidates.columns)
+
+
+def any_offset_match(candidates: DataFrame, anchors: DataFrame, relation: str, days: int, question: Column) -> DataFrame:
+    """Candidates that hold the boundary of any anchor, moved by the offset; ``question``: a column or literal of ``anchors`` that tells which boundary counts."""
+    known = F.col("start").isNotNull() & F.col("end").isNotNull()
+    base = F.when(P.offset_boundary(question, F.lit(relation), F.col("start"), F.col("end")) == "end", F.col("end")).otherwise(F.col("start"))
+    move = {"after": days, "before": -days}.get(relation)
+    if move is None:
+        return candidates.limit(0)
+    return _holding(candidates.where(known), anchors.where(known).select("qid", F.date_add(base, move).alias("point")))
+
+
+def any_interval_match(candidates: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
+    """Candidates that stand in one of the 13 interval relations to any anchor of their question: those whose count of partners (``intervals.relation_counts``) is not 0."""
+    met = intervals.relation_counts(candidates, "qid", relation, anchors).where("matches > 0").select("qid", "start", "end")
+    same = [candidates[c].eqNullSafe(met[c]) for c in ("qid", "start", "end")]
+    return candidates.join(met, same[0] & same[1] & same[2], "left_semi")
+
+
 def semi_join(candidates: DataFrame, anchors: DataFrame, relation: str, granularity: str | None = None, offset_days: int | None = None) -> DataFrame:
-    """Candidates (qid, start, end days) that meet a relation with any anchor of their question (qid, start, end): a semi join on qid with a residual condition."""
-    a = anchors.select(F.col("qid").alias("_q"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    x = (F.col("start"), F.col("end"), F.col("_s"), F.col("_e"))
-    test = P.offset_matches_any(*x, F.lit(relation), F.lit(offset_days)) if offset_days is not None else P.matches(*x, F.lit(relation), F.lit(granularity).cast("string"))
-    return candidates.join(a, (F.col("qid") == F.col("_q")) & test, "left_semi")
+    """``any_match`` by its older name."""
+    return any_match(candidates, anchors, relation, granularity, offset_days)

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.facts import stored
+from . import dominance, segments
+
 
 def union(facts: DataFrame, *keys: str) -> DataFrame:
-    """Islands of each group: intervals that overlap or touch at a day merge; adjacent days do not."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    seen = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = facts.select(*keys, "start", "end").withColumn("_new", F.when(F.col("start") <= seen, 0).otherwise(1))
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    """Islands of each group: intervals that overlap or touch at a day merge; adjacent days do not. Facts without a start or an end take no part.
+
+    A group may hold most of the facts: equal starts are one row with their latest end first, and the running ends go over parts of the group (``segments``).
+    """
+    spans = facts.where(F.col("start").isNotNull() & F.col("end").isNotNull()).groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    seen = segments.running(segments.ranged(spans, keys, ["start"]), ["start"], inclusive=False, _seen=("max", F.col("end")))
+    begins = F.when(F.coalesce(F.col("start") <= F.col("_seen"), F.lit(False)), F.lit(None)).otherwise(F.col("start"))
+    placed = segments.running(seen.withColumn("_begins", begins), ["start"], _island=("max", F.col("_begins")))
+    return placed.groupBy(*keys, "_island").agg(F.max("end").alias("end")).select(*keys, F.col("_island").alias("start"), "end")
 
 
 def intersection(facts: DataFrame, key: str, *members: str) -> DataFrame:
-    """Where all members of a key hold at once: each member's islands first, then a sweep over their boundaries."""
+    """Where all members of a key hold at once: each member's islands first, then a sweep over their boundaries, a step for each day at which cover changes."""
     islands = union(facts, key, *members)
     sizes = islands.select(key, *members).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("_groups"))
     edges = islands.select(key, F.explode(F.array(F.struct(F.col("start").alias("day"), F.lit(1).alias("step")), F.struct(F.date_add("end", 1).alias("day"), F.lit(-1).alias("step")))).alias("e")).select(key, "e.*")
-    steps = edges.groupBy(key, "day").agg(F.sum("step").alias("step"))
-    order = Window.partitionBy(key).orderBy("day")
-    cover = steps.withColumn("_cover", F.sum("step").over(order)).withColumn("_until", F.date_sub(F.lead("day").over(order), 1))
-    found = cover.join(sizes, key).where("_cover = _groups AND _until IS NOT NULL").select(key, F.col("day").alias("start"), F.col("_until").alias("end"))
-    return found
+    steps = segments.ranged(edges.groupBy(key, "day").agg(F.sum("step").alias("step")), [key], ["day"])
+    cover = segments.following(segments.running(steps, ["day"], _cover=("sum", F.col("step"))), "day", "_next")
+    return segments.bare(cover).join(sizes, key).where("_cover = _groups AND _next IS NOT NULL").select(key, F.col("day").alias("start"), F.date_sub("_next", 1).alias("end"))
 
 
 def common_interval(facts: DataFrame, *keys: str) -> DataFrame:
@@ -108,47 +112,39 @@ REGIONS = {
 }
 
 
-def _below(ranks: np.ndarray, weights: np.ndarray, first: np.ndarray, last: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """For each query, the weight of the places from ``first`` to below ``last`` whose rank is below the limit: a wavelet matrix, one pass for each bit."""
-    out, lo, hi = np.zeros(len(limits), np.int64), first.copy(), last.copy()
-    for bit in range(int(max(limits.max(initial=0), ranks.max(initial=0))).bit_length() - 1, -1, -1):
-        zero = (ranks >> bit & 1) == 0
-        before = np.concatenate(([0], np.cumsum(zero)))
-        sums = np.concatenate(([0], np.cumsum(np.where(zero, weights, 0))))
-        one = (limits >> bit & 1) == 1
-        out += np.where(one, sums[hi] - sums[lo], 0)
-        lo, hi = (np.where(one, before[-1] + x - before[x], before[x]) for x in (lo, hi))
-        ranks, weights = np.concatenate((ranks[zero], ranks[~zero])), np.concatenate((weights[zero], weights[~zero]))
-    return out
+def _bounded(facts: DataFrame, key: str, relation: str) -> DataFrame:
+    """A key's different intervals with the region (low, high, least, most) of their partners, as days; null bounds are open."""
+    day = lambda c: F.unix_date(c).cast("long")
+    bounds = dict(zip(("low", "high", "least", "most"), REGIONS[relation](F.col("s"), F.col("e")), strict=True))
+    spans = facts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), F.col("start").alias("_start"), F.col("end").alias("_end")).agg(F.count(F.lit(1)).alias("n"))
+    spans = spans.select("key", "_start", "_end", "n", day(F.col("_start")).alias("s"), day(F.col("_end")).alias("e"))
+    asked = [F.col(c) for c, ends in (("s", ("low", "high")), ("e", ("least", "most"))) if any(bounds[x] is not None for x in ends)]
+    known = F.lit(True)
+    for b in bounds.values():
+        known = known & (b.isNotNull() if b is not None else F.lit(True))
+    none = F.lit(None).cast("long")
+    return spans.withColumn("_asks", known).withColumns({k: b if b is not None else none for k, b in bounds.items()}).withColumn("_takes", functools.reduce(lambda x, y: x & y, (c.isNotNull() for c in asked)))
 
 
-def relation_counts(facts: DataFrame, key: str, relation: str) -> DataFrame:
-    """(key, start, end, n, matches): a key's different intervals, how many facts have each, and to how many facts of the key (itself too) it stands in the relation.
+def relation_counts(facts: DataFrame, key: str, relation: str, partners: DataFrame | None = None) -> DataFrame:
+    """(key, start, end, n, matches): a key's different intervals, how many facts have each, and to how many ``partners`` of the key (by default all facts, itself too) it stands in the relation.
 
-    The self-join is counted, not made: equal intervals are one row with a count, and each key's intervals are sorted by start, so that the partners
-    of an interval are a range of starts and a range of ends. Time goes with n log n of a key's different intervals, which one task holds.
+    The join is counted, not made: the partners of an interval fill a range of starts and a range of ends, whose count is a sum of at most four counts of points below and
+    left of a corner (``dominance``); these are shared out over a grid, so no task holds a key. A day that the relation asks for must not be null.
     """
-    spans = facts.where(F.col(key).isNotNull()).groupBy(key, "start", "end").agg(F.count(F.lit(1)).alias("n"))
-    region = REGIONS[relation]
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("start")  # nulls last
-        days = lambda c: table[c].combine_chunks().cast(pa.int32()).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: E731  null is nan
-        start, end = days("start"), days("end")
-        starts, ends = start[~np.isnan(start)], np.unique(end[~np.isnan(end)])
-        low, high, least, most = bounds = region(start, end)
-        at = lambda known, bound, otherwise: np.full(len(start), otherwise) if bound is None else np.searchsorted(known, bound)
-        # A day that is not asked for may be null: such starts come last, such ends have the highest rank.
-        first, last = at(starts, low, 0), at(starts, high, len(start) if low is None else len(starts))
-        lower, upper = at(ends, least, 0), at(ends, most, len(ends) + 1 if least is None else len(ends))
-        last, upper = np.maximum(first, last), np.maximum(lower, upper)
-        ranks = np.where(np.isnan(end), len(ends), np.searchsorted(ends, end))
-        weights = table["n"].to_numpy()
-        matches = _below(ranks, weights, first, last, upper) - _below(ranks, weights, first, last, lower)
-        for bound in bounds:
-            if bound is not None:
-                matches[np.isnan(bound)] = 0
-        return table.append_column("matches", pa.array(matches))
-
-    fields = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
-    return spans.groupBy(key).applyInArrow(run, ", ".join(f"`{c}` {t}" for c, t in (fields | {"matches": "bigint"}).items()))
+    spans = stored(_bounded(facts, key, relation).withColumn("id", F.monotonically_increasing_id()))
+    others = spans if partners is None else _bounded(partners.select(F.col(key), "start", "end"), key, relation)
+    # Starts or ends that nothing asks for count as 0, and their open corner as 1.
+    free_s, free_e = (all(REGIONS[relation](F.lit(0), F.lit(0))[k] is None for k in pair) for pair in ((0, 1), (2, 3)))
+    points = others.where("_takes").select("key", (F.lit(0).cast("long") if free_s else F.col("s")).alias("s"), (F.lit(0).cast("long") if free_e else F.col("e")).alias("e"), "n")
+    top = F.lit(1 << 40)
+    corners = [(F.coalesce(a, top), F.coalesce(b, top), sign) for a, b, sign in ((F.col("high"), F.col("most"), 1), (F.col("low"), F.col("most"), -1), (F.col("high"), F.col("least"), -1), (F.col("low"), F.col("least"), 1))]
+    has = {"low": F.col("low").isNotNull(), "least": F.col("least").isNotNull()}
+    used = [F.lit(True), has["low"], has["least"], has["low"] & has["least"]]
+    corner = F.array(*(F.when(u, F.struct(a.alias("s"), b.alias("e"), F.lit(sign).alias("sign"), F.lit(k).alias("corner"))) for k, ((a, b, sign), u) in enumerate(zip(corners, used, strict=True))))
+    queries = spans.where("_asks").select("key", "id", F.explode(F.filter(corner, lambda c: c.isNotNull())).alias("c")).select("key", (F.col("id") * 4 + F.col("c.corner")).alias("query"), "c.s", "c.e")
+    found = dominance.counts(points, queries)
+    sign = F.when((F.col("query") % 4).isin(0, 3), F.col("found")).otherwise(-F.col("found"))
+    matches = found.groupBy(F.floor(F.col("query") / 4).cast("long").alias("id")).agg(F.sum(sign).alias("matches"))
+    out = spans.join(matches, "id", "left").select(F.col("key").alias(key), F.col("_start").alias("start"), F.col("_end").alias("end"), "n", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
+    return out

@@ -11,7 +11,7 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..functions import timeparse as D
 from ..operators import curate, programs
-from .workload import ORACLE, QUERIES
+from .shop import ORACLE, QUERIES
 
 
 def _literal(x: object) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as X
 from ..functions import timeparse as D
-from ..operators import answering, constraints, curate, evaluate, intervals, match, programs, rag, similarity
+from ..operators import answering, constraints, curate, evaluate, intervals, match, programs, rag, segments, similarity
 from ..sources import facts as S
 from ..streaming import facts as stream
 
@@ -188,12 +188,19 @@ def timeline_completion(spark: SparkSession, sf: str) -> DataFrame:
     return match.complete_timeline(seeds.dropDuplicates(["qid"]), facts(spark, sf)).drop("answer_type")
 
 
-# Time predicates: supplies against the first supply of the same supplier
+# Time predicates: supplies against any of many supplies of the same supplier (every fortieth in order of time)
 
 _ANCHORED = """
 , s AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY "start", "end", tail) AS n FROM facts WHERE relation = 'supplied'),
-a AS (SELECT head, "start" AS ys, "end" AS ye FROM s WHERE n = 3)
-SELECT s.head, tail, "start", "end" FROM s JOIN a ON s.head = a.head WHERE """
+a AS (SELECT head, "start" AS ys, "end" AS ye FROM s WHERE n % 40 = 3)
+SELECT s.head, tail, "start", "end" FROM s WHERE EXISTS (SELECT 1 FROM a WHERE a.head = s.head AND ({}))"""
+
+
+def many_anchors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Supplies as candidates of their supplier, and its anchors."""
+    s = supplies(spark, sf)
+    numbered = segments.row_number(s, ["head"], ["start", "end", "tail"], "n")
+    return s.withColumn("qid", F.col("head")), numbered.where("n % 40 = 3").select(F.col("head").alias("qid"), "start", "end")
 
 
 def anchored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -204,10 +211,10 @@ def anchored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _relation_query(name: str, relation: str, granularity: str | None, sql: str) -> None:
-    @query(name, _ANCHORED + sql)
+    @query(name, _ANCHORED.format(sql))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        s, a = anchored(spark, sf)
-        return constraints.semi_join(s, a, relation, granularity).select("head", "tail", "start", "end")
+        s, a = many_anchors(spark, sf)
+        return constraints.any_match(s, a, relation, granularity).select("head", "tail", "start", "end")
 
 
 _relation_query("time_before", "before", None, '"end" < ys')
@@ -218,18 +225,16 @@ for _g in ("day", "month", "year"):
     _relation_query(f"time_equal_{_g}", "equal", _g, f"""date_trunc('{_g}', "start") <= date_trunc('{_g}', ye) AND date_trunc('{_g}', "end") >= date_trunc('{_g}', ys)""")
 
 
-@query("time_offset_any", _ANCHORED + """(ys + INTERVAL 30 DAY BETWEEN "start" AND "end") OR (ye + INTERVAL 30 DAY BETWEEN "start" AND "end")""")
+@query("time_offset_any", _ANCHORED.format("""(ys + INTERVAL 30 DAY BETWEEN "start" AND "end") OR (ye + INTERVAL 30 DAY BETWEEN "start" AND "end")"""))
 def time_offset_any(spark: SparkSession, sf: str) -> DataFrame:
-    s, a = anchored(spark, sf)
-    return constraints.semi_join(s, a, "after", offset_days=30).select("head", "tail", "start", "end")
+    s, a = many_anchors(spark, sf)
+    return constraints.any_match(s, a, "after", offset_days=30).select("head", "tail", "start", "end")
 
 
-@query("time_offset_boundary", _ANCHORED + """CASE WHEN ys = ye THEN ys ELSE ye END + INTERVAL 30 DAY BETWEEN "start" AND "end" """)
+@query("time_offset_boundary", _ANCHORED.format("""CASE WHEN ys = ye THEN ys ELSE ye END + INTERVAL 30 DAY BETWEEN "start" AND "end" """))
 def time_offset_boundary(spark: SparkSession, sf: str) -> DataFrame:
-    s, a = anchored(spark, sf)
-    a = a.select(F.col("qid").alias("_q"), F.col("start").alias("ys"), F.col("end").alias("ye"))
-    test = P.offset_matches(F.col("start"), F.col("end"), F.col("ys"), F.col("ye"), F.lit("after"), F.lit(30), F.lit("30 days after it"))
-    return s.join(a, (F.col("qid") == F.col("_q")) & test).select("head", "tail", "start", "end")
+    s, a = many_anchors(spark, sf)
+    return constraints.any_offset_match(s, a, "after", 30, F.lit("30 days after it")).select("head", "tail", "start", "end")
 
 
 _ALLEN_SQL = {
