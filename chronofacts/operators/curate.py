@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.timeparse import flexible_date, sort_date, strip
+from ..sources.facts import stored
+from . import ranks
 
 #: Answers that say nothing. Fixed values.
 INVALID = ("", "noanswer", "no answer", "0 days")
@@ -201,9 +205,7 @@ def water_level(records: DataFrame, level: str, kind: str, order: str, target: i
     s = s.withColumn("_spare", F.lit(target) - F.sum(F.least("n", F.coalesce("L", F.col("n")))).over(w))
     s = s.withColumn("_last", F.row_number().over(Window.partitionBy(level, F.col("n") > F.col("L")).orderBy(F.desc(kind))))
     keep = F.when(F.col("L").isNull(), F.col("n")).otherwise(F.least("n", "L") + F.when((F.col("n") > F.col("L")) & (F.col("_last") <= F.col("_spare")), 1).otherwise(0))
-    plan = s.select(level, kind, keep.alias("_keep"))
-    numbered = records.withColumn("_n", F.row_number().over(Window.partitionBy(level, kind).orderBy(order)))
-    return numbered.join(plan, [level, kind]).where(F.col("_n") <= F.col("_keep")).drop("_n", "_keep")
+    return ranks.first(records, [level, kind], order, s.select(level, kind, keep.cast("long").alias("rank")))
 
 
 def balance_levels(records: DataFrame, level: str, kind: str, order: str, levels: tuple[str, ...] = LEVELS) -> DataFrame:
@@ -251,46 +253,45 @@ def stratified_split(records: DataFrame, strata: list[str], order: str, weights:
     """``split``: exact shares overall and nearly so in each stratum; rows of a stratum are dealt in the order of a hash."""
     spark: SparkSession = records.sparkSession
     key = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in strata))
-    keyed = records.withColumn("_s", key)
+    keyed = records.drop("split").withColumn("_s", key)
     sizes = [((r[0],), r[1]) for r in keyed.groupBy("_s").count().collect()]
-    rows = []
-    for (s,), counts in allocate_strata(sizes, weights).items():
-        at = 0
-        for name, c in counts.items():
-            rows.append((s, name, at, at + c))
-            at += c
-    plan = spark.createDataFrame(rows, "_s string, split string, _from long, _to long")
-    n = F.row_number().over(Window.partitionBy("_s").orderBy(order)) - 1
-    numbered = keyed.drop("split").withColumn("_n", n)
-    return numbered.join(F.broadcast(plan), "_s").where((F.col("_n") >= F.col("_from")) & (F.col("_n") < F.col("_to"))).drop("_s", "_n", "_from", "_to")
+    cuts = [(s, k, at) for (s,), counts in allocate_strata(sizes, weights).items() for k, at in enumerate(list(accumulate(counts[name] for name, _ in weights))[:-1])]
+    banded = ranks.bands(keyed, ["_s"], order, spark.createDataFrame(cuts, "_s string, cut int, rank long"), "_band")
+    return banded.withColumn("split", _named(F.col("_band"), weights)).drop("_s", "_band")
+
+
+def _named(band: Column, weights: tuple[tuple[str, int], ...]) -> Column:
+    return F.element_at(F.array(*(F.lit(name) for name, _ in weights)), band + 1)
 
 
 def hash_split(records: DataFrame, order: Column, weights: tuple[tuple[str, int], ...] = SPLITS, ties: tuple[str, ...] = ("validation", "test", "train")) -> DataFrame:
-    """``split`` by ranges of a hash order. Ranks come from ranges of the hash, so no single task sorts all rows."""
+    """``split`` by ranges of a hash order, cut at exact ranks (``ranks.bands``): nothing is sorted but the rows around the cuts."""
     n = records.count()
-    counts = {r.name: r["count"] for r in records.sparkSession.range(1).select(F.explode(largest_remainder(F.lit(n), weights, ties)).alias("x")).select("x.*").collect()}
-    hashed = records.drop("split").withColumn("_h", order).withColumn("_p", F.substring("_h", 1, 2))
-    before = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h")) + F.col("_before")
-    ranked = hashed.join(F.broadcast(before), "_p").withColumn("_rank", rank)
-    split, top = F.lit(None).cast("string"), n
-    for name, _ in reversed(weights):
-        split = F.when(F.col("_rank") <= top, name).otherwise(split)
-        top -= counts[name]
-    return ranked.withColumn("split", split).drop("_h", "_p", "_before", "_rank")
+    spark = records.sparkSession
+    counts = {r.name: r["count"] for r in spark.range(1).select(F.explode(largest_remainder(F.lit(n), weights, ties)).alias("x")).select("x.*").collect()}
+    at = list(accumulate(counts[name] for name, _ in weights))[:-1]
+    cuts = spark.createDataFrame([(k, x) for k, x in enumerate(at)], "cut int, rank long")
+    banded = ranks.bands(records.drop("split").withColumn("_h", order), [], "_h", cuts, "_band")
+    return banded.withColumn("split", _named(F.col("_band"), weights)).drop("_h", "_band")
 
 
 def stratified_sample(records: DataFrame, strata: list[str], order: Column, n: int, mode: str = "bround") -> DataFrame:
     """Exactly ``min(n, all)`` rows: each stratum gives its share, rounded half to even (or down: ``floor``), in hash order; then the next rows by hash fill up, or the last are dropped."""
-    total = records.count()
-    n = min(n, total)
     hashed = records.withColumn("_h", order)
-    w = Window.partitionBy(*strata)
-    share = F.count(F.lit(1)).over(w) * F.lit(n) / F.lit(max(total, 1))
-    quota = F.bround(share, 0) if mode == "bround" else F.floor(share)
-    rank = F.row_number().over(w.orderBy("_h"))
-    # Quota rows come first, the rest behind them; then a plain limit, which merges sorted heads of partitions.
-    return hashed.withColumn("_out", (rank > quota).cast("int")).orderBy("_out", "_h").limit(n).drop("_out", "_h")
+    sizes = stored(hashed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_c")))
+    total = sizes.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    n = min(n, total)
+    share = F.col("_c") * F.lit(n) / F.lit(max(total, 1))
+    quotas = sizes.select(*strata, (F.bround(share, 0) if mode == "bround" else F.floor(share)).cast("long").alias("rank"))
+    given = quotas.agg(F.coalesce(F.sum("rank"), F.lit(0))).first()[0]
+    banded = ranks.bands(hashed, strata, "_h", quotas.withColumn("cut", F.lit(0)), "_band")
+    quota, rest = banded.where("_band = 0").drop("_band"), banded.where("_band = 1").drop("_band")
+    cut = lambda df, k: ranks.first(df, [], "_h", records.sparkSession.createDataFrame([(k,)], "rank long"))
+    if given > n:
+        quota = cut(quota, n)
+    elif given < n:
+        quota = quota.unionByName(cut(rest, n - given))
+    return quota.drop("_h")
 
 
 def count_by(records: DataFrame, key: str, missing: str) -> DataFrame:

@@ -7,14 +7,15 @@ from a running sum over the grid; the rest lies in the query's own column, or in
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.facts import stored
+from ..sources.facts import stored_table
 
 
 def below(ranks: np.ndarray, weights: np.ndarray, first: np.ndarray, last: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -31,13 +32,17 @@ def below(ranks: np.ndarray, weights: np.ndarray, first: np.ndarray, last: np.nd
     return out
 
 
-def _strip(by: str) -> Callable[[pa.Table], pa.Table]:
-    """Counts inside one strip, for all its keys at once: points of the query's key whose ``by`` and ``e`` are both smaller than the query's."""
+def _strip(by: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of one partition, a strip: its rows with its number as ``name``, and ``found`` larger by the points of the query's key whose ``by`` and ``e`` are both smaller than the query's."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         column = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
         key = table["key"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        query, at, e, n = column("_query") >= 0, column(by), column("e"), column("n")
+        query, at, e, n, total = column("_query") >= 0, column(by), column("e"), column("n"), column("found").copy()
         point = ~query
         places, ends = np.unique(at[point]), np.unique(e[point])
         # Keys one after another, each by its places, as one number.
@@ -46,8 +51,10 @@ def _strip(by: str) -> Callable[[pa.Table], pa.Table]:
         order = np.argsort(where[point], kind="stable")
         where_points, ranks, weights = where[point][order], np.searchsorted(ends, e[point])[order], n[point][order]
         first, last = np.searchsorted(where_points, key[query] * step), np.searchsorted(where_points, where[query])
-        found = below(ranks, weights, first, last, np.searchsorted(ends, e[query]))
-        return pa.table({"_query": table["_query"].filter(pa.array(query)), "found": pa.array(found)})
+        total[query] += below(ranks, weights, first, last, np.searchsorted(ends, e[query]))
+        strip = pa.array(np.full(table.num_rows, TaskContext.get().partitionId(), np.int32))
+        out = table.set_column(table.schema.get_field_index("found"), "found", pa.array(total)).append_column(name, strip)
+        yield from out.to_batches(max_chunksize=65_536)
 
     return run
 
@@ -57,18 +64,17 @@ def counts(points: DataFrame, queries: DataFrame) -> DataFrame:
 
     A null key matches nothing. s and e of a point count when smaller than the query's. A strip of rows is as large as a shuffle partition, whatever the keys.
     """
-    both = points.select("key", "s", "e", "n", F.lit(-1).cast("long").alias("_query")).unionByName(queries.select("key", "s", "e", F.lit(0).cast("long").alias("n"), F.col("query").alias("_query"))).where("key IS NOT NULL")
-    columns = stored(both.repartitionByRange("key", "s").withColumn("_column", F.spark_partition_id()))
-    grid = stored(columns.repartitionByRange("key", "e").withColumn("_row", F.spark_partition_id()))
-    schema = "_query long, found long"
-    in_column = grid.groupBy("_column").applyInArrow(_strip("s"), schema)
-    in_row = grid.groupBy("_row").applyInArrow(_strip("_column"), schema)
+    none = F.lit(0).cast("long")
+    both = points.select("key", "s", "e", "n", F.lit(-1).cast("long").alias("_query"), none.alias("found")).unionByName(queries.select("key", "s", "e", none.alias("n"), F.col("query").alias("_query"), none.alias("found"))).where("key IS NOT NULL")
+    kind = both.schema["key"].dataType.simpleString()
+    columns = both.repartitionByRange("key", "s").mapInArrow(_strip("s", "_column"), f"key {kind}, s long, e long, n long, _query long, found long, _column int").drop("s")
+    rows = stored_table(columns).repartitionByRange("key", "e").mapInArrow(_strip("_column", "_row"), f"key {kind}, e long, n long, _query long, found long, _column int, _row int")
+    grid = stored_table(rows.drop("e"))
     # One row for each cell of the grid that a key reaches: few, but for hot keys, and at most parts times parts for one of them.
     cells = grid.groupBy("key", "_column", "_row").agg(F.sum("n").alias("n"))
     dense = cells.select("key", "_column").distinct().join(cells.select("key", "_row").distinct(), "key").join(cells, ["key", "_column", "_row"], "left")
     left = Window.partitionBy("key", "_row").orderBy("_column").rowsBetween(Window.unboundedPreceding, -1)
     under = Window.partitionBy("key", "_column").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     sums = dense.withColumn("left", F.sum("n").over(left)).withColumn("found", F.sum("left").over(under)).where("found > 0").select("key", "_column", "_row", "found")
-    whole = grid.where("_query >= 0").select("key", "_column", "_row", "_query").join(sums, ["key", "_column", "_row"]).select("_query", "found")
-    total = in_column.unionByName(in_row).unionByName(whole).where("found > 0")
-    return total.groupBy(F.col("_query").alias("query")).agg(F.sum("found").alias("found"))
+    asked = grid.where("_query >= 0").join(sums.withColumnRenamed("found", "_whole"), ["key", "_column", "_row"], "left")
+    return asked.select(F.col("_query").alias("query"), (F.col("found") + F.coalesce("_whole", none)).alias("found")).where("found > 0")

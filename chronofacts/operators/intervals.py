@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.facts import stored
+from ..sources.facts import stored_table
 from . import dominance, segments
 
 
@@ -132,7 +132,7 @@ def relation_counts(facts: DataFrame, key: str, relation: str, partners: DataFra
     The join is counted, not made: the partners of an interval fill a range of starts and a range of ends, whose count is a sum of at most four counts of points below and
     left of a corner (``dominance``); these are shared out over a grid, so no task holds a key. A day that the relation asks for must not be null.
     """
-    spans = stored(_bounded(facts, key, relation).withColumn("id", F.monotonically_increasing_id()))
+    spans = stored_table(_bounded(facts, key, relation).withColumn("id", F.monotonically_increasing_id()))
     others = spans if partners is None else _bounded(partners.select(F.col(key), "start", "end"), key, relation)
     # Starts or ends that nothing asks for count as 0, and their open corner as 1.
     free_s, free_e = (all(REGIONS[relation](F.lit(0), F.lit(0))[k] is None for k in pair) for pair in ((0, 1), (2, 3)))

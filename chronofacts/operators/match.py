@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.facts import stored
 
 SLOTS = ("head", "relation", "tail")
 #: Keys that patterns without a known slot are joined by.
@@ -82,12 +84,11 @@ def exact_with_fallback(patterns: DataFrame, facts: DataFrame) -> DataFrame:
     ])
 
 
-def exact_or_similar(patterns: DataFrame, facts: DataFrame, similar: DataFrame, cap: int = 50) -> DataFrame:
-    """Exact matches; for questions without any, the ``cap`` best similar candidates (qid and the columns of ``exact``)."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score_sum"), *SLOTS)
-    found = exact(patterns, facts)
-    best = similar.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
-    return found.withColumn("approximate", F.lit(False)).unionByName(best.join(found.select("qid").distinct(), "qid", "left_anti").withColumn("approximate", F.lit(True)), allowMissingColumns=True)
+def exact_or_similar(patterns: DataFrame, facts: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Exact matches; questions without any get what ``similar`` finds for them (given their patterns, it returns qid and the columns of ``exact``, cut to its cap)."""
+    found = stored(exact(patterns, facts))
+    left = patterns.join(found.select("qid").distinct(), "qid", "left_anti")
+    return found.withColumn("approximate", F.lit(False)).unionByName(similar(left).withColumn("approximate", F.lit(True)), allowMissingColumns=True)
 
 
 def complete_timeline(seeds: DataFrame, facts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.facts import stored
+from ..sources.facts import stored_table
 
 #: Aggregates that can be carried: how a part is summed up, and how two summaries combine (null: nothing yet).
 COMBINE: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
@@ -27,8 +27,8 @@ COMBINE: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column],
 
 def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``rows`` with ``_key`` (a struct of the keys) and ``_part``: parts ascend with key and order. Stored, as the parts must stay what they are."""
-    dealt = rows.withColumn("_key", F.struct(*keys)).repartitionByRange(*keys, *order)
-    return stored(dealt.withColumn("_part", F.spark_partition_id()))
+    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return stored_table(dealt.withColumn("_part", F.spark_partition_id())).withColumn("_key", F.struct(*keys))
 
 
 def _carried(rows: DataFrame, aggregates: dict[str, tuple[str, Column]], later: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as X
 from ..functions import timeparse as D
-from ..operators import answering, constraints, curate, evaluate, intervals, match, programs, rag, segments, similarity
+from ..operators import answering, constraints, curate, evaluate, intervals, match, programs, rag, rank_join, segments, similarity
 from ..sources import facts as S
 from ..streaming import facts as stream
 
@@ -527,6 +527,62 @@ def similarity_triple_join(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("qid", "head", "tail", "h_sim", F.round("score_sum", 6).alias("score_sum"))
 
 
+# Three slots at once: names of suppliers, line states and parts have vectors; a question is three vectors. Similarities in whole millionths, so that sums tie alike everywhere.
+
+_NAMED = f"""shipments AS (SELECT DISTINCT concat('s', l_suppkey) AS head, concat(l_returnflag, l_linestatus) AS relation, concat('p', l_partkey) AS tail FROM lineitem),
+n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+names AS (SELECT 'head' AS slot, concat('s', s_suppkey) AS name, s_suppkey % n AS id FROM supplier, n UNION ALL SELECT 'tail', concat('p', p_partkey), p_partkey % n FROM part, n UNION ALL SELECT 'relation', m, ascii(m) * 11 % n FROM (SELECT DISTINCT concat(l_returnflag, l_linestatus) AS m FROM lineitem), n),
+q AS (SELECT vec_id AS qid, unnest([{{'slot': 'head', 'id': vec_id}}, {{'slot': 'relation', 'id': (vec_id * 7 + 1) % n}}, {{'slot': 'tail', 'id': (vec_id * 13 + 5) % n}}], recursive := true) FROM embeddings, n WHERE vec_id % 100 = 0),
+sims AS (SELECT qid, q.slot, name, CAST(round(1000000 * list_inner_product(a.v, b.v)) AS BIGINT) AS sim FROM q JOIN e a ON q.id = a.vec_id JOIN names USING (slot) JOIN e b ON names.id = b.vec_id),
+j AS (SELECT qid, f.head, f.relation, f.tail, h.sim AS h_sim, r.sim AS r_sim, t.sim AS t_sim, h.sim + r.sim + t.sim AS score_sum FROM shipments f JOIN sims h ON h.slot = 'head' AND h.name = f.head JOIN sims r USING (qid) JOIN sims t USING (qid) WHERE r.slot = 'relation' AND r.name = f.relation AND t.slot = 'tail' AND t.name = f.tail)"""
+
+
+def shipments(spark: SparkSession, sf: str) -> DataFrame:
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    return table(spark, sf, "lineitem").select(key("s", "l_suppkey").alias("head"), F.concat("l_returnflag", "l_linestatus").alias("relation"), key("p", "l_partkey").alias("tail")).distinct()
+
+
+def named_slots(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """For each slot (qid, name, sim): every name, by the inner product with the question's vector of that slot."""
+    e = table(spark, sf, "embeddings")
+    n = e.count()
+    e = e.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").alias("v"))
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string")).alias("name")
+    names = {
+        "head": table(spark, sf, "supplier").select(key("s", "s_suppkey"), (F.col("s_suppkey") % n).alias("vec_id")),
+        "relation": table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("name")).distinct().withColumn("vec_id", (F.ascii("name") * 11 % n).cast("long")),
+        "tail": table(spark, sf, "part").select(key("p", "p_partkey"), (F.col("p_partkey") % n).alias("vec_id")),
+    }
+    asked = {"head": F.col("vec_id"), "relation": (F.col("vec_id") * 7 + 1) % n, "tail": (F.col("vec_id") * 13 + 5) % n}
+    out = {}
+    for slot, vocabulary in names.items():
+        q = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), asked[slot].alias("vec_id")).join(e, "vec_id").select("query_id", "v")
+        found = similarity.scores(q, vocabulary.join(e, "vec_id").select(F.col("name").alias("id"), "v"))
+        out[slot] = found.select(F.col("query_id").alias("qid"), F.col("id").alias("name"), F.round(F.col("score") * 1_000_000).cast("long").alias("sim"))
+    return out
+
+
+@query("similarity_rank_join", f"WITH {_NAMED} SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score_sum DESC, head, relation, tail) <= 50")
+def similarity_rank_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 best facts of each question by the sum of three similarities; all names are candidates."""
+    return rank_join.best_triples(named_slots(spark, sf), shipments(spark, sf), 50)[0]
+
+
+@query("exact_or_similar", f"""WITH {_NAMED},
+p AS (SELECT vec_id AS qid, concat('s', vec_id % 10 + 1) AS head, 'RF' AS relation, CASE WHEN vec_id % 200 = 0 THEN NULL ELSE 'no such part' END AS tail FROM embeddings WHERE vec_id % 100 = 0),
+x AS (SELECT qid, f.head, f.relation, f.tail FROM p JOIN shipments f ON p.head = f.head AND p.relation = f.relation AND coalesce(p.tail, f.tail) = f.tail)
+SELECT qid, head, relation, tail, CAST(3 AS BIGINT) AS score_sum, false AS approximate FROM x
+UNION ALL SELECT qid, head, relation, tail, score_sum, true FROM (SELECT * FROM j WHERE qid NOT IN (SELECT qid FROM x) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score_sum DESC, head, relation, tail) <= 50)""")
+def exact_or_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns with a supplier and a line state; every second one asks for a part that does not exist and gets the 50 most similar facts."""
+    e = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    asked = F.when(F.col("vec_id") % 200 != 0, "no such part")
+    p = e.select(F.col("vec_id").alias("qid"), F.concat(F.lit("s"), (F.col("vec_id") % 10 + 1).cast("string")).alias("head"), F.lit("RF").alias("relation"), asked.alias("tail"))
+    f = shipments(spark, sf)
+    similar = lambda left: rank_join.best_triples({s: df.join(left.select("qid"), "qid") for s, df in named_slots(spark, sf).items()}, f, 50)[0]
+    return match.exact_or_similar(p, f, similar).select("qid", "head", "relation", "tail", F.col("score_sum").cast("long").alias("score_sum"), "approximate")
+
+
 @query("swap_relax_cascade", _SCORES + """
 , f AS (SELECT query_id, id, score FROM s WHERE id % 2 = 0 AND id <> query_id), b AS (SELECT query_id, id, score FROM s WHERE id % 2 = 1 AND id <> query_id),
 u AS (SELECT *, 0 AS branch FROM f WHERE score >= 0.4 UNION ALL SELECT *, 1 FROM b WHERE score >= 0.4 UNION ALL SELECT *, 2 FROM f WHERE score >= 0.2 UNION ALL SELECT *, 3 FROM b WHERE score >= 0.2)
@@ -608,7 +664,22 @@ def largest_remainder(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("lang", "source", F.explode(curate.largest_remainder(F.col("c"))).alias("x")).select("lang", "source", F.col("x.name").alias("split"), F.col("x.count").cast("long").alias("n"))
 
 
-@query("stratified_split")
+@query("stratified_split", """WITH RECURSIVE d AS (SELECT doc_id, lang, source, concat(coalesce(lang, '~'), chr(1), coalesce(source, '~')) AS s, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+g AS (SELECT s, count(*) AS c, count(*) * 8 // 10 AS ft, count(*) // 10 AS fv, count(*) * 8 % 10 AS rt, count(*) % 10 AS rv FROM d GROUP BY s),
+n AS (SELECT sum(c) AS n, sum(ft) AS t, sum(fv) AS v FROM g), w AS (SELECT n * 8 // 10 AS wt, n // 10 AS wv, n * 8 % 10 AS ot, n % 10 AS ov, n - n * 8 // 10 - 2 * (n // 10) AS spare, t, v FROM n),
+lack AS (SELECT wt + CASE WHEN spare >= 1 AND (ot >= ov OR spare > 2) THEN 1 ELSE 0 END - t AS lt, wv + CASE WHEN spare >= CASE WHEN ot >= ov THEN 2 ELSE 1 END THEN 1 ELSE 0 END - v AS lv, wv + CASE WHEN spare >= CASE WHEN ot >= ov THEN 3 ELSE 2 END THEN 1 ELSE 0 END - v AS ls FROM w),
+spare AS (SELECT s, rt, rv, unnest(range(c - ft - 2 * fv)) AS j, c FROM g), step AS (SELECT *, row_number() OVER (ORDER BY c DESC, s, j) AS i FROM spare),
+deal AS (
+  SELECT CAST(0 AS BIGINT) AS i, '' AS s, '' AS got, '' AS pick, CAST(lt AS BIGINT) AS lt, CAST(lv AS BIGINT) AS lv, CAST(ls AS BIGINT) AS ls FROM lack
+  UNION ALL
+  SELECT i, s, got || pick, pick, lt - CAST(pick = 't' AS INT), lv - CAST(pick = 'v' AS INT), ls - CAST(pick = 's' AS INT) FROM (
+    SELECT i, s, got, lt, lv, ls, CASE WHEN et >= ev AND et >= es THEN 't' WHEN ev >= es THEN 'v' ELSE 's' END AS pick FROM (
+      SELECT i, s, got, lt, lv, ls, CASE WHEN lt > 0 THEN rt - 10 * CAST(contains(got, 't') AS INT) ELSE -99 END AS et, CASE WHEN lv > 0 THEN rv - 10 * CAST(contains(got, 'v') AS INT) ELSE -99 END AS ev, CASE WHEN ls > 0 THEN rv - 10 * CAST(contains(got, 's') AS INT) ELSE -99 END AS es
+      FROM (SELECT step.i, step.s, rt, rv, lt, lv, ls, CASE WHEN j = 0 THEN '' ELSE got END AS got FROM deal JOIN step ON step.i = deal.i + 1)))
+),
+q AS (SELECT g.s, ft + count(*) FILTER (pick = 't') AS t, ft + count(*) FILTER (pick = 't') + fv + count(*) FILTER (pick = 'v') AS v FROM g LEFT JOIN deal ON g.s = deal.s GROUP BY g.s, ft, fv),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) AS k FROM d)
+SELECT doc_id, lang, source, CASE WHEN k <= t THEN 'train' WHEN k <= v THEN 'validation' ELSE 'test' END AS split FROM o JOIN q USING (s)""")
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by language and source, 8:1:1."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
