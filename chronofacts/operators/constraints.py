@@ -150,9 +150,9 @@ def any_match(candidates: DataFrame, anchors: DataFrame, relation: str, granular
     if not inside and relation not in ("overlap", "overlaps", "equal"):
         return x.limit(0)
     frontier = y.select("qid", _days(ys).alias("_at"), _days(ye).alias("_v"))
-    asked = x.withColumn("_at", _days(xs if inside else xe)).withColumn("_least", _days(xe if inside else xs))
+    asked = x.withColumn("_at", _days(xs if inside else xe))
     found = segments.best_before(asked.where("_at IS NOT NULL"), frontier.where("_at IS NOT NULL"), ["qid"], "_at", "_v", "_best")
-    return found.where("_best >= _least").select(*candidates.columns)
+    return found.where(F.col("_best") >= _days(xe if inside else xs)).select(*candidates.columns)
 
 
 def any_offset_match(candidates: DataFrame, anchors: DataFrame, relation: str, days: int, question: Column) -> DataFrame:

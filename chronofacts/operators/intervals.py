@@ -19,7 +19,7 @@ def union(facts: DataFrame, *keys: str) -> DataFrame:
     spans = facts.where(F.col("start").isNotNull() & F.col("end").isNotNull()).groupBy(*keys, "start").agg(F.max("end").alias("end"))
     seen = segments.running(segments.ranged(spans, keys, ["start"]), ["start"], inclusive=False, _seen=("max", F.col("end")))
     begins = F.when(F.coalesce(F.col("start") <= F.col("_seen"), F.lit(False)), F.lit(None)).otherwise(F.col("start"))
-    placed = segments.running(seen.withColumn("_begins", begins), ["start"], _island=("max", F.col("_begins")))
+    placed = segments.bare(segments.running(seen.withColumn("_begins", begins), ["start"], _island=("max", F.col("_begins"))))
     return placed.groupBy(*keys, "_island").agg(F.max("end").alias("end")).select(*keys, F.col("_island").alias("start"), "end")
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..sources.facts import stored_table
 
+#: Pieces into which the candidates of one key and place can be cut.
+TIES = 4096
 #: Aggregates that can be carried: how a part is summed up, and how two summaries combine (null: nothing yet).
 COMBINE: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
     "max": (F.max, F.greatest),
@@ -26,9 +28,9 @@ COMBINE: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column],
 
 
 def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``rows`` with ``_key`` (a struct of the keys) and ``_part``: parts ascend with key and order. Stored, as the parts must stay what they are."""
+    """``rows`` with ``_part`` and, in place of the keys, ``_key`` (a struct of them): parts ascend with key and order. Stored, as the parts must stay what they are."""
     dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    return stored_table(dealt.withColumn("_part", F.spark_partition_id())).withColumn("_key", F.struct(*keys))
+    return stored_table(dealt.select(F.struct(*keys).alias("_key"), *(c for c in rows.columns if c not in keys), F.spark_partition_id().alias("_part")))
 
 
 def _carried(rows: DataFrame, aggregates: dict[str, tuple[str, Column]], later: bool = False) -> DataFrame:
@@ -54,12 +56,13 @@ def following(rows: DataFrame, order: str, name: str) -> DataFrame:
 
 
 def bare(rows: DataFrame) -> DataFrame:
-    return rows.drop("_key", "_part")
+    """Scanned rows with their keys again and without the parts."""
+    return rows.select("_key.*", *(c for c in rows.columns if c not in ("_key", "_part")))
 
 
 def row_number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``rows`` with the place of each among its key's rows in ``order``, from 1."""
-    return bare(running(ranged(rows, keys, order), order, **{name: ("sum", F.lit(1).cast("long"))}))
+    return bare(running(ranged(rows, keys, order), order, **{name: ("sum", F.lit(1).cast("long"))})).select(*rows.columns, name)
 
 
 def best_before(candidates: DataFrame, anchors: DataFrame, keys: Sequence[str], at: str, value: str, name: str) -> DataFrame:
@@ -71,8 +74,8 @@ def best_before(candidates: DataFrame, anchors: DataFrame, keys: Sequence[str],
     frontier = anchors.groupBy(*keys, at).agg(F.max(value).alias("_value")).withColumn("_side", F.lit(0))
     columns = [F.col(c) for c in candidates.columns]
     rest = [c for c in candidates.columns if c not in (*keys, at)]
-    both = candidates.select(*columns, F.lit(None).cast(frontier.schema["_value"].dataType).alias("_value"), F.lit(1).alias("_side"), F.xxhash64(*columns).alias("_tie"))
-    both = both.unionByName(frontier.withColumn("_tie", F.lit(0).cast("long")), allowMissingColumns=True)
+    both = candidates.select(*columns, F.lit(None).cast(frontier.schema["_value"].dataType).alias("_value"), F.lit(1).alias("_side"), F.pmod(F.xxhash64(*columns), F.lit(TIES)).cast("int").alias("_tie"))
+    both = both.unionByName(frontier.withColumn("_tie", F.lit(0)), allowMissingColumns=True)
     order = [at, "_side", "_tie"]
     seen = running(ranged(both, keys, order), order, **{name: ("max", F.col("_value"))})
-    return seen.where("_side = 1").select(*keys, at, *rest, name)
+    return bare(seen.where("_side = 1")).select(*keys, at, *rest, name)

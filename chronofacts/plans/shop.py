@@ -6,10 +6,15 @@ Rows without a key or with an end before their start are no facts.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import constraints, intervals
+from ..sources import store
+from ..sources.store import scratch_folder
+from ..streaming import facts as stream
 from .workload import _ALLEN_SQL, _ISLANDS, ORACLE, QUERIES, query, table
 
 _DELIVERIES = """deliveries AS (
@@ -60,6 +65,39 @@ def shop_open_days(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.total_duration(deliveries(spark, sf), "head", "item")
 
 
+# Streams
+
+
+@query("stream_visit_islands", _sql(_VISITS, _ISLANDS.format(keys="head", where="true").replace("FROM facts", "FROM visits") + """
+, late AS (SELECT max("start") - INTERVAL 4 DAY AS mark FROM visits)
+SELECT head, "start", "end" FROM u, late WHERE "end" < mark"""))
+def stream_visit_islands(spark: SparkSession, sf: str) -> DataFrame:
+    """``shop_visit_islands`` from a stream that brings clicks in the order of their arrival: islands that the last watermark has closed."""
+    folder = scratch_folder(spark)
+    clicks = table(spark, sf, "clicks").select("client_id", "ts", "arrived_at")
+    arriving = stream.replay(clicks, "arrived_at", f"{folder}/clicks").where("client_id IS NOT NULL")
+    facts = arriving.select(F.col("client_id").alias("head"), F.col("ts").alias("start"), F.col("arrived_at").alias("end"))
+    return stream.collected(stream.islands(facts, "head", late="4 days"), folder).select("head", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+
+
+# Stored facts
+
+_ORDERED = """ordered AS (SELECT 'client ' || client_id AS head, status AS relation, 'priority ' || priority AS tail, CAST(sold_at AS DATE) AS "start", CAST(arrived_at AS DATE) AS "end" FROM sales WHERE client_id IS NOT NULL AND sold_at <= arrived_at)"""
+
+
+@query("stored_facts_match", _sql(_ORDERED, """, p AS (SELECT DISTINCT head FROM ordered WHERE tail = 'priority 5')
+SELECT head AS qid, head, relation, tail, "start", "end" FROM ordered JOIN p USING (head) WHERE relation = 'open' AND "start" <= DATE '2024-03-10' AND "end" >= DATE '2024-02-20'"""))
+def stored_facts_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders saved as a store, loaded again and matched: what was open around the turn of February for each client that has ever had priority 5."""
+    sales = table(spark, sf, "sales").where("client_id IS NOT NULL AND sold_at <= arrived_at")
+    text = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    facts = sales.select(text("client ", "client_id").alias("head"), F.col("status").alias("relation"), text("priority ", "priority").alias("tail"), F.col("sold_at").cast("date").alias("start"), F.col("arrived_at").cast("date").alias("end"))
+    folder = scratch_folder(spark)
+    store.save_facts(facts, folder)
+    p = facts.where("tail = 'priority 5'").select(F.col("head").alias("qid"), "head", F.lit("open").alias("relation"), F.lit(None).cast("string").alias("tail")).distinct()
+    return store.load_facts(spark, folder).of_heads(p, dt.date(2024, 2, 20), dt.date(2024, 3, 10))
+
+
 # Any-match: deliveries against all swapped deliveries of the same vendor
 
 _MATCH = """

@@ -32,6 +32,39 @@ def distinct_facts(stream: DataFrame, key: str = "edge_id") -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([key])
 
 
+def islands(facts: DataFrame, *keys: str, late: str | None = None) -> DataFrame:
+    """Islands of intervals [start, end] (timestamps) of each key, as ``intervals.union`` makes them, for a stream or a table.
+
+    An interval is a session whose gap is its own length, so Spark merges what overlaps or touches and keeps open islands only: with ``late``, an island comes
+    out once, when the watermark has passed its end, and its state goes. Rows that start before the watermark are dropped. Rows without a
+    start or an end, or with an end before the start, take no part.
+    """
+    rows = facts.where("start <= end").withColumns({"start": F.col("start").cast("timestamp"), "end": F.col("end").cast("timestamp")})
+    rows = rows.withWatermark("start", late) if late is not None else rows
+    # Sessions are open at their end: a microsecond more closes them, and points last as long.
+    gap = F.concat((F.unix_micros("end") - F.unix_micros("start") + 1).cast("string"), F.lit(" microseconds"))
+    found = rows.groupBy(F.session_window("start", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("facts"))
+    return found.select(*keys, F.col("w.start").alias("start"), F.timestamp_micros(F.unix_micros("w.end") - 1).alias("end"), "facts")
+
+
+def replay(table: DataFrame, column: str, folder: str, slices: int = 6, files: int = 4) -> DataFrame:
+    """``table`` as a stream that brings its rows in the order of ``column``, some files a batch: slices at its quantiles are written one after another under ``folder``. Rows without the column come first."""
+    spark = table.sparkSession
+    at = F.unix_micros(F.col(column).cast("timestamp"))
+    marks = [int(x) for x in table.select(at.cast("double").alias("at")).approxQuantile("at", [k / slices for k in range(1, slices)], 0.001)]
+    place = F.size(F.filter(F.array(*(F.lit(m) for m in marks)), lambda m: at > m)) if marks else F.lit(0)
+    for k in range(slices):
+        table.where(F.coalesce(place, F.lit(0)) == k).coalesce(files).write.parquet(f"{folder}/slice={k}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slice=*")
+
+
+def collected(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what there is, in append mode, and give its rows as a table; a second call with the same folder goes on where the first ended."""
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def union_stream(stream: DataFrame, key: str) -> DataFrame:
     """The islands of each key as facts arrive: every batch emits the key's islands anew (update mode). Columns: key, start, end (days), version."""
     state, out = "starts array<date>, ends array<date>, version long", f"{key} string, start date, end date, version long"

@@ -39,7 +39,7 @@ def facts(spark, spans):
 def test_a_hot_key_has_many_parts(facts):
     ranged = segments.ranged(facts.distinct(), ["qid"], ["start", "end"])
     sizes = [r["count"] for r in ranged.groupBy("_part").count().collect()]
-    assert max(sizes) < 0.4 * sum(sizes) and ranged.where("qid = 'hot'").select("_part").distinct().count() >= 5
+    assert max(sizes) < 0.4 * sum(sizes) and ranged.where("_key.qid = 'hot'").select("_part").distinct().count() >= 5
 
 
 def test_union_of_a_hot_key(facts, spans):
@@ -82,9 +82,9 @@ def test_row_numbers_and_running_sums_of_a_hot_key(spark):
     want = {(g, x): i + 1 for g, xs in by.items() for i, x in enumerate(sorted(xs))}
     assert {(r.g, r.x): r.n for r in segments.row_number(rows, ["g"], ["x"], "n").collect()} == want
     sums = segments.running(segments.ranged(rows, ["g"], ["x"]), ["x"], inclusive=False, s=("sum", F.col("x")), m=("max", F.col("x")))
-    following = {(r.g, r.x): r.nxt for r in segments.following(segments.ranged(rows, ["g"], ["x"]), "x", "nxt").collect()}
+    following = {(r.g, r.x): r.nxt for r in segments.bare(segments.following(segments.ranged(rows, ["g"], ["x"]), "x", "nxt")).collect()}
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    for r in sums.collect():
+    for r in segments.bare(sums).collect():
         before = [x for x in by[r.g] if x < r.x]
         assert (r.s, r.m) == ((sum(before), max(before)) if before else (None, None))
         assert following[r.g, r.x] == min((x for x in by[r.g] if x > r.x), default=None)
