@@ -1,8 +1,12 @@
-"""Registered rule tables: inputs written by hand through one function each, and the results that the rules state, written by hand as SQL."""
+"""Registered queries that run one function each over every order: texts are made from its key, days and priority, and SQL states what the function must give.
+
+``k`` is the order's key, which picks the case; ``d`` is its day, ``e`` a day up to 89 days later, ``pr`` its priority, ``n`` a number from 1 to 40.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,139 +16,205 @@ from ..functions import text as X
 from ..functions import timeparse as D
 from ..operators import curate, programs
 from .shop import ORACLE, QUERIES
+from .workload import table
+
+_BASE = """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INTEGER) AS DATE) AS e, o_orderpriority AS pr, o_orderkey % 40 + 1 AS n FROM orders),
+b AS (SELECT *, CAST(d AS VARCHAR) AS dt, CAST(e AS VARCHAR) AS et, strftime(d, '%Y') AS y, lower(pr) AS lp FROM o)"""
+
+
+def cases(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    day = F.col("o_orderdate").cast("date")
+    return o.select(F.col("o_orderkey").alias("k"), day.alias("d"), F.date_add(day, (F.col("o_orderkey") % 90).cast("int")).alias("e"), F.col("o_orderpriority").alias("pr"), (F.col("o_orderkey") % 40 + 1).alias("n"))
+
+
+def _inputs() -> SimpleNamespace:
+    """Columns of ``cases``, texts of them, and a word for a number from 1 to 10."""
+    k, d, e, pr, n = (F.col(c) for c in ("k", "d", "e", "pr", "n"))
+    i = (F.floor(k / 6) % 10).cast("int")
+    return SimpleNamespace(
+        k=k, d=d, e=e, pr=pr, n=n, dt=d.cast("string"), et=e.cast("string"), nt=n.cast("string"), y=F.date_format(d, "yyyy"), m=F.date_format(d, "yyyy-MM"), ye=F.date_format(e, "yyyy"),
+        i=(i + 1).cast("string"), word=F.element_at(F.array(*map(F.lit, X.ORDINALS)), i + 1),
+    )
+
+
+def text(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def pick(*choices: Column | str | None | list) -> Column:
+    """The choice whose place is k modulo their number; lists are arrays of texts."""
+    plain = lambda c: c if isinstance(c, Column) else F.array(*map(plain, c)).cast("array<string>") if isinstance(c, list) else F.lit(c)
+    out = None
+    for i, c in enumerate(choices[:-1]):
+        hit = F.col("k") % len(choices) == i
+        out = F.when(hit, plain(c)) if out is None else out.when(hit, plain(c))
+    return out.otherwise(plain(choices[-1]))
 
 
-def _literal(x: object) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    if isinstance(x, (list, tuple)):
-        return "[" + ", ".join(map(_literal, x)) + "]" if x else "[]"
-    return str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+def strings(*xs: Column | str) -> Column:
+    return F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs))
 
 
-def rule(name: str, inputs: str, outputs: str, rows: Sequence[tuple], *results: Callable[..., Column]) -> None:
-    """Register ``name``: ``rows`` are inputs followed by expected outputs; each result function takes the input columns.
+def sql_pick(*choices: str) -> str:
+    return f"CASE k % {len(choices)} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices)) + " END"
 
-    ``inputs`` and ``outputs`` are schemas (``name type, ...``). Lists come out as text, so that both engines write them alike.
-    """
-    names = lambda schema: [(f.strip().split()[0], f.strip().split()[1]) for f in schema.split(",")]
-    ins, outs = names(inputs), names(outputs)
+
+def rule(name: str, make: Callable[[SimpleNamespace], Column | Sequence[Column]], **sql: str) -> None:
+    """Register ``name``: the columns that ``make`` gives, with the SQL of each in the same order. Arrays come out as text, so that both engines write them alike."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        table = spark.createDataFrame([(k, *r[: len(ins)]) for k, r in enumerate(rows)], "k int, " + inputs)
-        columns = [f(*(F.col(n) for n, _ in ins)) for f in results]
-        shown = [F.array_join(c, ";", "NULL") if kind == "list" else c.cast(kind) for c, (_, kind) in zip(columns, outs)]
-        return table.select("k", *(c.alias(n) for c, (n, _) in zip(shown, outs)))
-
-    sql_kind = {"string": "VARCHAR", "list": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "boolean": "BOOLEAN", "date": "DATE", "double": "DOUBLE"}
-    text = lambda x, kind: _literal(";".join("NULL" if y is None else y for y in x)) if kind == "list" and x is not None else _literal(x)
-    values = ", ".join(f"({k}, " + ", ".join(text(x, kind) for x, (_, kind) in zip(r[len(ins) :], outs)) + ")" for k, r in enumerate(rows))
-    casts = ", ".join(f"CAST({n} AS {sql_kind[kind]}) AS {n}" for n, kind in outs)
+        made = make(_inputs())
+        columns = [made] if isinstance(made, Column) else made
+        got = cases(spark, sf).select("k", *(c.alias(x) for c, x in zip(columns, sql, strict=True)))
+        return got.select(*(F.array_join(f.name, ";", "NULL").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in got.schema))
+
     QUERIES[name] = run
-    ORACLE[name] = f"SELECT CAST(k AS INTEGER) AS k, {casts} FROM (VALUES {values}) AS t(k, {', '.join(n for n, _ in outs)})"
+    ORACLE[name] = f"{_BASE} SELECT k, " + ", ".join(f"{text} AS {x}" for x, text in sql.items()) + " FROM b"
+
+
+def _fields(struct: Column, *names: str) -> list[Column]:
+    return [struct[n] for n in names]
 
 
 # Times
 
-rule("rule_explicit_interval", "a string, b string", "first date, last date", [
-    ("2011", "2013-11", "2011-01-01", "2013-11-30"), ("Apr 2011", "27 October 2016", "2011-04-01", "2016-10-27"), ("2011", "soon", None, None), ("1992", "1992", "1992-01-01", "1992-12-31"),
-], lambda a, b: D.explicit_interval(a, b)["start"], lambda a, b: D.explicit_interval(a, b)["end"])
-_COARSE = lambda k: lambda a, b, g: D.coarsen(a.cast("date"), b.cast("date"), g)[k]
-rule("rule_coarsen", "a string, b string, g string", "first date, last date", [
-    ("2015-02-10", "2016-02-10", "day", "2015-02-10", "2016-02-10"), ("2015-02-10", "2016-02-10", "month", "2015-02-01", "2016-02-29"),
-    ("2015-02-10", "2016-02-10", "year", "2015-01-01", "2016-12-31"), ("2015-02-10", "2016-02-10", None, "2015-02-10", "2016-02-10"),
-], _COARSE(0), _COARSE(1))
-rule("rule_dates", "x string", "flexible date, iso date", [
-    ("1999", "1999-01-01", None), ("1999-7", "1999-07-01", None), ("1999-07-05", "1999-07-05", "1999-07-05"), ("1999-13-05", None, None), ("308-01-02", "0308-01-02", "0308-01-02"), ("soon", None, None), ("", None, None), (None, None, None),
-], D.flexible_date, D.iso_date)
-rule("rule_sort_date", "x string", "d date", [
-    ("1999-07-05", "1999-07-05"), ("1999-07", "1999-07-01"), ("1999", "1999-01-01"), ("soon", "9999-12-31"), (None, "9999-12-31"), ("1999-02-30", "9999-12-31"),
-], D.sort_date)
-rule("rule_interval_text", "a string, b string", "text string, duration string, raw string, granularity string, is_interval boolean", [
-    ("2000-01-01", "2000-01-31", "2000-01-01 to 2000-01-31", "30 days", "2000-01-01 to 2000-01-31", None, True),
-    ("2000-01-01", "2000-01-01", "2000-01-01 to 2000-01-01", "0 days", "2000-01-01 to 2000-01-01", "day", False),
-], D.interval_text, lambda a, b: D.duration_text(a.cast("date"), b.cast("date")), *(lambda a, b, f=f: D.event_time(a.cast("date"), b.cast("date"))[f] for f in ("raw", "granularity", "is_interval")))
-_EDGE = lambda f: lambda t, a, b: D.edge_time(t, a, b)[f]
-rule("rule_edge_time", "t string, a string, b string", "first date, last date", [
-    ("2001-02-03", "1990-01-01", "1991-01-01", "2001-02-03", "2001-02-03"), ("soon", "1990-01-01", "1991-01-01", "1990-01-01", "1991-01-01"), (None, "1990-01-01", "1991-01-01", "1990-01-01", "1991-01-01"), ("soon", "x", "y", None, None),
-], _EDGE("start"), _EDGE("end"))
-rule("rule_answer_timestamps", "x string", "forms list", [
-    ("2001-02-03", ["2001-02-03-2001-02-03"]), ("2001-02-03-2004-05-06", ["2001-02-03-2004-05-06", "2001-02-03-2001-02-03", "2004-05-06-2004-05-06"]),
-    ("2001-02-03-2001-02-03", ["2001-02-03-2001-02-03"]), (" January  1st, 1981", ["january 1st, 1981"]), ("", []), (None, []),
-], D.answer_timestamps)
-rule("rule_gold_answer", "x string", "gold string", [
-    ("1999", None), ("12 days", None), ("1 day", None), ("-5", "-5"), ("3.5", "3.5"), ("2001-02-03", "2001-02-03-2001-02-03"), ("2001-02-03 to 2004-05-06", "2001-02-03-2004-05-06"), (" Some  Name ", "some name"), ("", ""), ("Ｆull", "full"), (None, None),
-], D.gold_answer)
-rule("rule_dates_in", "x string", "found list", [("from 2001-02-03 to 2004", ["2001-02-03", "2004"]), ("none", []), ("1999, 2000-01-01", ["1999", "2000-01-01"])], D.dates_in)
+_MONTH, _YEAR = "CAST(date_trunc('month', d) AS DATE)", "CAST(date_trunc('year', d) AS DATE)"
+rule("rule_explicit_interval", lambda c: _fields(D.explicit_interval(c.m, pick(c.ye, c.et, "soon")), "start", "end"), first=f"CASE WHEN k % 3 < 2 THEN {_MONTH} END", last=sql_pick("make_date(year(e), 12, 31)", "e", "NULL"))
+rule("rule_coarsen", lambda c: D.coarsen(c.d, c.e, pick("day", "month", "year", None)), first=sql_pick("d", _MONTH, _YEAR, "d"), last=sql_pick("e", "last_day(e)", "make_date(year(e), 12, 31)", "e"))
+
+
+def _dates(c: SimpleNamespace) -> list[Column]:
+    x = pick(c.y, text(c.y, "-", F.month(c.d).cast("string")), c.dt, "soon", "", None)
+    return [D.flexible_date(x), D.iso_date(x)]
+
+
+rule("rule_dates", _dates, flexible=sql_pick(_YEAR, _MONTH, "d", "NULL", "NULL", "NULL"), iso="CASE WHEN k % 6 = 2 THEN d END")
+rule("rule_sort_date", lambda c: D.sort_date(pick(c.dt, c.m, c.y, "soon", None)), day=sql_pick("d", _MONTH, _YEAR, "DATE '9999-12-31'", "DATE '9999-12-31'"))
+rule(
+    "rule_interval_text", lambda c: [D.interval_text(c.dt, c.et), D.duration_text(c.d, c.e), *_fields(D.event_time(c.d, c.e), "raw", "granularity", "is_interval")],
+    text="dt || ' to ' || et", duration="CAST(e - d AS VARCHAR) || ' days'", raw="dt || ' to ' || et", granularity="CASE WHEN d = e THEN 'day' END", is_interval="d <> e",
+)
+rule("rule_edge_time", lambda c: _fields(D.edge_time(pick(c.dt, "soon", None, "soon"), pick(c.dt, c.dt, c.dt, "x"), c.et), "start", "end"), first="CASE WHEN k % 4 < 3 THEN d END", last=sql_pick("d", "e", "e", "NULL"))
+rule(
+    "rule_answer_timestamps", lambda c: D.answer_timestamps(pick(c.dt, text(c.dt, "-", c.et), text(" ", c.pr, "  Zz"), "", None)),
+    forms=sql_pick("dt || '-' || dt", "CASE WHEN d = e THEN dt || '-' || dt ELSE dt || '-' || et || ';' || dt || '-' || dt || ';' || et || '-' || et END", "lp || ' zz'", "''", "''"),
+)
+rule("rule_gold_answer", lambda c: D.gold_answer(pick(c.y, text(c.nt, " days"), text("-", c.nt), c.dt, text(c.dt, " to ", c.et), text(" ", c.pr, "  Ｆull "), None)), gold=sql_pick("NULL", "NULL", "'-' || n", "dt || '-' || dt", "dt || '-' || et", "lp || ' full'", "NULL"))
+rule("rule_dates_in", lambda c: D.dates_in(pick(text("from ", c.dt, " to ", c.ye), "none", text(c.y, ", ", c.et))), found=sql_pick("dt || ';' || strftime(e, '%Y')", "''", "y || ';' || et"))
 
 # Texts
 
-rule("rule_texts", "x string", "slot string, folded string, squeezed string", [
-    (" [A] {b} ", "a b", "[a] {b}", "[a]{b}"), ("Straße  Ａ", "straße  ａ", "strasse a", "straßeａ"), ("A\tB", "a\tb", "a b", "ab"), ("", "", "", ""),
-], X.slot_text, X.folded_text, X.squeezed_text)
-rule("rule_lists_and_numbers", "x string", "items list, number double, item string", [("3.5", ["3.5"], 3.5, "3.5"), ("equals", ["equals"], None, "equal"), (" equals ", [" equals "], None, "equal"), (None, [], None, None)], X.as_list, X.to_number, X.answer_item)
-rule("rule_ordinal", "x string", "n int", [("second", 2), ("Tenth", 10), ("2nd", 2), ("11th", 11), ("7", 7), ("eleventh", None), ("", None), (None, None)], X.ordinal)
-_OFFSET = lambda f: lambda q: X.offset_in(q)[f]
-rule("rule_offset", "q string", "days int, relation string", [("What happened 12 days after x?", 12, "after"), ("3 Days Before the war, who?", 3, "before"), ("days after x", None, None), ("5 days later", None, None)], _OFFSET("days"), _OFFSET("relation"))
-rule("rule_clauses", "q string", "sides list", [("After a, who b?", ["After a", "who b?"]), ("Who b?", ["Who b?", "Who b?"]), ("a, b, c", ["a", "b, c"])], X.clauses)
-rule("rule_boundary_cue", "q string", "cue string", [("when did it start", "start"), ("when did it end", "end"), ("did it start or end", None), ("who", None), ("the starter finished", "end")], P.boundary_cue)
-rule("rule_answer_forms", "x string", ", ".join(f"{n} boolean" for n in X.ANSWER_FORMS) + ", is_temporal boolean", [
-    ("1999", True, False, False, False, True, False, True), ("99", False, False, False, False, True, False, False), ("308-01-01", False, True, False, False, False, False, True),
-    ("2001-02-03  to 2004-05-06", False, False, True, False, False, False, True), ("1999 to 2001", False, False, False, False, False, False, False), ("12 days", False, False, False, True, False, False, True),
-    ("1 day", False, False, False, False, False, False, False), ("Equal", False, False, False, False, False, True, False), ("equals", False, False, False, False, False, False, False),
-], *(lambda x, n=n: X.answer_form(x, n) for n in X.ANSWER_FORMS), X.is_temporal)
-rule("rule_no_answer", "x string", "plain boolean, compat boolean", [
-    (None, True, True), ("", True, True), (" N/A ", True, True), ("None", True, True), ("no answer", True, False), ("null", False, False), ("unknown", False, False), ("x", False, False),
-], X.no_answer, lambda x: X.no_answer(x, True))
-rule("rule_unknown_slot", "h string, t string", "slot string", [("?", "b", "head"), ("a", "?", "tail"), ("a", "b", None), (None, "b", "head"), ("?", "?", "head")], X.unknown_slot)
+
+def _texts(c: SimpleNamespace) -> list[Column]:
+    x = pick(text(" [", c.pr, "] {b}  "), text(c.pr, "  Ａ Straße"), text(c.pr, "\tB"))
+    return [X.slot_text(x), X.folded_text(x), X.squeezed_text(x)]
+
+
+rule(
+    "rule_texts", _texts, slot=sql_pick("lp || ' b'", "lp || '  ａ straße'", "lp || chr(9) || 'b'"), folded=sql_pick("'[' || lp || '] {b}'", "lp || ' a strasse'", "lp || ' b'"),
+    squeezed="replace(" + sql_pick("'[' || lp || ']{b}'", "lp || 'ａstraße'", "lp || 'b'") + ", ' ', '')",
+)
+
+
+def _items(c: SimpleNamespace) -> list[Column]:
+    x = pick(text(c.nt, ".5"), "equals", " equals ", None)
+    return [X.as_list(x), X.to_number(x), X.answer_item(x)]
+
+
+rule("rule_lists_and_numbers", _items, items=sql_pick("n || '.5'", "'equals'", "' equals '", "''"), number="CASE WHEN k % 4 = 0 THEN n + CAST(0.5 AS DOUBLE) END", item=sql_pick("n || '.5'", "'equal'", "'equal'", "NULL"))
+rule("rule_ordinal", lambda c: X.ordinal(pick(c.word, text(c.i, "th"), c.i, text("x", c.nt), "", None)), number="CASE WHEN k % 6 < 3 THEN CAST(k // 6 % 10 + 1 AS INTEGER) END")
+rule(
+    "rule_offset", lambda c: _fields(X.offset_in(pick(text("What happened ", c.nt, " days after ", c.pr, "?"), text(c.nt, " Days Before ", c.pr, ", who?"), text("days after ", c.pr), text(c.nt, " days later"))), "days", "relation"),
+    days="CASE WHEN k % 4 < 2 THEN CAST(n AS INTEGER) END", relation=sql_pick("'after'", "'before'", "NULL", "NULL"),
+)
+rule("rule_clauses", lambda c: X.clauses(pick(text("After ", c.pr, ", who b?"), text("Who ", c.pr, "?"), text("a", c.nt, ", b, c"))), sides=sql_pick("'After ' || pr || ';who b?'", "'Who ' || pr || '?;Who ' || pr || '?'", "'a' || n || ';b, c'"))
+rule(
+    "rule_boundary_cue", lambda c: P.boundary_cue(pick(text("when did ", c.pr, " start"), text("when did ", c.pr, " end"), text("did ", c.pr, " start or end"), text("who was ", c.pr), text("the starter finished ", c.pr))),
+    cue=sql_pick("'start'", "'end'", "NULL", "NULL", "'end'"),
+)
+
+
+def _forms(c: SimpleNamespace) -> list[Column]:
+    x = pick(c.y, c.nt, c.dt, text(c.dt, "  to ", c.et), text(c.nt, " days"), "Equal")
+    return [*(X.answer_form(x, f) for f in X.ANSWER_FORMS), X.is_temporal(x)]
+
+
+_FORM = {"is_year": "(0)", "is_date": "(2)", "is_interval": "(3)", "is_duration": "(4)", "is_integer": "(0, 1)", "is_comparison": "(5)"}
+rule("rule_answer_forms", _forms, **{f: f"k % 6 IN {_FORM[f]}" for f in X.ANSWER_FORMS}, is_temporal="k % 6 IN (0, 2, 3, 4)")
+rule("rule_no_answer", lambda c: [X.no_answer(x := pick(None, "", " N/A ", "None", "no answer", c.pr)), X.no_answer(x, True)], plain="k % 6 < 5", compat="k % 6 < 4")
+rule("rule_unknown_slot", lambda c: X.unknown_slot(pick("?", c.pr, c.pr, None), pick(c.pr, "?", c.pr, c.pr)), slot=sql_pick("'head'", "'tail'", "NULL", "'head'"))
 
 # Curation
 
-rule("rule_compare_subtype", "q string", "subtype string", [
-    ("Which one is the second longest among a, b?", "which_one_ranked_longest_shortest"), ("Which one lasted the longest: a or b?", "which_one_longest_shortest"),
-    ("Is the duration of a longer than b?", "binary_longer_shorter_equal"), ("How long is a?", "unsupported_duration_compare"),
-], programs.compare_subtype)
-_SPLIT = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ";"))
-rule("rule_compare_answers", "o string, r string", "status string", [
-    ("a;b", "", "NO_REPAIRED_ANSWER"), ("", "", "NO_REPAIRED_ANSWER"), ("a;b", "b;a", "ORIGINAL_EXACT"), ("a", "a;b", "ORIGINAL_SUBSET_OF_REPAIRED"), ("a;b", "b", "REPAIRED_SUBSET_OF_ORIGINAL"),
-    ("a;b", "b;c", "DIFFERENT"), ("", "a", "DIFFERENT"),
-], lambda o, r: programs.compare_answers(_SPLIT(o), _SPLIT(r)))
-_KEEP = lambda f: lambda s, n: programs.retention(s, F.transform(F.sequence(F.lit(1), n), lambda i: i.cast("string")), 3)[f]
-rule("rule_retention", "s string, n int", "keep boolean, reason string", [
-    ("ORIGINAL_EXACT", 5, True, "ORIGINAL_EXACT"), ("ORIGINAL_SUBSET_OF_REPAIRED", 3, True, "ORIGINAL_SUBSET_OF_REPAIRED_SIZE_LE_3"), ("ORIGINAL_SUBSET_OF_REPAIRED", 4, False, "SUBSET_BUT_SEMANTIC_GOLD_TOO_LARGE:4>3"),
-    ("REPAIRED_SUBSET_OF_ORIGINAL", 1, True, "REPAIRED_SUBSET_OF_ORIGINAL_ACCEPTED"), ("DIFFERENT", 2, False, "REPAIR_STATUS_NOT_ACCEPTED:DIFFERENT"), ("EXCEPTION", 1, False, "REPAIR_STATUS_NOT_ACCEPTED:EXCEPTION"),
-], _KEEP("keep"), _KEEP("reason"))
-rule("rule_small_answers", "x string, n int", "small boolean", [("a;b", 2, True), ("a;b;c", 3, False), ("", 0, True)], lambda x, n: curate.small_answers(_SPLIT(x), 2))
-rule("rule_mentioned", "name string, q string", "found boolean", [("Jean-Luc", "did JEAN–LUC  win?", True), ("Anna", "did Ann win?", False), ("", "any", False), (None, "any", False)], curate.mentioned)
-_EVENTS = lambda x: F.split(x, ";")
-rule("rule_mentioned_events", "events string, q string", "kept list", [
-    ("a b|r|c|1|2;d|r|e|1|2;broken", "who is A  B?", ["a b|r|c|1|2", "broken"]), ("d|r|e|1|2", "nothing", []), ("d|r|e|1|2", "the e", ["d|r|e|1|2"]),
-], lambda x, q: curate.mentioned_events(_EVENTS(x), q))
-rule("rule_all_points", "events string", "points boolean", [("a|r|b|1|1;c|r|d|2|2", True), ("a|r|b|1|1;c|r|d|2|3", False), ("broken", False)], lambda x: curate.all_points(_EVENTS(x)))
-rule("rule_answer_change", "t string, b string, a string", "error string", [
-    ("timestamp", "1999", "1999-01-01", None), ("timestamp", "1999", "soon", "answer_not_temporal"), ("timestamp", "1999", "1999;2000", "answer_count_changed"), ("subject", "Ann", "Bob", "answer_must_not_change"), ("subject", "Ann", "Ann", None),
-    ("duration", "longer", "12 days", "answer_must_not_change"),
-], lambda t, b, a: curate.answer_change_error(t, _SPLIT(b), _SPLIT(a)))
-rule("rule_normalize_durations", "x string", "days list", [("2000-01-01 to 2000-01-31", ["30 days"]), ("308-01-01 to 309-01-01;x", ["366 days", "x"]), ("12 days", ["12 days"])], lambda x: curate.normalize_durations(_SPLIT(x)))
-rule("rule_question_mark", "q string", "text string", [("Who  is it", "Who is it?"), ("Who is it?", "Who is it?"), ("Who is it.", "Who is it?"), (" Who! ", "Who?")], curate.ensure_question_mark)
+rule(
+    "rule_compare_subtype", lambda c: programs.compare_subtype(pick(text("Which one is the ", c.word, " longest among ", c.pr, ", b?"), text("Which one lasted the longest: ", c.pr, " or b?"), text("Is the duration of ", c.pr, " longer than b?"), text("How long is ", c.pr, "?"))),
+    subtype=sql_pick("'which_one_ranked_longest_shortest'", "'which_one_longest_shortest'", "'binary_longer_shorter_equal'", "'unsupported_duration_compare'"),
+)
+rule(
+    "rule_compare_answers", lambda c: programs.compare_answers(pick([c.pr, c.dt], [c.pr, c.dt], [c.pr], [c.pr, c.dt], [c.pr, c.dt], []), pick([], [c.dt, c.pr], [c.pr, c.dt], [c.dt], [c.dt, "z"], [c.pr])),
+    status=sql_pick("'NO_REPAIRED_ANSWER'", "'ORIGINAL_EXACT'", "'ORIGINAL_SUBSET_OF_REPAIRED'", "'REPAIRED_SUBSET_OF_ORIGINAL'", "'DIFFERENT'", "'DIFFERENT'"),
+)
+rule(
+    "rule_retention",
+    lambda c: _fields(programs.retention(pick("ORIGINAL_EXACT", "ORIGINAL_SUBSET_OF_REPAIRED", "REPAIRED_SUBSET_OF_ORIGINAL", "DIFFERENT", "EXCEPTION"), F.transform(F.sequence(F.lit(1).cast("long"), c.n), lambda i: i.cast("string")), 20), "keep", "reason"),
+    keep=sql_pick("true", "n <= 20", "true", "false", "false"),
+    reason=sql_pick("'ORIGINAL_EXACT'", "CASE WHEN n <= 20 THEN 'ORIGINAL_SUBSET_OF_REPAIRED_SIZE_LE_20' ELSE 'SUBSET_BUT_SEMANTIC_GOLD_TOO_LARGE:' || n || '>20' END", "'REPAIRED_SUBSET_OF_ORIGINAL_ACCEPTED'", "'REPAIR_STATUS_NOT_ACCEPTED:DIFFERENT'", "'REPAIR_STATUS_NOT_ACCEPTED:EXCEPTION'"),
+)
+rule("rule_small_answers", lambda c: curate.small_answers(F.array_repeat(c.pr, (c.k % 23).cast("int"))), small="k % 23 <= 10")
+rule("rule_mentioned", lambda c: curate.mentioned(pick(c.pr, F.translate(c.pr, "-", "–"), text("absent ", c.nt), None), text("Did ", F.lower(c.pr), "  win?")), found="k % 4 < 2")
+rule("rule_mentioned_events", lambda c: curate.mentioned_events(strings(text(c.pr, "|r|qqq|1|2"), "zzz|r|yyy|1|2", "broken"), pick(text("who is ", c.pr, "?"), "nothing")), kept=sql_pick("pr || '|r|qqq|1|2;broken'", "'broken'"))
+rule("rule_all_points", lambda c: curate.all_points(pick([text(c.pr, "|r|b|", c.dt, "|", c.dt)], [text(c.pr, "|r|b|", c.dt, "|", c.et)], ["broken"])), points="k % 3 = 0 OR k % 3 = 1 AND d = e")
+rule(
+    "rule_answer_change",
+    lambda c: curate.answer_change_error(pick("timestamp", "timestamp", "timestamp", "subject", "subject", "duration"), pick([c.y], [c.y], [c.y], [c.pr], [c.pr], ["longer"]), pick([c.dt], ["soon"], [c.y, c.dt], ["Bob"], [c.pr], [text(c.nt, " days")])),
+    error=sql_pick("NULL", "'answer_not_temporal'", "'answer_count_changed'", "'answer_must_not_change'", "NULL", "'answer_must_not_change'"),
+)
+rule("rule_normalize_durations", lambda c: curate.normalize_durations(strings(text(c.dt, " to ", c.et), c.pr)), days="CAST(e - d AS VARCHAR) || ' days;' || pr")
+rule("rule_question_mark", lambda c: curate.ensure_question_mark(pick(text("Who  is ", c.pr), text("Who is ", c.pr, "?"), text("Who is ", c.pr, "."), text(" Who is ", c.pr, "! "))), asked="'Who is ' || pr || '?'")
 
 # Orders
 
-rule("rule_sorted_events", "events string", "ordered list", [
-    ("b|r|c|2001-01-01|2002-01-01;a|r|c|1999|2000;x|r|y|soon|z", ["a|r|c|1999|2000", "b|r|c|2001-01-01|2002-01-01", "x|r|y|soon|z"]), ("b|r|c|2001|2;a|r|c|2001|2", ["a|r|c|2001|2", "b|r|c|2001|2"]),
-], lambda x: curate.sorted_events(_EVENTS(x)))
-rule("rule_answers_by_event", "answers string, events string", "ordered list", [
-    ("c;a", "a|r|b|1|2;c|r|d|3|4", ["a", "c"]), ("c;z", "a|r|b|1|2;c|r|d|3|4", ["c", "z"]), ("d;b", "a|r|b|1|2;c|r|d|3|4", ["b", "d"]),
-], lambda a, e: curate.answers_by_event_order(_SPLIT(a), _EVENTS(e)))
-rule("rule_answers_by_start", "answers string, events string", "ordered list", [
-    ("a;c", "a|r|b|2005-01-01|2006;c|r|d|1999-01-01|2000", ["c", "a"]), ("z;d;a", "a|r|b|2005-01-01|2006;c|r|d|1999-01-01|2000", ["d", "a", "z"]),
-], lambda a, e: curate.answers_by_start(_SPLIT(a), _EVENTS(e)))
-rule("rule_evidence_order", "q string, a string, s string, o string", "ordered list", [
-    ("q", "a;b", "s;a", None, ["q", "a", "b", "s"]), ("q", "a", "s;t;s", "union", ["s", "t"]),
-], lambda q, a, s, o: curate.evidence_order(q, _SPLIT(a), _SPLIT(s), o))
-_PARSED = lambda e: programs.parse_events(_EVENTS(e))
-rule("rule_question_order", "q string, e string", "ordered list", [
-    ("Did Bob come before Ann?", "Ann|r|x|2000-01-01|2000-01-01;Bob|r|y|2001-01-01|2001-01-01;Cid|r|z|2002-01-01|2002-01-01", ["1", "0", "2"]),
-], lambda q, e: F.transform(programs.question_order(q, _PARSED(e)), lambda i: i.cast("string")))
+rule(
+    "rule_sorted_events", lambda c: curate.sorted_events(strings("x|r|y|soon|z", text("b|r|c|", pick(c.et, c.dt), "|2"), text("a|r|c|", pick(c.dt, c.et), "|2"))),
+    ordered="CASE WHEN k % 2 = 0 OR d = e THEN 'a|r|c|' || dt || '|2;b|r|c|' || et || '|2' ELSE 'b|r|c|' || dt || '|2;a|r|c|' || et || '|2' END || ';x|r|y|soon|z'",
+)
+rule("rule_answers_by_event", lambda c: curate.answers_by_event_order(pick(["zc", c.pr], ["zc", "none"]), strings(text(c.pr, "|r|b|1|2"), "zc|r|d|3|4")), ordered=sql_pick("pr || ';zc'", "'zc;none'"))
+rule("rule_answers_by_start", lambda c: curate.answers_by_start(strings("z", "a", "c"), strings(text("a|r|b|", c.et, "|2"), text("c|r|d|", c.dt, "|2"))), ordered="CASE WHEN d = e THEN 'a;c;z' ELSE 'c;a;z' END")
+rule("rule_evidence_order", lambda c: curate.evidence_order(c.pr, strings("a", "b"), strings("s", "a", "s"), pick(None, "union")), ordered=sql_pick("pr || ';a;b;s'", "'s;a'"))
+rule(
+    "rule_question_order",
+    lambda c: F.transform(programs.question_order(pick(text("Did ", c.pr, " come before Ann?"), text("Did Ann come before ", c.pr, "?")), programs.parse_events(strings("Ann|r|xxx|2000-01-01|2000-01-01", text(c.pr, "|r|yyy|2001-01-01|2001-01-01"), "Cid|r|zzz|2002-01-01|2002-01-01"))), lambda i: i.cast("string")),
+    ordered=sql_pick("'1;0;2'", "'0;1;2'"),
+)
+
+# Relation texts
+
+#: A relation text for each remainder of the key: its kind of question, operator, relations of its constraints, and unsupported units.
+RELATIONS = (
+    ("timeline", "timeline_structure", "timeline", "", 0), ("union", "temporal_operation", "union", "", 0), ("duration_before", "relative_temporal", None, "before", 0), ("X di Y", "interval_relation", None, "contains", 0),
+    ("duration_{n} days after", "quantitative_temporal", None, "after", 0), ("X < Y & X > Y", "temporal_order", None, "before,after", 0), ("X zz Y", "unknown", None, "", 1), ("duration_finishes", "unknown", None, "finishes", 0),
+    (" X o Y & average ", "interval_relation", "average", "overlaps", 0), ("", "unknown", None, "", 0), ("nonsense & X m Y", "unknown", None, "meets", 1),
+)
+
+
+def _relation(c: SimpleNamespace) -> Column:
+    return F.replace(pick(*(r for r, *_ in RELATIONS)), F.lit("{n}"), c.nt)
+
+
+def _parsed(c: SimpleNamespace) -> list[Column]:
+    p = programs.parse_relation(_relation(c))
+    return [p["operator"], F.array_join(F.transform(p["constraints"], lambda x: x["relation"]), ","), F.get(p["constraints"], F.lit(0))["offset_days"], F.size(p["unsupported"])]
+
+
+def _quoted(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+rule("qtype_classify", lambda c: programs.question_type(_relation(c)), qtype=sql_pick(*(_quoted(r[1]) for r in RELATIONS)))
+rule(
+    "relation_parse", _parsed, operator=sql_pick(*(_quoted(r[2]) for r in RELATIONS)), relations=sql_pick(*(_quoted(r[3]) for r in RELATIONS)),
+    days=sql_pick(*("CAST(n AS INTEGER)" if "{n}" in r[0] else "NULL" for r in RELATIONS)), unsupported=f"CAST({sql_pick(*(str(r[4]) for r in RELATIONS))} AS INTEGER)",
+)
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -449,25 +449,6 @@ def event_string_parse(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select(X.parse_event(F.col("e")).alias("e")).select("e.head", "e.relation", "e.tail", F.col("e.start").alias("start_text"), F.col("e.end").alias("end_text"))
 
 
-_RELATIONS = [(k, r) for k, r in enumerate([*(f"X {s} Y" for s in programs.SYMBOLS), *programs.DURATIONS, *programs.OPERATORS, *programs.QUESTION_OFFSETS, "duration_7 days after", "X < Y & X d Y", "X < Y & X > Y", "X zz Y", "nonsense", ""])]
-_REL_ROWS = "(VALUES " + ", ".join(f"({k}, '{r}')" for k, r in _RELATIONS) + ") AS t(id, rel)"
-
-
-@query("qtype_classify", f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN rel IN ('timeline','rank_start_time','rank_end_time') THEN 'timeline_structure' WHEN rel IN ('union','intersection','sum','average') THEN 'temporal_operation'
-WHEN rel IN ('duration_before','duration_after','duration_during') THEN 'relative_temporal' WHEN regexp_matches(rel, 'duration_[0-9]+ days (before|after)') THEN 'quantitative_temporal' WHEN regexp_matches(rel, 'X (d|di|o|oi) Y') THEN 'interval_relation'
-WHEN regexp_matches(rel, '^X [<>] Y( & X [<>] Y)*$') THEN 'temporal_order' ELSE 'unknown' END AS qtype FROM {_REL_ROWS}""")
-def qtype_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_RELATIONS, "id long, rel string").select("id", programs.question_type(F.col("rel")).alias("qtype"))
-
-
-@query("relation_parse", "SELECT CAST(id AS BIGINT) AS id, CAST(op AS VARCHAR) AS operator, CAST(n AS INTEGER) AS n_constraints, CAST(rels AS VARCHAR) AS relations, CAST(bad AS INTEGER) AS n_unsupported FROM (VALUES " + ", ".join(
-    "(" + ", ".join([str(k), f"'{r}'" if r in programs.OPERATORS else "NULL", str(1 if r in programs.DURATIONS or r in programs.QUESTION_OFFSETS or r.startswith("duration_7") else 0 if r in programs.OPERATORS or r in ("X zz Y", "nonsense", "") else len(r.split("&"))),
-    "'" + ",".join(programs.DURATIONS.get(r) or programs.QUESTION_OFFSETS.get(r) or ("after" if r.startswith("duration_7") else "") or ",".join(programs.SYMBOLS.get(u.split()[1], "") if u.startswith("X ") else "" for u in r.split(" & ")) for r in [r]) + "'", str(int(r in ("X zz Y", "nonsense")))]) + ")" for k, r in _RELATIONS) + ") AS t(id, op, n, rels, bad)")
-def relation_parse(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame(_RELATIONS, "id long, rel string").select("id", programs.parse_relation(F.col("rel")).alias("p"))
-    return p.select("id", "p.operator", F.size("p.constraints").alias("n_constraints"), F.array_join(F.transform("p.constraints", lambda c: c["relation"]), ",").alias("relations"), F.size("p.unsupported").alias("n_unsupported"))
-
-
 @query("answer_normalize", """SELECT doc_id, concat_ws(';', concat(lang, ' to ', source), CASE WHEN n_chars > 0 THEN '1999-01-01 to 2000-01-01' END) AS answers, CAST(CASE WHEN n_chars > 0 THEN 2 ELSE 1 END AS INTEGER) AS n FROM documents""")
 def answer_normalize(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit(" "), F.col("lang"), F.lit(" to "), F.col("source"), F.lit(" ; ;"), F.when(F.col("n_chars") > 0, "1999-01-01 - 2000-01-01").otherwise(""))
