@@ -36,8 +36,8 @@ SCALE = 1024
 K = 10
 EVERY = 100
 DATA_BLOCK, QUERY_BLOCK = 4096, 8192
-#: Points below which a node is not split.
-LEAF = 32
+#: Points below which a node is not split, and what a distance of rows can be wrong by for each component, in largest components.
+LEAF, ROUNDING = 32, 3e-8
 #: Rows on which the net is fitted, as expected (drawn by hash), and centres of the net at most.
 SAMPLE, CELLS = 16_384, 1024
 #: Queries of a leaf that are compared at once.
@@ -63,29 +63,35 @@ def cover_tree(x: np.ndarray, keep: int = 0, ids: np.ndarray | None = None) -> N
 
     With ``ids``, it keeps as many more as one id has repeats among the equal rows, so that ``keep`` - 1 are left without any one id.
 
-    The children of a node are the cells of a net at half its scale; cells of ``LEAF`` points or fewer share one leaf.
+    The children of a node are the cells of a net at half its scale; cells of ``LEAF`` points or fewer share one leaf. Distances are those of the rows
+    scaled to the largest component, so that nothing overflows, and may be wrong by ``slack``: radii are larger by it, and a node within it is not split. A centre
+    always leaves the points that are free, so the loop ends whatever the rounding.
     """
-    squares = np.einsum("ij,ij->i", x, x)
+    exponent = int(np.frexp(np.abs(x).max(initial=0))[1])
+    y = np.ldexp(x, -exponent)
+    squares, slack = np.einsum("ij,ij->i", y, y), ROUNDING * x.shape[1]
 
     def distances(points: np.ndarray, to: int) -> np.ndarray:
-        return np.sqrt(np.maximum(squares[points] + squares[to] - 2 * (x[points] @ x[to]), 0))
+        return np.sqrt(np.maximum(squares[points] + squares[to] - 2 * (y[points] @ y[to]), 0))
 
     def leaf(points: np.ndarray, center: int, radius: float) -> Node:
-        if keep and radius == 0 and (x[points] == x[center]).all():  # equal, not just too near for floating point
+        if keep and radius <= slack and (x[points] == x[center]).all():
             repeats = 0 if ids is None else int(np.unique(ids[points], return_counts=True)[1].max()) - 1
             points = np.sort(points)[: keep + repeats]
-        return Node(x[center], float(np.sqrt(squares[center])), radius, points)
+        # In the rows' own scale; infinite where no double holds it, which only prunes less.
+        with np.errstate(over="ignore"):
+            return Node(x[center], float(np.ldexp(np.linalg.norm(y[center]), exponent)), float(np.ldexp(radius + slack, exponent)), points)
 
     def build(points: np.ndarray, far: np.ndarray, center: int) -> Node:
         radius = float(far.max())
-        if radius == 0 or len(points) <= 2 * LEAF:
+        if radius <= slack or len(points) <= 2 * LEAF:
             return leaf(points, center, radius)
         node = leaf(points, center, radius)
         reach = 2.0 ** (np.ceil(np.log2(radius)) - 1)
         own, now, free = points, far, np.ones(len(points), bool)
-        rows, sizes, few, at = x[points], squares[points], [], center
+        rows, sizes, few, at = y[points], squares[points], [], center
         while True:
-            near = free & (now <= reach)
+            near = free & ((now <= reach) | (own == at))
             if near.sum() > LEAF:
                 node.children.append(build(own[near], now[near], at))
             else:
@@ -94,7 +100,7 @@ def cover_tree(x: np.ndarray, keep: int = 0, ids: np.ndarray | None = None) -> N
             if not free.any():
                 break
             at = int(own[free.argmax()])
-            now = np.sqrt(np.maximum(sizes + squares[at] - 2 * (rows @ x[at]), 0))
+            now = np.sqrt(np.maximum(sizes + squares[at] - 2 * (rows @ y[at]), 0))
         if few:
             rest = np.concatenate(few)
             node.children.append(leaf(rest, center, float(distances(rest, center).max())))
@@ -105,10 +111,19 @@ def cover_tree(x: np.ndarray, keep: int = 0, ids: np.ndarray | None = None) -> N
     return build(every, distances(every, 0), 0)
 
 
+def _as_float(score: int) -> float:
+    """A score for comparison with bounds; infinite where no double holds it."""
+    try:
+        return float(score)
+    except OverflowError:
+        return np.inf if score > 0 else -np.inf
+
+
 def bound(center: np.ndarray, norm: float, radius: float, other: np.ndarray, other_norm: np.ndarray | float, other_radius: np.ndarray | float) -> np.ndarray | float:
     """What no pair of points within the radii can exceed; with room for rounding."""
-    reach = norm * other_radius + other_norm * radius + radius * other_radius
-    return other @ center + reach + 1e-6 * (norm * other_norm + reach) + 1
+    with np.errstate(over="ignore", invalid="ignore"):  # what is not a number prunes nothing
+        reach = norm * other_radius + other_norm * radius + radius * other_radius
+        return other @ center + reach + 1e-6 * (norm * other_norm + reach) + 1
 
 
 class Search:
@@ -121,7 +136,8 @@ class Search:
         if not len(queries) or not len(data):
             self.scores = [np.zeros(0, np.int64)] * len(queries)
             return
-        largest = float(np.linalg.norm(queries, axis=1).max() * np.linalg.norm(data, axis=1).max())
+        with np.errstate(over="ignore"):
+            largest = float(np.linalg.norm(queries, axis=1).max() * np.linalg.norm(data, axis=1).max())
         self.exact = np.int64 if largest < _LONG else object
         if largest < _FLOAT:
             self.q, self.d = queries, data
@@ -157,7 +173,7 @@ class Search:
         self.found[at], self.scores[at] = points, scores
 
     def _worst(self, at: int) -> float:
-        return max(float(self.scores[at].min()) if len(self.found[at]) == self.k else -np.inf, float(self.floor[at]))
+        return max(_as_float(self.scores[at].min()) if len(self.found[at]) == self.k else -np.inf, float(self.floor[at]))
 
     def _visit(self, q: Node, d: Node) -> None:
         if self._bound(q, d) < q.worst:
@@ -179,20 +195,23 @@ class Search:
 
 def farthest_first(x: np.ndarray, count: int) -> np.ndarray:
     """Up to ``count`` different rows, each the one farthest from those before: every beginning of the list is a net."""
-    squares = np.einsum("ij,ij->i", x, x)
+    y = np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0))[1]))
     chosen, far = [], np.full(len(x), np.inf)
     while len(chosen) < count and len(x) and (not chosen or far.max() > 0):
         at = 0 if not chosen else int(far.argmax())
         chosen.append(at)
-        far = np.minimum(far, np.maximum(squares + squares[at] - 2 * (x @ x[at]), 0))
+        far = np.minimum(far, ((y - y[at]) ** 2).sum(axis=1))
         far[at] = 0
     return x[chosen]
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's nearest centre, and its distance from it, computed without cancellation."""
-    at = ((centers * centers).sum(axis=1)[None, :] - 2 * (x @ centers.T)).argmin(axis=1)
-    return at, np.linalg.norm(x - centers[at], axis=1)
+    exponent = int(np.frexp(max(np.abs(x).max(initial=0), np.abs(centers).max(initial=0)))[1])
+    y, c = np.ldexp(x, -exponent), np.ldexp(centers, -exponent)
+    at = ((c * c).sum(axis=1)[None, :] - 2 * (y @ c.T)).argmin(axis=1)
+    with np.errstate(over="ignore"):
+        return at, np.ldexp(np.linalg.norm(y - c[at], axis=1), exponent)
 
 
 def fit(embedding: Column) -> Column:
