@@ -36,10 +36,11 @@ _A, _B, _DOWN = 0x9E3779B1, 0x85EBCA77, 11
 
 
 class WuManber:
-    """Search for the patterns of ``length`` words that begin at ``starts`` in ``flat`` (word numbers); ``items`` are their items' numbers."""
+    """Search for the patterns of ``length`` words that begin at ``starts`` in ``flat`` (word numbers); ``items`` are their items' numbers. Equal patterns are one."""
 
     def __init__(self, flat: np.ndarray, starts: np.ndarray, items: np.ndarray, length: int, number: dict[bytes, int]) -> None:
         self.length, self.block, self.flat, self.number = length, min(2, length), flat, number
+        starts = self._once(starts, items)
         bits = min(20, max(8, (4 * len(starts)).bit_length()))
         self.mask = (1 << bits) - 1
         table = np.full(1 << bits, min(255, length - self.block + 1), np.uint8)
@@ -49,9 +50,28 @@ class WuManber:
         bucket = self._hash(flat[starts + max(0, length - 2)], flat[starts + length - 1])
         first = self._pair(flat[starts], flat[starts + self.block - 1])
         order = np.lexsort((first, bucket))
-        self.starts, self.items, self.first = starts[order].astype(np.int32), items[order], first[order]
+        self.starts, self.pattern, self.first = starts[order].astype(np.int32), order.astype(np.int32), first[order]
         self.begin = np.searchsorted(bucket[order], np.arange((1 << bits) + 1)).astype(np.int32)
 
+    def _once(self, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """A start of each different pattern; ``owners`` from ``owned[p]`` on are the items that have pattern p, each once."""
+        key = np.zeros(len(starts), np.uint64)
+        for j in range(self.length):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + self.flat[starts + j].astype(np.uint64)
+        order = np.lexsort((items, key))
+        starts, items, key = starts[order], items[order], key[order]
+        same = key[1:] == key[:-1]
+        for j in range(self.length):  # by the words themselves; patterns that only share a key stay apart
+            same &= self.flat[starts[1:] + j] == self.flat[starts[:-1] + j]
+        new = np.append(True, ~same)
+        keep = new | np.append(True, items[1:] != items[:-1])
+        self.owners = items[keep]
+        self.owned = np.searchsorted((np.cumsum(new) - 1)[keep], np.arange(int(new.sum()) + 1)).astype(np.int32)
+        return starts[new]
+
+    def items_of(self, pattern: int) -> np.ndarray:
+        return self.owners[self.owned[pattern] : self.owned[pattern + 1]]
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(np.int64) << 32) | b
@@ -60,10 +80,10 @@ class WuManber:
         return ((a.astype(np.int64) * _A + b.astype(np.int64) * _B) >> _DOWN) & self.mask
 
     def find(self, text: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(first word, item's number) of every occurrence, in the order of places."""
+        """(first word, pattern's number) of every occurrence, in the order of places."""
         length, shift, get, mask, n = self.length, self.shift, self.number.get, self.mask, len(text)
         farthest, back = length - self.block + 1, min(2, length)
-        end = length
+        end, numbers = length, []
         while end <= n:
             b = get(text[end - 1], -1)
             a = get(text[end - back], -1)
@@ -75,24 +95,36 @@ class WuManber:
             if jump:
                 end += jump
                 continue
-            yield from self._compare(text, end - length, h)
+            yield from self._compare(text, end - length, h, numbers)
             end += 1
 
-    def _compare(self, text: list[bytes], start: int, h: int) -> Iterator[tuple[int, int]]:
-        get = self.number.get
+    def _compare(self, text: list[bytes], start: int, h: int, numbers: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """``numbers``: filled with the text's word numbers at the first place that has to be compared."""
+        get, length = self.number.get, self.length
         a, b = get(text[start], -1), get(text[start + self.block - 1], -1)
         low, high = int(self.begin[h]), int(self.begin[h + 1])
         if a < 0 or b < 0 or low == high:
             return
-        key, near = (a << 32) | b, self.first[low:high]
-        low, high = low + int(np.searchsorted(near, key)), low + int(np.searchsorted(near, key, "right"))
+        key = (a << 32) | b
+        if high - low > 1:
+            near = self.first[low:high]
+            low, high = low + int(np.searchsorted(near, key)), low + int(np.searchsorted(near, key, "right"))
+        elif self.first[low] != key:
+            return
         if low == high:
             return
-        own = np.array([get(w, -1) for w in text[start : start + self.length]], self.flat.dtype)
+        if not numbers:
+            numbers.append(np.fromiter((get(w, -1) for w in text), self.flat.dtype, len(text)))
+        own = numbers[0][start : start + length]
+        if high - low == 1:
+            at = self.starts[low]
+            if self.flat[at : at + length].tobytes() == own.tobytes():
+                yield start, int(self.pattern[low])
+            return
         for k in range(low, high, 4096):
             places = self.starts[k : min(high, k + 4096)]
-            same = (self.flat[places[:, None] + np.arange(self.length)] == own).all(axis=1)
-            yield from ((start, int(i)) for i in self.items[k : min(high, k + 4096)][same])
+            same = (self.flat[places[:, None] + np.arange(length)] == own).all(axis=1)
+            yield from ((start, int(p)) for p in self.pattern[k : min(high, k + 4096)][same])
 
 
 class Scanner:
@@ -116,10 +148,13 @@ class Scanner:
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         spans, items = [], set()
         for table in self.tables:
-            for start, item in table.find(text):
+            met = set()
+            for start, pattern in table.find(text):
                 if not spans or spans[-1] != (start, start + table.length):
                     spans.append((start, start + table.length))
-                items.add(item)
+                met.add(pattern)
+            for pattern in met:
+                items.update(table.items_of(pattern).tolist())
         return merged(spans), {self.names[i] for i in items}
 
 
