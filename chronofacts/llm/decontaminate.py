@@ -54,7 +54,7 @@ class WuManber:
         self.begin = np.searchsorted(bucket[order], np.arange((1 << bits) + 1)).astype(np.int32)
 
     def _once(self, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """A start of each different pattern; ``owners`` from ``owned[p]`` on are the items that have pattern p, each once."""
+        """A start of each different pattern; ``items`` from ``owned[p]`` on are the items that have pattern p, each once."""
         key = np.zeros(len(starts), np.uint64)
         for j in range(self.length):
             key = key * np.uint64(0x9E3779B97F4A7C15) + self.flat[starts + j].astype(np.uint64)
@@ -65,12 +65,12 @@ class WuManber:
             same &= self.flat[starts[1:] + j] == self.flat[starts[:-1] + j]
         new = np.append(True, ~same)
         keep = new | np.append(True, items[1:] != items[:-1])
-        self.owners = items[keep]
+        self.items = items[keep]
         self.owned = np.searchsorted((np.cumsum(new) - 1)[keep], np.arange(int(new.sum()) + 1)).astype(np.int32)
         return starts[new]
 
     def items_of(self, pattern: int) -> np.ndarray:
-        return self.owners[self.owned[pattern] : self.owned[pattern + 1]]
+        return self.items[self.owned[pattern] : self.owned[pattern + 1]]
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -34,3 +34,11 @@ def test_windows_shared_by_items_against_all_places():
                         found.add(str(k))
         spans, names = Scanner(items, 5).scan(doc)
         assert names == found and {x for a, b in spans for x in range(a, b)} == hit
+
+
+def test_all_arrays_stay_small():
+    rnd = random.Random(2)
+    items = [(k, " ".join(rnd.choices([f"w{j}" for j in range(3000)], k=150)).encode()) for k in range(600)]
+    size = sum(len(t) for _, t in items)
+    tables = Scanner(items, 10).tables
+    assert sum(x.nbytes for t in tables for x in vars(t).values() if hasattr(x, "nbytes")) + sum(len(t.shift) for t in tables) < 22 * size
