@@ -69,23 +69,6 @@ def answer_change_error(answer_type: Column, before: Column, after: Column) -> C
 # Question repair
 
 
-def offset_check(question: Column, anchor_start: Column, anchor_end: Column, x_start: Column, x_end: Column) -> Column:
-    """struct(ok, reason, actual_days): whether the ``N days before|after`` of a question fits its two events. Reasons come in a fixed order."""
-    offset = X.offset_in(question)
-    gap = F.when(offset["relation"] == "after", F.datediff(x_start, anchor_end)).otherwise(F.datediff(anchor_start, x_end))
-    covers = F.when(offset["relation"] == "after", F.date_add(anchor_end, offset["days"])).otherwise(F.date_sub(anchor_start, offset["days"])).between(x_start, x_end)
-    reason = F.when(offset.isNull(), "offset_not_found").when(anchor_start.isNull() | anchor_end.isNull(), "anchor_time_missing").when(x_start.isNull() | x_end.isNull(), "query_time_missing").when((anchor_end < anchor_start) | (x_end < x_start), "inverted_interval").when(~covers, "offset_mismatch").otherwise("ok")
-    return F.struct((reason == "ok").alias("ok"), reason.alias("reason"), gap.alias("actual_days"))
-
-
-def repair_offset_question(question: Column, anchor: Column, answer_type: Column, relation: Column, known: Column) -> Column:
-    """An offset question written anew from its parts, where it has an offset; else unchanged."""
-    offset = X.offset_in(question)
-    lead = F.concat(offset["days"].cast("string"), F.lit(" days "), offset["relation"], F.lit(" "), anchor)
-    ask = F.when(answer_type == "subject", F.concat(F.lit(", who "), relation, F.lit(" "), known)).otherwise(F.concat(F.lit(", "), known, F.lit(" "), relation, F.lit(" what")))
-    return F.when(offset.isNotNull(), F.concat(lead, ask, F.lit("?"))).otherwise(question)
-
-
 def ensure_question_mark(question: Column) -> Column:
     text = X.collapse(question)
     return F.when(text.endswith("?"), text).otherwise(F.concat(F.regexp_replace(text, r"[.!\s]+$", ""), F.lit("?")))

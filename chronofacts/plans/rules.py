@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as X
 from ..functions import timeparse as D
-from ..operators import curate, programs
+from ..operators import curate, programs, repair
 from .shop import ORACLE, QUERIES
 from .workload import table
 
@@ -217,4 +217,60 @@ rule(
     days=sql_pick(*("CAST(n AS INTEGER)" if "{n}" in r[0] else "NULL" for r in RELATIONS)), unsupported=f"CAST({sql_pick(*(str(r[4]) for r in RELATIONS))} AS INTEGER)",
 )
 
+# Question repair: each order is a case; its offset of n days, moved by k % 7 - 2, falls into the event asked for or not
+
+_CASES = f"""{_BASE},
+q AS (SELECT *, k % 8 AS v, CAST(n AS INTEGER) AS days, CAST(k % 7 - 2 AS INTEGER) AS off, 'buyer ' || n AS s, 'A' || k % 5 || ' met B' AS anchored FROM b),
+c AS (
+  SELECT *, 'buyer ' || n || ' ordered ' || pr AS asked, off >= 0 AND off <= e - d AS valid, v IN (1, 3) AS is_before, v IN (2, 3, 7) AS of_subject, CAST(d + CASE WHEN v IN (1, 3) THEN days ELSE -days END + off AS DATE) AS edge,
+    CASE v WHEN 0 THEN days || ' days ' || s || ' ordered ' || pr || ', in which organisation, ' || s || ' ordered?' WHEN 1 THEN ' ' || days || ' days  ' || anchored || ', in which organisation, x?' WHEN 2 THEN 'Who ordered ' || pr || ' ' || days || ' days ' || anchored || ' ?'
+      WHEN 3 THEN 'Who ordered ' || pr || ' ' || days || ' days before ' || anchored || '?' WHEN 4 THEN 'Who ' || s || ' ' || pr || ', when?' WHEN 5 THEN days || ' days ' || s || '?' WHEN 6 THEN 'Who?' ELSE 'Who ordered ' || pr || ' ' || days || ' days nobody?' END AS question
+  FROM q
+)"""
+
+
+def repair_cases(spark: SparkSession, sf: str) -> DataFrame:
+    c = _inputs()
+    v, days, off = c.k % 8, c.n.cast("int"), (c.k % 7 - 2).cast("int")
+    s, anchored = text("buyer ", c.nt), text("A", (c.k % 5).cast("string"), " met B")
+    ordered = text("Who ordered ", c.pr, " ", c.nt, " days ")
+    question = pick(
+        text(c.nt, " days ", s, " ordered ", c.pr, ", in which organisation, ", s, " ordered?"), text(" ", c.nt, " days  ", anchored, ", in which organisation, x?"), text(ordered, anchored, " ?"), text(ordered, "before ", anchored, "?"),
+        text("Who ", s, " ", c.pr, ", when?"), text(c.nt, " days ", s, "?"), "Who?", text(ordered, "nobody?"),
+    )
+    edge = F.date_add(c.d, F.when(v.isin(1, 3), days).otherwise(-days) + off)
+    wide = c.k % 3 == 0
+    first, last = F.when(wide & ~v.isin(1, 3), F.date_sub(edge, 3)).otherwise(edge), F.when(wide & v.isin(1, 3), F.date_add(edge, 3)).otherwise(edge)
+    asked = text(s, "|ordered|", c.pr, "|", F.when(v == 5, "soon").otherwise(c.dt), "|", c.et)
+    anchor = text("A", (c.k % 5).cast("string"), "|met|B|", first.cast("string"), "|", last.cast("string"))
+    medium, complex_ = repair.OFFSET_KIND, repair.PREFIX_KIND
+    return cases(spark, sf).select(
+        c.k.alias("id"), question.alias("question"), pick("medium", "medium", "medium", "medium", "complex", "medium", "simple", "medium").alias("question_level"), pick(medium, medium, medium, medium, complex_, medium, medium, medium).alias("question_type"),
+        pick("object", "object", "subject", "subject", "subject", "object", "object", "subject").alias("answer_type"), pick(*["duration_after", "duration_before"] * 2, *["duration_after"] * 4).alias("temporal_relation"), F.array(asked, anchor).alias("events"),
+    )
+
+
+QUERIES["question_repair"] = lambda spark, sf: repair.repaired(repair_cases(spark, sf)).select("id", "question")
+_NEW = """CASE WHEN v = 0 AND valid THEN days || ' days after ' || anchored || ', in which organisation, ' || s || ' ordered?' WHEN v = 1 AND valid THEN ' ' || days || ' days  before ' || anchored || ', in which organisation, x?'
+  WHEN v = 2 AND valid THEN 'Who ordered ' || pr || ' ' || days || ' days after ' || anchored || '?' WHEN v = 4 THEN 'Who ordered ' || pr || ', when?' ELSE question END"""
+ORACLE["question_repair"] = f"{_CASES} SELECT k AS id, {_NEW} AS question FROM c"
+QUERIES["question_repair_audit"] = lambda spark, sf: repair.audit(repair_cases(spark, sf)).drop("question_level", "question_type", "answer_type", "temporal_relation")
+ORACLE["question_repair_audit"] = f"""{_CASES},
+a AS (SELECT *, CASE WHEN v = 5 THEN 'bad_query_date' WHEN valid THEN 'ok' ELSE 'target_not_in_query_interval' END AS reason, {_NEW} AS new_question FROM c WHERE v <> 6),
+t AS (
+  SELECT *, CASE WHEN v = 4 THEN NULL WHEN reason <> 'ok' THEN 'offset_invalid' WHEN v = 3 THEN 'already_has_connector' WHEN v = 7 THEN 'subject_anchor_clause_not_anchor_event' ELSE 'repaired' END AS status FROM a
+)
+SELECT k AS id, question AS old_question, new_question, CASE WHEN v = 4 THEN 'C1_complex_subject_prefix_relation' WHEN status = 'repaired' THEN CASE v WHEN 0 THEN 'M1A_medium_object_duration_after_swap_anchor_and_add_after' WHEN 1 THEN 'M1B_medium_object_duration_before_add_before' ELSE 'M2_medium_subject_duration_after_add_after' END END AS rule,
+  CASE WHEN v = 4 OR status = 'repaired' THEN NULL WHEN reason <> 'ok' THEN 'offset_invalid_skip_repair:' || reason ELSE 'offset_valid_but_not_repaired:' || status END AS note,
+  CASE WHEN v <> 4 THEN reason = 'ok' END AS offset_valid, CASE WHEN v <> 4 THEN reason END AS reason, status, CASE WHEN v <> 4 THEN days END AS offset_days,
+  CASE WHEN v NOT IN (4, 5) THEN CASE WHEN k % 3 <> 0 THEN 'anchor_point' WHEN is_before THEN 'anchor_start' ELSE 'anchor_end' END END AS boundary_kind, CASE WHEN v NOT IN (4, 5) THEN edge END AS boundary_date, CASE WHEN v NOT IN (4, 5) THEN CAST(d + off AS DATE) END AS target_date
+FROM t"""
+QUERIES["question_repair_counts"] = lambda spark, sf: repair.counts(repair.audit(repair_cases(spark, sf)))
+ORACLE["question_repair_counts"] = f"""{_CASES},
+t AS (SELECT *, CASE WHEN v = 4 THEN NULL WHEN v = 5 OR NOT valid THEN 'offset_invalid' WHEN v = 3 THEN 'already_has_connector' WHEN v = 7 THEN 'subject_anchor_clause_not_anchor_event' ELSE 'repaired' END AS status FROM c WHERE v <> 6),
+r AS (SELECT *, CASE WHEN v = 4 THEN 'C1_complex_subject_prefix_relation' WHEN status = 'repaired' THEN CASE v WHEN 0 THEN 'M1A_medium_object_duration_after_swap_anchor_and_add_after' WHEN 1 THEN 'M1B_medium_object_duration_before_add_before' ELSE 'M2_medium_subject_duration_after_add_after' END END AS rule FROM t),
+n AS (SELECT unnest([CASE WHEN v <> 4 THEN 'target_total' END, CASE WHEN status <> 'offset_invalid' THEN 'offset_valid' END, CASE WHEN status = 'offset_invalid' THEN 'offset_invalid::' || CASE WHEN v = 5 THEN 'bad_query_date' ELSE 'target_not_in_query_interval' END END,
+  'status::' || status, 'rule::' || rule, CASE WHEN rule IS NOT NULL THEN 'changed_total' END]) AS counter FROM r)
+SELECT counter, count(*) AS n FROM n WHERE counter IS NOT NULL GROUP BY counter"""
+
 __all__ = ["ORACLE", "QUERIES"]
