@@ -12,10 +12,13 @@ from hashlib import sha256
 from typing import Protocol
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pieces import Pieces
+
 TRIPLE = "array<string>"
 SCHEMAS = {
     "decompose": f"anchor_triples array<{TRIPLE}>, search_triple {TRIPLE}",
@@ -97,10 +100,11 @@ def call_key(task: str, text: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{task}\n"), text), 256)
 
 
-def call(rows: DataFrame, task: str, text: str, provider: Caller, retries: int = 2, timeouts: int = 20, schema: str | None = None) -> DataFrame:
+def call(rows: DataFrame, task: str, text: str, provider: Caller, retries: int = 2, timeouts: int = 20, schema: str | None = None, failures: Accumulator | None = None) -> DataFrame:
     """``rows`` with ``result`` (struct of the task's schema, null on failure) and ``error``.
 
     Each attempt after the first carries the last error. A task stops asking after ``timeouts`` timeouts; its further rows fail with that reason.
+    ``failures`` counts the timeouts of all tasks, for a stage's budget (``call_in_pieces``).
     """
     shape = T.StructType.fromDDL(schema or SCHEMAS[task])
     required = {f.name for f in shape.fields}
@@ -120,6 +124,8 @@ def call(rows: DataFrame, task: str, text: str, provider: Caller, retries: int =
                         raw = reply
                     except TimeoutError as x:
                         error, spent = f"timeout: {x}", spent + 1
+                        if failures is not None:
+                            failures.add(1)
                     except Exception as x:  # noqa: BLE001  whatever a provider raises is a row's error
                         error = f"{type(x).__name__}: {x}"
                     attempt += 1
@@ -130,6 +136,14 @@ def call(rows: DataFrame, task: str, text: str, provider: Caller, retries: int =
     return rows.mapInPandas(run, out_schema).withColumn("result", F.from_json("raw", shape)).drop("raw")
 
 
+def call_in_pieces(rows: DataFrame, key: str, task: str, text: str, provider: Caller, folder: str, pieces: int = 8, timeouts: int = 20, **options) -> DataFrame:
+    """``call`` as work that resumes (``pieces.Pieces``): key, result and error of each row. A new start asks only rows without a result; failed ones again. ``timeouts`` is the budget of the whole stage."""
+    schema = T.StructType([rows.schema[key], T.StructField("result", T.StructType.fromDDL(options.get("schema") or SCHEMAS[task])), T.StructField("error", T.StringType())])
+    work = Pieces(rows.sparkSession, folder, key, schema, pieces, timeouts)
+    step = lambda part, failures: call(part, task, text, provider, timeouts=timeouts, failures=failures, **options)
+    return work.run(rows.select(key, text), step, lambda e: e.isNotNull(), "error")
+
+
 def call_cached(rows: DataFrame, task: str, text: str, provider: Caller, cache: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """As ``call``, for inputs that ``cache`` (key, result) lacks only. Returns the rows and the grown cache."""
     keyed = rows.withColumn("key", call_key(task, F.col(text)))
