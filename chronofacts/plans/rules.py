@@ -217,6 +217,71 @@ rule(
     days=sql_pick(*("CAST(n AS INTEGER)" if "{n}" in r[0] else "NULL" for r in RELATIONS)), unsupported=f"CAST({sql_pick(*(str(r[4]) for r in RELATIONS))} AS INTEGER)",
 )
 
+# Programs: each order is a case of three events, of which some make its status, and an operator that is answered from the given events
+
+_ASKS = (
+    ("", "NO_PROGRAM", ""), ("X zz Y", "UNSUPPORTED_TEMPORAL_RELATION", ""), ("duration_after", "OFFSET_NOT_FOUND", "What came after Gamma?"), ("X < Y & X > Y", "ANCHOR_LINK_FAILED", "What came before Alpha?"), ("X < Y", "QUERY_INFER_FAILED", "What came before Alpha?"),
+    ("X < Y & X > Y", "OK", "What came before Alpha and after Beta?"), ("timeline", "OK", ""), ("X < Y", "NO_EVENTS", "What came before Alpha?"), ("duration_before", "OK_WITH_HIDDEN_ANCHOR", "{n} days before it began, what did Alpha do?"),
+)
+
+
+def _three_events(c: SimpleNamespace) -> Column:
+    """Alpha for a while from d, Beta and Gamma from later days: lengths of k % 90, k % 7 and k % 3 days."""
+    event = lambda name, start, days: F.struct(F.lit(name).alias("head"), F.lit("did").alias("relation"), text("task ", c.nt).alias("tail"), start.alias("start"), F.date_add(start, days.cast("int")).alias("end"))
+    return F.array(event("Alpha", c.d, c.k % 90), event("Beta", F.date_add(c.d, (c.k % 5).cast("int")), c.k % 7), event("Gamma", F.date_add(c.d, (c.k % 4 + 1).cast("int")), c.k % 3))
+
+
+def program_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of every case: which program it is, whether its anchors are named and one event is left to be asked for."""
+    c = _inputs()
+    at = c.k % len(_ASKS)
+    events = _three_events(c)
+    given = F.when(at == 7, F.slice(events, 1, 0)).when(at == 8, F.slice(events, 1, 2)).otherwise(events)
+    rows = cases(spark, sf).select(c.k.alias("id"), F.replace(pick(*(q for *_, q in _ASKS)), F.lit("{n}"), c.nt).alias("question"), pick(*(r for r, *_ in _ASKS)).alias("temporal_relation"), F.lit("object").alias("answer_type"), given.alias("event_list"))
+    return programs.compile_cases(rows).select("id", "status")
+
+
+QUERIES["program_statuses"] = program_statuses
+ORACLE["program_statuses"] = f"{_BASE} SELECT k AS id, {sql_pick(*(_quoted(x[1]) for x in _ASKS))} AS status FROM b"
+
+#: Operator, question and tie mode of ``program_event_operators``, by the remainder of the key.
+_OPERATORS = (
+    ("rank_start_time", "Which rank has the event in which Beta did among these?"), ("rank_end_time", "Which rank has the event in which Beta did among these?"), ("duration_compare", "Is the duration of Alpha longer than Beta?"),
+    ("duration_compare", "Which one lasted the longest: Alpha, Beta or Gamma?"), ("duration_compare", "Which one is the second shortest among Alpha, Beta, Gamma?"), ("duration", ""), ("intersection", ""), ("sum", ""), ("average", ""), ("union", ""),
+)
+
+
+def program_event_operators(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of every operator from the given events, with each tie mode: all, the first, or none."""
+    c = _inputs()
+    rows = cases(spark, sf).select(c.k.alias("id"), pick(*(o for o, _ in _OPERATORS)).alias("o"), pick(*(q for _, q in _OPERATORS)).alias("q"), _three_events(c).alias("e"))
+    answers = {ties: F.array_join(programs.answer_from_events(F.col("o"), F.col("e"), F.col("q"), ties), ";") for ties in ("all", "first", "exception")}
+    return rows.select("id", *(a.alias(f"ties_{ties}") for ties, a in answers.items()))
+
+
+QUERIES["program_event_operators"] = program_event_operators
+_LONGEST = "CASE WHEN {0} >= {1} AND {0} >= {2} THEN {3} END"
+_TIED = "concat_ws(';', " + ", ".join(_LONGEST.format(*x) for x in (("la", "lb", "lg", "'1'"), ("lb", "la", "lg", "'2'"), ("lg", "la", "lb", "'3'"))) + ")"
+_DAY_SPAN = "CAST({} AS VARCHAR) || ' to ' || CAST({} AS VARCHAR)"
+
+
+def _operator_sql(longest: str) -> str:
+    return sql_pick(
+        "CAST(1 + CAST(sa <= sb AS INTEGER) + CAST(sg < sb AS INTEGER) AS VARCHAR)", "CAST(1 + CAST(ea <= eb AS INTEGER) + CAST(eg < eb AS INTEGER) AS VARCHAR)",
+        "CASE WHEN la > lb THEN 'longer' WHEN la < lb THEN 'shorter' ELSE 'equals' END", longest, "CAST(list_sort([(la, 1), (lb, 2), (lg, 3)])[2][2] AS VARCHAR)",
+        "array_to_string(list_transform(list_filter([(la, 1), (lb, 2), (lg, 3)], lambda x: NOT (x[2] = 2 AND lb = la) AND NOT (x[2] = 3 AND (lg = la OR lg = lb))), lambda x: CAST(x[1] AS VARCHAR) || ' days'), ';')",
+        f"CASE WHEN greatest(sa, sb, sg) <= least(ea, eb, eg) THEN {_DAY_SPAN.format('greatest(sa, sb, sg)', 'least(ea, eb, eg)')} ELSE '' END", "CAST(la + lb + lg AS VARCHAR) || ' days'", "CAST((la + lb + lg) // 3 AS VARCHAR) || ' days'", "islands",
+    )
+
+
+ORACLE["program_event_operators"] = f"""{_BASE},
+t AS (SELECT k, CAST(k % 90 AS INTEGER) AS la, CAST(k % 7 AS INTEGER) AS lb, CAST(k % 3 AS INTEGER) AS lg, d AS sa, CAST(d + CAST(k % 5 AS INTEGER) AS DATE) AS sb, CAST(d + CAST(k % 4 + 1 AS INTEGER) AS DATE) AS sg FROM b),
+v AS (SELECT *, CAST(sa + la AS DATE) AS ea, CAST(sb + lb AS DATE) AS eb, CAST(sg + lg AS DATE) AS eg FROM t),
+x AS (SELECT k, unnest([{{'s': sa, 'e': ea}}, {{'s': sb, 'e': eb}}, {{'s': sg, 'e': eg}}], recursive := true) FROM v),
+m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM x), n AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m),
+u AS (SELECT k, string_agg({_DAY_SPAN.format('s', 'e')}, ';' ORDER BY s) AS islands FROM (SELECT k, i, min(s) AS s, max(e) AS e FROM n GROUP BY k, i) GROUP BY k), w AS (SELECT v.*, islands, {_TIED} AS tied FROM v JOIN u USING (k))
+SELECT k AS id, {_operator_sql('tied')} AS ties_all, {_operator_sql('tied[1:1]')} AS ties_first, {_operator_sql("CASE WHEN length(tied) = 1 THEN tied ELSE '' END")} AS ties_exception FROM w"""
+
 # Question repair: each order is a case; its offset of n days, moved by k % 7 - 2, falls into the event asked for or not
 
 _CASES = f"""{_BASE},

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import constraints, intervals
 from ..sources import store
+from ..sources.pieces import Pieces
 from ..sources.store import scratch_folder
 from ..streaming import facts as stream
 from .workload import _ALLEN_SQL, _ISLANDS, ORACLE, QUERIES, query, table
@@ -98,6 +99,21 @@ def stored_facts_match(spark: SparkSession, sf: str) -> DataFrame:
     return store.load_facts(spark, folder).of_heads(p, dt.date(2024, 2, 20), dt.date(2024, 3, 10))
 
 
+# Work in pieces
+
+
+@query("resumed_pieces", "SELECT sale_id, status, CAST(round(total * 100) AS BIGINT) AS cents FROM sales")
+def resumed_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals in cents by a job in pieces: a first start does the open sales, a second one what is left, and compaction keeps one result of each."""
+    sales = table(spark, sf, "sales").select("sale_id", "status", "total")
+    schema = sales.select("sale_id", "status", F.lit(0).cast("long").alias("cents")).schema
+    cents = lambda rows, _: rows.withColumn("cents", F.round(F.col("total") * 100).cast("long"))
+    work = Pieces(spark, scratch_folder(spark), "sale_id", schema, pieces=4)
+    work.run(sales.where("status = 'open'"), cents)
+    work.run(sales, cents)
+    return work.compact(scratch_folder(spark)).results()
+
+
 # Any-match: deliveries against all swapped deliveries of the same vendor
 
 _MATCH = """

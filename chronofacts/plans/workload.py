@@ -709,6 +709,15 @@ def program_execute(spark: SparkSession, sf: str) -> DataFrame:
     return done.join(compiled.select(F.col("id").alias("qid"), "status"), "qid").select("qid", F.size("answers").cast("long").alias("n_answers"), "status")
 
 
+@query("program_answers", """
+, s AS (SELECT DISTINCT head, tail, "start", "end" FROM facts WHERE relation = 'supplied'), n AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY "start", "end", tail) AS n FROM s),
+a AS (SELECT a.head, a."end" AS ye FROM n a JOIN n q ON a.head = q.head AND a.n = 1 AND q.n = 3 WHERE a.tail <> q.tail AND NOT contains(a.tail, q.tail) AND NOT contains(q.tail, a.tail)),
+t AS (SELECT s.head, s.tail, min((s."start", s."end", s.tail)) AS k FROM s JOIN a ON s.head = a.head WHERE s."start" > ye GROUP BY s.head, s.tail) SELECT a.head AS qid, coalesce(string_agg(t.tail, ';' ORDER BY k) FILTER (t.tail IS NOT NULL), '') AS answers FROM a LEFT JOIN t ON a.head = t.head GROUP BY a.head""")
+def program_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """``program_execute`` by the answers themselves, in their order."""
+    return programs.execute_cases(programs.compile_cases(cases(spark, sf)), supplies(spark, sf)).select("qid", F.array_join("answers", ";").alias("answers"))
+
+
 def graph_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Six questions for each supplier of two parts or more, each over the first supplies of its alphabetically first and last part."""
     s = supplies(spark, sf)
