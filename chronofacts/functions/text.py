@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
+from string import ascii_uppercase as _UPPER
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -35,6 +38,49 @@ def folded_text(c: Column) -> Column:
     return F.when(plain, F.lower(collapse(c))).otherwise(pandas_udf(_fold, "string")(F.when(~plain, c)))
 
 
+@cache
+def _fold_tables() -> tuple[str, str, str]:
+    """From the interpreter's Unicode tables: characters that fold to one other character, what they fold to, and a class of those that do not fold on their own.
+
+    The last are characters that fold to several (but sharp s, which is common and replaced by itself) and whatever can combine with its neighbours.
+    """
+    one, other, several = [], [], []
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        f = unicodedata.normalize("NFKC", c).casefold()
+        if len(f) != 1 and c not in "ßẞ" or unicodedata.combining(c) or unicodedata.category(c)[0] == "M" or 0x1160 <= code < 0x1200:
+            several.append(code)
+        elif f != c and len(f) == 1:
+            one.append(c)
+            other.append(f)
+    ranges = []
+    for code in several:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(one), "".join(other), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def with_folded(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``folded_text`` of a column, for tables: the JVM folds whatever folds character by character, and only rows with others reach Python.
+
+    Those rows are looked for first (a pass over the column that ends at the first one), so the plan of a table without them has no Python step.
+    """
+    one, other, several = _fold_tables()
+    c = F.col(column)
+    plain, hard = c.rlike(r"^[\x00-\x7F]*$"), F.coalesce(c.rlike(several), F.lit(False))
+    mapped = F.regexp_replace(F.translate(c, one, other), "[ßẞ]", "ss")
+    spaced = lambda x: F.trim(F.regexp_replace(x, r"(?U)[\s\x1C-\x1F]+", " "))
+    easy = df.where(~hard).withColumn(name, F.when(plain, F.lower(spaced(c))).otherwise(spaced(F.translate(mapped, _UPPER, _UPPER.lower()))))
+    rest = df.where(hard)
+    if rest.isEmpty():
+        return easy
+    return easy.unionByName(rest.withColumn(name, pandas_udf(_fold, "string")(c)))
+
+
 def hit_text(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit(""))))
 

@@ -443,6 +443,12 @@ def fact_text(spark: SparkSession, sf: str) -> DataFrame:
     return stamped(facts(spark, sf)).select(rag.fact_text(F.col("head"), F.col("relation"), F.col("tail"), F.col("timestamp")).alias("fact"))
 
 
+@query("folded_documents", r"""SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))) AS folded_sha256 FROM documents""")
+def folded_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in compatibility form, case-folded, with single spaces."""
+    return X.with_folded(table(spark, sf, "documents").select("doc_id", "text"), "text", "folded").select("doc_id", F.sha2("folded", 256).alias("folded_sha256"))
+
+
 @query("event_string_parse", """SELECT head, relation, tail, CAST("start" AS VARCHAR) AS start_text, CAST("end" AS VARCHAR) AS end_text FROM facts""")
 def event_string_parse(spark: SparkSession, sf: str) -> DataFrame:
     raw = facts(spark, sf).select(X.event_string(F.col("head"), F.col("relation"), F.col("tail"), F.col("start").cast("string"), F.col("end").cast("string")).alias("e"))
