@@ -7,11 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from chronofacts.plans import rules, workload
+from chronofacts.plans import files, workload
 
 SF = "/root/testdata/sf0.001"
 #: One of each family; the driver compares all of them.
-NAMES = ["flagship_overlap", "fact_view", "vocab_ids", "pattern_exact_head_unknown", "time_equal_month", "allen_overlaps", "constraint_chain_counts", "rank_last", "interval_intersection", "interval_average", "time_normalize", "similarity_triple_join", "balance_levels", "hash_split", "stratified_sample", "hits_at_k", "event_retention", "session_events", "rule_edge_time", "rule_gold_answer", "rule_texts", "rule_answer_change", "rule_question_order", "relation_parse", "stratified_split", "shop_meets_any"]
+NAMES = ["flagship_overlap", "fact_view", "vocab_ids", "pattern_exact_head_unknown", "time_equal_month", "allen_overlaps", "constraint_chain_counts", "rank_last", "interval_intersection", "interval_average", "time_normalize", "similarity_triple_join", "balance_levels", "hash_split", "stratified_sample", "hits_at_k", "event_retention", "session_events", "rule_edge_time", "rule_gold_answer", "rule_texts", "rule_answer_change", "rule_question_order", "relation_parse", "stratified_split", "shop_meets_any", "answer_kinds", "wrapped_records", "record_hashes", "program_event_operators", "question_repair_audit"]
 
 
 def plain(x):
