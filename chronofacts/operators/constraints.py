@@ -63,9 +63,9 @@ def rank_candidates(candidates: DataFrame, key: str = "qid") -> DataFrame:
     return candidates.withColumn("_start", start).where("_start IS NOT NULL").withColumn("_by", by).withColumn("time_rank", n).where(F.col("time_rank") <= keep).drop("_start", "_by")
 
 
-def constrained(plans: DataFrame, candidates: DataFrame, anchors: DataFrame, cap: int = EVIDENCE) -> DataFrame:
-    """The evidence of each question: candidates that meet all constraints (without repeats once there is any), ranked if asked, ``cap`` at most."""
-    return _evidence(apply_constraints(plans, candidates, anchors), cap)
+def constrained(plans: DataFrame, candidates: DataFrame, anchors: DataFrame, cap: int = EVIDENCE, tested: DataFrame | None = None) -> DataFrame:
+    """The evidence of each question: candidates that meet all constraints (without repeats once there is any), ranked if asked, ``cap`` at most. ``tested``: the candidates' tests, if they were made before."""
+    return _evidence(apply_constraints(plans, candidates, anchors) if tested is None else tested, cap)
 
 
 def _evidence(tested: DataFrame, cap: int) -> DataFrame:
@@ -78,13 +78,13 @@ def _evidence(tested: DataFrame, cap: int) -> DataFrame:
     return out.where(F.col("evidence_rank") <= cap).drop("_t")
 
 
-def evidence_stats(plans: DataFrame, candidates: DataFrame, anchors: DataFrame, cap: int = EVIDENCE) -> DataFrame:
+def evidence_stats(plans: DataFrame, candidates: DataFrame, anchors: DataFrame, cap: int = EVIDENCE, tested: DataFrame | None = None) -> DataFrame:
     """One row for each question: retrieved, survivors after each executed constraint, how many were executed, final count and reduction ratios.
 
     The step that empties the set counts as executed, later ones do not. Counts before the first constraint include repeats, those after it do not.
     The tested candidates are stored, since both the steps and the final count read them.
     """
-    tested = stored(apply_constraints(plans, candidates, anchors))
+    tested = stored(apply_constraints(plans, candidates, anchors)) if tested is None else tested
     steps = tested.select("qid", "passed", F.struct("head", "relation", "tail", "timestamp").alias("fact"), F.explode(F.sequence(F.lit(0), F.size("constraints"))).alias("step"))
     counts = steps.groupBy("qid", "step").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.when(F.col("passed") >= F.col("step"), F.col("fact"))).alias("facts"))
     per = counts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("step", "rows", "facts"))).alias("s"))

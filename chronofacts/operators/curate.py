@@ -14,6 +14,7 @@ from . import ranks
 
 #: Answers that say nothing. Fixed values.
 INVALID = ("", "noanswer", "no answer", "0 days")
+#: Levels of questions, and the kind that changes its level. Fixed values.
 LEVELS = ("simple", "medium", "complex")
 SPLITS = (("train", 8), ("validation", 1), ("test", 1))
 

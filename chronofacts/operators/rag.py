@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import providers as M
+from ..sources.facts import stored
 from . import similarity
 
 MODES = ("llm", "cot", "rag", "rag_filter", "hyde", "hyde_filter", "query2doc", "query2doc_filter", "agent")
@@ -27,7 +28,7 @@ def line_sentence(line: Column, compat: bool = False) -> Column:
 def fact_text(head: Column, relation: Column, tail: Column, timestamp: Column) -> Column:
     """``[head, relation, tail]`` with `` from A to B`` or `` on X``; without a time, the triple alone."""
     triple = F.concat(F.lit("["), F.concat_ws(", ", head, relation, tail), F.lit("]"))
-    span = r"^(\d{4}-\d{2}-\d{2})-(\d{4}-\d{2}-\d{2})$"
+    span = r"^(\d{4}-\d{2}-\d{2})-(\d{4}-\d{2}-\d{2})$"  # fixed value: how the data writes an interval
     return (
         F.when(timestamp.isNull() | timestamp.isin("", "None"), triple)
         .when(timestamp.rlike(span), F.concat(triple, F.lit(" from "), F.regexp_extract(timestamp, span, 1), F.lit(" to "), F.regexp_extract(timestamp, span, 2)))
@@ -120,10 +121,10 @@ def agent(questions: DataFrame, corpus: DataFrame, embedder: M.Embedder, provide
         asked = M.call(open_rows.withColumn("_text", prompt(F.col("question"), F.col("contexts"))), "agent", "_text", provider)
         asked = asked.withColumn("query", F.when(F.col("result.action") == "search", F.trim("result.query")))
         asked = asked.withColumn("query", F.when((F.col("query") != "") & ~F.array_contains("queries", F.col("query")), F.col("query")))
-        asked = asked.withColumn("llm_answer", F.when((F.col("result.action") == "answer") & (F.size("queries") > 0), F.coalesce("result.answers", none))).drop("result", "error", "_text").persist()
+        asked = stored(asked.withColumn("llm_answer", F.when((F.col("result.action") == "answer") & (F.size("queries") > 0), F.coalesce("result.answers", none))).drop("result", "error", "_text"))
         found = retrieve(asked.where("query IS NOT NULL").select("qid", "query"), corpus, embedder, k).withColumnRenamed("contexts", "_new")
         more = asked.join(found, "qid", "left").withColumn("contexts", F.array_distinct(F.concat("contexts", F.coalesce("_new", none)))).withColumn("queries", F.when(F.col("query").isNotNull(), F.array_append("queries", F.col("query"))).otherwise(F.col("queries")))
-        live = done.unionByName(more.select(*live.columns)).persist()
+        live = stored(done.unionByName(more.select(*live.columns)))
     rest = model_answers(live.where("llm_answer IS NULL").select("qid", "question", "contexts"), provider)
     return live.where("llm_answer IS NOT NULL").select("qid", "question", "llm_answer").unionByName(rest.select("qid", "question", "llm_answer"))
 

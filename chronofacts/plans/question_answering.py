@@ -139,12 +139,13 @@ class Job:
         search = match.positions(self._candidates(rows, F.col("aligned_search")))
         exploded = rows.select("qid", F.posexplode("aligned_anchors").alias("anchor_index", "triple"))
         anchors = match.positions(self._candidates(exploded, F.col("triple"), "anchor_index"))
-        evidence = constraints.constrained(plans, search, anchors)
+        tested = stored(constraints.apply_constraints(plans, search, anchors))
+        evidence = constraints.constrained(plans, search, anchors, tested=tested)
         fields = F.struct("evidence_rank", "head", "relation", "tail", "timestamp", F.lit("search").alias("role"))
         by_search = evidence.groupBy("qid").agg(F.array_sort(F.collect_list(fields)).alias("evidence"))
         own = constraints.anchors_only(anchors).join(rows.where("aligned_search IS NULL").select("qid"), "qid")
         by_anchor = own.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("evidence_rank"), "head", "relation", "tail", "timestamp", F.lit("anchor").alias("role")))).alias("evidence"))
-        stats = constraints.evidence_stats(plans, search, anchors)
+        stats = constraints.evidence_stats(plans, search, anchors, tested=tested)
         out = rows.join(by_search.unionByName(by_anchor), "qid", "left").join(stats, "qid", "left")
         nothing = F.col("evidence").isNull()
         status = F.when(nothing | (F.col("aligned_search").isNotNull() & (F.size("constraints") == 0)), "WARNING").otherwise("SUCCESS")

@@ -28,7 +28,7 @@ SCHEMAS = {
     "filter": "keep array<int>",
     "pseudo": "document string",
     "agent": "action string, query string, answers array<string>",
-    "polish": "question string, answer array<string>",
+    "polish": "question string, answer array<string>, thought string",
 }
 
 
