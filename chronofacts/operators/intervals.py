@@ -122,6 +122,10 @@ def _bounded(facts: DataFrame, key: str, relation: str) -> DataFrame:
     known = F.lit(True)
     for b in bounds.values():
         known = known & (b.isNotNull() if b is not None else F.lit(True))
+    # A region that ends before it begins, as intervals that end before they start have, holds nothing.
+    for low, high in (("low", "high"), ("least", "most")):
+        if bounds[low] is not None and bounds[high] is not None:
+            known = known & (bounds[low] < bounds[high])
     none = F.lit(None).cast("long")
     return spans.withColumn("_asks", known).withColumns({k: b if b is not None else none for k, b in bounds.items()}).withColumn("_takes", functools.reduce(lambda x, y: x & y, (c.isNotNull() for c in asked)))
 

@@ -140,8 +140,9 @@ ALLEN = {
 }
 
 
-@pytest.mark.parametrize("relation", ALLEN)
-def test_counts_of_all_relations(facts, spans, relation):
+#: One of each shape of region; test_core.py has all of them on small keys.
+@pytest.mark.parametrize("relation", ["before", "equal", "during", "overlaps", "overlapped_by", "started_by", "meets"])
+def test_counts_of_a_hot_key(facts, spans, relation):
     whole = facts.where("start IS NOT NULL AND end IS NOT NULL")
     counted = Counter(s for s in spans if s[0] is not None and s[1] is not None and s[2] is not None)
     by = defaultdict(list)
