@@ -105,10 +105,11 @@ def load_settings(text: str, required: tuple[str, ...] = ()) -> dict[str, str]:
 def vocabulary(values: DataFrame, column: str, id_name: str) -> DataFrame:
     """Distinct values with their rank in code-point order, from 0.
 
-    Distributed: values are range-partitioned, counted by partition, and each partition numbers its own; no task sees all of them.
+    Distributed: values are range-partitioned, counted by partition, and each partition numbers its own; no task sees all of them. The ranged rows are
+    stored, as a row must keep its partition's number.
     """
     names = values.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
-    ranged = names.repartitionByRange("name").sortWithinPartitions("name").withColumn("_p", F.spark_partition_id())
+    ranged = stored_table(names.repartitionByRange("name").sortWithinPartitions("name").withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     within = Window.partitionBy("_p").orderBy("name")
@@ -187,10 +188,13 @@ def write_text(df: DataFrame, path: str, column: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def report_table(df: DataFrame, digits: int = 3) -> str:
-    """A small result as an aligned text table with rounded numbers. For reports: the rows are collected."""
+def report_table(df: DataFrame, digits: int = 3, most: int = 10_000) -> str:
+    """A small result as an aligned text table with rounded numbers. For reports: the rows are collected; more than ``most`` are an error."""
     shown = lambda x: "" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
-    rows = [df.columns, *([shown(x) for x in r] for r in df.collect())]
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    rows = [df.columns, *([shown(x) for x in r] for r in found)]
     widths = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
     return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows)
 
