@@ -74,7 +74,7 @@ def test_intersection_of_a_hot_key(spark, facts, spans):
 
 
 def test_row_numbers_and_running_sums_of_a_hot_key(spark):
-    rows = spark.createDataFrame([("hot" if k % 10 else f"k{k % 7}", k * 7919 % 5003) for k in range(5000)], "g string, x int")
+    rows = spark.createDataFrame([("hot" if k % 10 else f"k{k % 7}", k * 7919 % 1201) for k in range(1200)], "g string, x int")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     by = defaultdict(list)
     for g, x in (tuple(r) for r in rows.collect()):
