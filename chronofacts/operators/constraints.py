@@ -173,5 +173,8 @@ def any_interval_match(candidates: DataFrame, anchors: DataFrame, relation: str)
 
 
 def semi_join(candidates: DataFrame, anchors: DataFrame, relation: str, granularity: str | None = None, offset_days: int | None = None) -> DataFrame:
-    """``any_match`` by its older name."""
-    return any_match(candidates, anchors, relation, granularity, offset_days)
+    """``any_match`` for one anchor or few of a question: a semi join on qid with the relation as its condition, which compares a candidate with its question's anchors until one fits."""
+    a = anchors.select(F.col("qid").alias("_q"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    x = (F.col("start"), F.col("end"), F.col("_s"), F.col("_e"))
+    test = P.offset_matches_any(*x, F.lit(relation), F.lit(offset_days)) if offset_days is not None else P.matches(*x, F.lit(relation), F.lit(granularity).cast("string"))
+    return candidates.join(a, (F.col("qid") == F.col("_q")) & test, "left_semi")
