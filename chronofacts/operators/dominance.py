@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..sources.facts import stored_table
 
+#: Rows of a strip, on average, that one Python task holds.
+STRIP_ROWS = 400_000
+
 
 def below(ranks: np.ndarray, weights: np.ndarray, first: np.ndarray, last: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """For each query, the weight of the places from ``first`` to below ``last`` whose rank is below the limit: a wavelet matrix, one pass for each bit."""
@@ -62,13 +65,16 @@ def _strip(by: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def counts(points: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, found): ``points`` (key, s, e, n as longs), ``queries`` (key, query, s, e as longs; query unique, 0 or more). Queries that find nothing are left out.
 
-    A null key matches nothing. s and e of a point count when smaller than the query's. A strip of rows is as large as a shuffle partition, whatever the keys.
+    A null key matches nothing. s and e of a point count when smaller than the query's. A strip holds about ``STRIP_ROWS`` rows, whatever the keys and the size of the tables;
+    rows of a key that agree in s, or in e, stay together, so many of them should be one point or one query.
     """
     none = F.lit(0).cast("long")
     both = points.select("key", "s", "e", "n", F.lit(-1).cast("long").alias("_query"), none.alias("found")).unionByName(queries.select("key", "s", "e", none.alias("n"), F.col("query").alias("_query"), none.alias("found"))).where("key IS NOT NULL")
     kind = both.schema["key"].dataType.simpleString()
-    columns = both.repartitionByRange("key", "s").mapInArrow(_strip("s", "_column"), f"key {kind}, s long, e long, n long, _query long, found long, _column int").drop("s")
-    rows = stored_table(columns).repartitionByRange("key", "e").mapInArrow(_strip("_column", "_row"), f"key {kind}, e long, n long, _query long, found long, _column int, _row int")
+    # As many strips as the rows need: left to the size of shuffled bytes, a strip of small rows would outgrow a Python task.
+    strips = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // STRIP_ROWS))
+    columns = both.repartitionByRange(strips, "key", "s").mapInArrow(_strip("s", "_column"), f"key {kind}, s long, e long, n long, _query long, found long, _column int").drop("s")
+    rows = stored_table(columns).repartitionByRange(strips, "key", "e").mapInArrow(_strip("_column", "_row"), f"key {kind}, e long, n long, _query long, found long, _column int, _row int")
     grid = stored_table(rows.drop("e"))
     # One row for each cell of the grid that a key reaches: few, but for hot keys, and at most parts times parts for one of them.
     cells = grid.groupBy("key", "_column", "_row").agg(F.sum("n").alias("n"))

@@ -130,25 +130,64 @@ def _bounded(facts: DataFrame, key: str, relation: str) -> DataFrame:
     return spans.withColumn("_asks", known).withColumns({k: b if b is not None else none for k, b in bounds.items()}).withColumn("_takes", functools.reduce(lambda x, y: x & y, (c.isNotNull() for c in asked)))
 
 
+#: A bound that is open above.
+TOP = 1 << 40
+
+
+def _corners(relation: str) -> tuple[dict[tuple[str, ...], list[tuple[int, str | None, str | None, int]]], bool, bool]:
+    """The corners (number, bound of s, bound of e, sign) whose counts add up to a region's, by the days of the interval that they rest on; and whether nothing is asked of the partners' starts, or ends."""
+    bounds = REGIONS[relation](0, 100)
+    names = [n if x is not None else None for n, x in zip(("low", "high", "least", "most"), bounds, strict=True)]
+    low, high, least, most = names
+    used = [(high, most, 1)] + [(low, most, -1)] * (low is not None) + [(high, least, -1)] * (least is not None) + [(low, least, 1)] * (low is not None and least is not None)
+    moved = {day: dict(zip(names, REGIONS[relation](*at), strict=True)) for day, at in (("s", (7, 100)), ("e", (0, 107)))}
+    still = dict(zip(names, bounds, strict=True))
+    rests = lambda *of: tuple(day for day in ("s", "e") if any(b is not None and moved[day][b] != still[b] for b in of))
+    known = next(r for r in (rests(*names), ("e",)) if r)
+    found: dict[tuple[str, ...], list[tuple[int, str | None, str | None, int]]] = {}
+    for k, (s, e, sign) in enumerate(used):
+        # A corner that rests on nothing, the whole key, is asked with one of the interval's days.
+        found.setdefault(rests(s, e) or known[:1], []).append((k, s, e, sign))
+    return found, low is None and high is None, least is None and most is None
+
+
 def relation_counts(facts: DataFrame, key: str, relation: str, partners: DataFrame | None = None) -> DataFrame:
     """(key, start, end, n, matches): a key's different intervals, how many facts have each, and to how many ``partners`` of the key (by default all facts, itself too) it stands in the relation.
 
     The join is counted, not made: the partners of an interval fill a range of starts and a range of ends, whose count is a sum of at most four counts of points below and
-    left of a corner (``dominance``); these are shared out over a grid, so no task holds a key. A day that the relation asks for must not be null.
+    left of a corner (``dominance``); these are shared out over a grid, so no task holds a key. A corner that rests on one day of the interval is asked once for each such day of the key,
+    and days that nothing is asked of are summed up first, so that the rows of a key that share a place are as few as its days. A day that the relation asks for must not be null.
     """
     spans = stored_table(_bounded(facts, key, relation).withColumn("id", F.monotonically_increasing_id()))
     others = spans if partners is None else _bounded(partners.select(F.col(key), "start", "end"), key, relation)
-    # Starts or ends that nothing asks for count as 0, and their open corner as 1.
-    free_s, free_e = (all(REGIONS[relation](F.lit(0), F.lit(0))[k] is None for k in pair) for pair in ((0, 1), (2, 3)))
-    points = others.where("_takes").select("key", (F.lit(0).cast("long") if free_s else F.col("s")).alias("s"), (F.lit(0).cast("long") if free_e else F.col("e")).alias("e"), "n")
-    top = F.lit(1 << 40)
-    corners = [(F.coalesce(a, top), F.coalesce(b, top), sign) for a, b, sign in ((F.col("high"), F.col("most"), 1), (F.col("low"), F.col("most"), -1), (F.col("high"), F.col("least"), -1), (F.col("low"), F.col("least"), 1))]
-    has = {"low": F.col("low").isNotNull(), "least": F.col("least").isNotNull()}
-    used = [F.lit(True), has["low"], has["least"], has["low"] & has["least"]]
-    corner = F.array(*(F.when(u, F.struct(a.alias("s"), b.alias("e"), F.lit(sign).alias("sign"), F.lit(k).alias("corner"))) for k, ((a, b, sign), u) in enumerate(zip(corners, used, strict=True))))
-    queries = spans.where("_asks").select("key", "id", F.explode(F.filter(corner, lambda c: c.isNotNull())).alias("c")).select("key", (F.col("id") * 4 + F.col("c.corner")).alias("query"), "c.s", "c.e")
-    found = dominance.counts(points, queries)
-    sign = F.when((F.col("query") % 4).isin(0, 3), F.col("found")).otherwise(-F.col("found"))
-    matches = found.groupBy(F.floor(F.col("query") / 4).cast("long").alias("id")).agg(F.sum(sign).alias("matches"))
-    out = spans.join(matches, "id", "left").select(F.col("key").alias(key), F.col("_start").alias("start"), F.col("_end").alias("end"), "n", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
-    return out
+    corners, free_s, free_e = _corners(relation)
+    # Starts or ends that nothing asks for count as 0, and their open corner as TOP.
+    zero = F.lit(0).cast("long")
+    points = others.where("_takes").select("key", (zero if free_s else F.col("s")).alias("s"), (zero if free_e else F.col("e")).alias("e"), "n")
+    if free_s or free_e:
+        points = points.groupBy("key", "s", "e").agg(F.sum("n").alias("n"))
+    if partners is not None or free_s or free_e:
+        points = stored_table(points)
+    asks, out, parts = spans.where("_asks"), spans, []
+    at = lambda b: F.lit(TOP) if b is None else F.col(b)
+    kinds = list(corners)
+    total = zero
+    for kind, on in enumerate(kinds):
+        rows = asks if len(on) == 2 else stored_table(asks.select("key", *on, *(b for b in ("low", "high", "least", "most") if any(b in c[1:3] for c in corners[on]))).distinct().withColumn("id", F.monotonically_increasing_id()))
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), at(s).alias("s"), at(e).alias("e")) for k, s, e, _ in corners[on])))
+        parts.append((on, rows, rows.select("key", "id", each.alias("c")).select("key", (F.col("id") * 16 + kind * 4 + F.col("c.k")).alias("query"), "c.s", "c.e")))
+    found = dominance.counts(points, functools.reduce(DataFrame.unionByName, [q for _, _, q in parts]))
+    negative = [kind * 4 + k for kind, on in enumerate(kinds) for k, _, _, sign in corners[on] if sign < 0]
+    signed = F.when((F.col("query") % 16).isin(*negative), -F.col("found")).otherwise(F.col("found"))
+    sums = found.groupBy(F.floor(F.col("query") / 16).cast("long").alias("id"), F.floor(F.col("query") % 16 / 4).cast("int").alias("_kind")).agg(F.sum(signed).alias("_sum"))
+    if len(parts) > 1:
+        sums = stored_table(sums)
+    for kind, (on, rows, _) in enumerate(parts):
+        mine = sums.where(F.col("_kind") == kind).select("id", F.col("_sum").alias(f"_m{kind}"))
+        if len(on) == 2:
+            out = out.join(mine, "id", "left")
+        else:
+            out = out.join(rows.join(mine, "id").select("key", *on, f"_m{kind}"), ["key", *on], "left")
+        total = total + F.coalesce(F.col(f"_m{kind}"), zero)
+    matches = F.when(F.col("_asks"), total).otherwise(zero)
+    return out.select(F.col("key").alias(key), F.col("_start").alias("start"), F.col("_end").alias("end"), "n", matches.cast("long").alias("matches"))
