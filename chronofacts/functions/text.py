@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .timeparse import DAY, strip
+from .timeparse import DAY, let, strip
 
 
 def clean_token(c: Column) -> Column:
@@ -117,7 +117,7 @@ def parse_event(c: Column) -> Column:
     """``head|relation|tail|start|end`` as a struct of trimmed parts; null unless there are five."""
     parts = F.transform(F.split(c, r"\|"), strip)
     names = ("head", "relation", "tail", "start", "end")
-    return F.when(F.size(parts) == 5, F.struct(*(F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names))))
+    return let(parts, lambda p: F.when(F.size(p) == 5, F.struct(*(F.get(p, F.lit(k)).alias(n) for k, n in enumerate(names)))))
 
 
 def event_string(*parts: Column) -> Column:
