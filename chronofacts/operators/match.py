@@ -22,11 +22,17 @@ INVERSE = {"part of": "has part", "has part": "part of", "spouse": "spouse of",
 REVERSED = ("winner",)
 
 
-def exact(patterns: DataFrame, facts: DataFrame) -> DataFrame:
+def kinds(patterns: DataFrame) -> set[str]:
+    """By which slot patterns are joined, of those that arise: head, tail, relation or none; four rows at most are collected. For stored patterns."""
+    slot = reduce(lambda out, s: F.when(~X.is_unknown(F.col(s)), s).otherwise(out), ("relation", "tail", "head"), F.lit("none"))
+    return {r["kind"] for r in patterns.select(slot.alias("kind")).distinct().collect()}
+
+
+def exact(patterns: DataFrame, facts: DataFrame, among: set[str] | None = None) -> DataFrame:
     """Facts of each pattern, with scores of 1 for each slot.
 
     Four equi joins: patterns with a known head join on it, then those with a known tail, then those with a known relation; what else is known
-    is a condition of the join. A pattern without any known slot matches all facts: a copy of it stands under each of ``SALTS`` keys, over which the facts are spread.
+    is a condition of the join; ``among`` names the ``kinds`` that arise, so that the other joins are left out. A pattern without any known slot matches all facts: a copy of it stands under each of ``SALTS`` keys, over which the facts are spread.
     """
     p = patterns.withColumns({f"q_{s}": F.when(~X.is_unknown(F.col(s)), F.col(s)) for s in SLOTS}).drop(*SLOTS)
     p = p.withColumn("anchor_type", X.anchor_type(*(F.col(f"q_{s}") for s in SLOTS)))
@@ -34,12 +40,13 @@ def exact(patterns: DataFrame, facts: DataFrame) -> DataFrame:
     same = lambda s: F.col(f"q_{s}") == F.col(s)
     free = lambda s: F.col(f"q_{s}").isNull() | same(s)
     spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*SLOTS), F.lit(SALTS)).cast("int"))
-    found = reduce(DataFrame.unionByName, [
-        facts.join(p.where(known("head")), same("head") & free("relation") & free("tail")),
-        facts.join(p.where(~known("head") & known("tail")), same("tail") & free("relation")),
-        facts.join(p.where(~known("head") & ~known("tail") & known("relation")), same("relation")),
-        spread.join(p.where(~known("head") & ~known("tail") & ~known("relation")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "_salt").drop("_salt"),
-    ]).drop(*(f"q_{s}" for s in SLOTS))
+    joins = {
+        "head": lambda: facts.join(p.where(known("head")), same("head") & free("relation") & free("tail")),
+        "tail": lambda: facts.join(p.where(~known("head") & known("tail")), same("tail") & free("relation")),
+        "relation": lambda: facts.join(p.where(~known("head") & ~known("tail") & known("relation")), same("relation")),
+        "none": lambda: spread.join(p.where(~known("head") & ~known("tail") & ~known("relation")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "_salt").drop("_salt"),
+    }
+    found = reduce(DataFrame.unionByName, [join() for kind, join in joins.items() if not among or kind in among]).drop(*(f"q_{s}" for s in SLOTS))
     one = F.lit(1.0)
     return found.withColumns({"h_sim": one, "r_sim": one, "t_sim": one, "score_sum": F.lit(3.0)})
 
@@ -73,15 +80,20 @@ def flipped(patterns: DataFrame, relation=None) -> DataFrame:
     return patterns.withColumns(columns)
 
 
-def exact_with_fallback(patterns: DataFrame, facts: DataFrame) -> DataFrame:
-    """Exact matches; where there are none, reversed ones for relations stored both ways, then those of the inverse relation."""
+def exact_with_fallback(patterns: DataFrame, facts: DataFrame, stored_patterns: bool = False) -> DataFrame:
+    """Exact matches; where there are none, reversed ones for relations stored both ways, then those of the inverse relation.
+
+    With ``stored_patterns``, which are cheap to read again, joins that no pattern asks for are left out.
+    """
     table = F.create_map(*(F.lit(x) for pair in INVERSE.items() for x in pair))
     inverse = F.try_element_at(table, F.col("relation"))
-    return first_of([
-        exact(patterns, facts),
-        exact(flipped(patterns.where(F.col("relation").isin(*REVERSED))), facts),
-        exact(flipped(patterns.where(inverse.isNotNull()), inverse), facts),
-    ])
+    asked = [patterns, flipped(patterns.where(F.col("relation").isin(*REVERSED))), flipped(patterns.where(inverse.isNotNull()), inverse)]
+    if not stored_patterns:
+        return first_of([exact(p, facts) for p in asked])
+    arise = [kinds(p) for p in asked]
+    if not any(arise[1:]):
+        return exact(patterns, facts, arise[0]).withColumn("branch", F.lit(0))
+    return first_of([exact(p, facts, among or {"head"}) for p, among in zip(asked, arise, strict=True)])
 
 
 def exact_or_similar(patterns: DataFrame, facts: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:

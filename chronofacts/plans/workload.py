@@ -710,7 +710,7 @@ a AS (SELECT a.head, a."end" AS ye FROM n a JOIN n q ON a.head = q.head AND a.n
 t AS (SELECT DISTINCT s.head, s.tail FROM s JOIN a ON s.head = a.head WHERE s."start" > ye) SELECT a.head AS qid, count(t.tail) AS n_answers, 'OK' AS status FROM a LEFT JOIN t ON a.head = t.head GROUP BY a.head""")
 def program_execute(spark: SparkSession, sf: str) -> DataFrame:
     """Link, compile and run one program for each supplier."""
-    compiled = programs.compile_cases(cases(spark, sf))
+    compiled = S.stored(programs.compile_cases(cases(spark, sf)))
     done = programs.execute_cases(compiled, supplies(spark, sf))
     return done.join(compiled.select(F.col("id").alias("qid"), "status"), "qid").select("qid", F.size("answers").cast("long").alias("n_answers"), "status")
 
