@@ -112,6 +112,7 @@ def parse_single_time_strict(c: Column) -> Column:
 #: The first that fits splits a text in two.
 _SPLITS = (rf"^({DAY})\s*-\s*({DAY})$", r"^(\d{4})\s*-\s*(\d{4})$", r"(?i)^(.+?)\s+to\s+(.+)$", r"^(.*?) - (.*)$")
 _DAYS, _YEARS, _TO, _DASH = _SPLITS
+_PLAIN_DAY, _PLAIN_DAYS = rf"\A{DAY}\z", rf"\A{DAY}-{DAY}\z"
 
 
 def _normalized(c: Column, clean: Callable[[Column], Column], month_first: bool) -> Column:
@@ -121,9 +122,16 @@ def _normalized(c: Column, clean: Callable[[Column], Column], month_first: bool)
             out = out.when(text.rlike(pattern), strip(_part(text, pattern, k)))
         return out.otherwise(text) if k == 1 else out
 
+    # The two forms that facts carry are read as they stand; only other texts are cleaned and split.
+    day = lambda x: F.try_to_date(x, "yyyy-MM-dd")
+    kind = lambda name: F.lit(name).cast("string")
+    single = let(day(c), lambda d: F.when(d.isNotNull(), F.struct(c.alias("raw"), d.alias("start"), d.alias("end"), kind("day").alias("granularity"), F.lit(False).alias("is_interval"))))
+    left, right = day(F.substring(c, 1, 10)), day(F.substring(c, 12, 10))
+    double = F.when(left.isNotNull() & right.isNotNull(), F.struct(c.alias("raw"), left.alias("start"), right.alias("end"), kind(None).alias("granularity"), F.lit(True).alias("is_interval")))
     # The sides as an array, parsed by one expression.
     times = let(clean(c), lambda text: F.transform(F.array(side(text, 1), side(text, 2)), lambda x: F.struct(x.isNotNull().alias("given"), _single(x, month_first).alias("t"))))
-    return let(times, lambda ts: F.when(F.get(ts, F.lit(1))["given"], _between(c, F.get(ts, F.lit(0))["t"], F.get(ts, F.lit(1))["t"])).otherwise(_point(c, F.get(ts, F.lit(0))["t"])))
+    written = let(times, lambda ts: F.when(F.get(ts, F.lit(1))["given"], _between(c, F.get(ts, F.lit(0))["t"], F.get(ts, F.lit(1))["t"])).otherwise(_point(c, F.get(ts, F.lit(0))["t"])))
+    return F.when(c.rlike(_PLAIN_DAY), single).when(c.rlike(_PLAIN_DAYS), double).otherwise(written)
 
 
 def normalize_time(c: Column) -> Column:
