@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.timeparse import coarsen, explicit_interval, let, normalize_time
-from ..sources.facts import stored
 from . import intervals, segments
 
 EVIDENCE = 20
@@ -53,14 +52,18 @@ def apply_constraints(plans: DataFrame, candidates: DataFrame, anchors: DataFram
     return joined.withColumn("passed", passed.cast("int")).drop("_tests")
 
 
+def _keeps() -> Column:
+    """How many candidates a ranking asks for."""
+    return F.when(F.coalesce("ranking.rank_k", F.lit(1)) == 1, FIRST_KEEPS).otherwise(F.col("ranking.rank_k"))
+
+
 def rank_candidates(candidates: DataFrame, key: str = "qid") -> DataFrame:
     """Those with a time, by its start in the ranking's direction and then by ``pos``, as many as it asks for; a k of 1 keeps three."""
     start = normalize_time(F.col("timestamp"))["start"]
     days = F.datediff("_start", F.lit("0001-01-01").cast("date"))
     by = F.when(F.lower("ranking.rank") == "desc", -days).otherwise(days)
-    keep = F.when(F.coalesce("ranking.rank_k", F.lit(1)) == 1, FIRST_KEEPS).otherwise(F.col("ranking.rank_k"))
     n = F.row_number().over(Window.partitionBy(key).orderBy("_by", "pos"))
-    return candidates.withColumn("_start", start).where("_start IS NOT NULL").withColumn("_by", by).withColumn("time_rank", n).where(F.col("time_rank") <= keep).drop("_start", "_by")
+    return candidates.withColumn("_start", start).where("_start IS NOT NULL").withColumn("_by", by).withColumn("time_rank", n).where(F.col("time_rank") <= _keeps()).drop("_start", "_by")
 
 
 def constrained(plans: DataFrame, candidates: DataFrame, anchors: DataFrame, cap: int = EVIDENCE, tested: DataFrame | None = None) -> DataFrame:
@@ -82,18 +85,24 @@ def evidence_stats(plans: DataFrame, candidates: DataFrame, anchors: DataFrame,
     """One row for each question: retrieved, survivors after each executed constraint, how many were executed, final count and reduction ratios.
 
     The step that empties the set counts as executed, later ones do not. Counts before the first constraint include repeats, those after it do not.
-    The tested candidates are stored, since both the steps and the final count read them.
+    All of it is counted from one row for each fact of a question, in one pass and without ranking anything.
     """
-    tested = stored(apply_constraints(plans, candidates, anchors)) if tested is None else tested
-    steps = tested.select("qid", "passed", F.struct("head", "relation", "tail", "timestamp").alias("fact"), F.explode(F.sequence(F.lit(0), F.size("constraints"))).alias("step"))
-    counts = steps.groupBy("qid", "step").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.when(F.col("passed") >= F.col("step"), F.col("fact"))).alias("facts"))
-    per = counts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("step", "rows", "facts"))).alias("s"))
-    after = F.transform(F.filter("s", lambda x: x["step"] > 0), lambda x: x["facts"])
+    tested = apply_constraints(plans, candidates, anchors) if tested is None else tested
+    ranked = F.col("ranking.rank").isNotNull()
+    most = F.when(ranked, F.least(F.lit(cap), _keeps())).otherwise(F.lit(cap))
+    stays = (F.col("passed") == F.size("constraints")) & (~ranked | F.col("_t.start").isNotNull())
+    # Rows of a fact agree in their time and so in how far they get: rows become facts once, whatever the number of steps.
+    facts = tested.groupBy("qid", "head", "relation", "tail", "timestamp").agg(F.max("passed").alias("passed"), F.max(F.size("constraints")).alias("n"), F.max(most).alias("most"), F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    left = F.when(F.col("stays"), F.when(F.col("n") == 0, F.col("rows")).otherwise(1)).otherwise(0)
+    far = facts.groupBy("qid", "passed").agg(F.max("n").alias("n"), F.max("most").alias("most"), F.sum("rows").alias("rows"), F.sum(left).alias("left"), F.count(F.lit(1)).alias("facts"))
+    per = far.groupBy("qid").agg(F.max("n").alias("n"), F.max("most").alias("most"), F.sum("rows").alias("rows"), F.sum("left").alias("left"), F.collect_list(F.struct("passed", "facts")).alias("s"))
+    reached = lambda k: F.aggregate("s", F.lit(0).cast("long"), lambda total, x: total + F.when(x["passed"] >= k, x["facts"]).otherwise(0))
+    after = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.col("n")), reached)).otherwise(F.array().cast("array<bigint>"))
     executed = F.when(F.array_position("after", 0) > 0, F.array_position("after", 0)).otherwise(F.size("after"))
-    final = _evidence(tested, cap).groupBy("qid").agg(F.count(F.lit(1)).alias("final_count"))
     ratio = lambda a, b: F.when(b > 0, (b - a) / b)
-    out = per.select("qid", F.get("s", F.lit(0))["rows"].alias("retrieved_count"), after.alias("after")).withColumn("executed_constraint_count", executed.cast("int"))
-    out = out.withColumn("after_counts", F.slice("after", F.lit(1), F.col("executed_constraint_count"))).drop("after").join(final, "qid", "left").fillna(0, ["final_count"])
+    final = F.greatest(F.lit(0).cast("long"), F.least("most", "left"))
+    out = per.select("qid", F.col("rows").alias("retrieved_count"), after.alias("after"), final.alias("final_count")).withColumn("executed_constraint_count", executed.cast("int"))
+    out = out.withColumn("after_counts", F.slice("after", F.lit(1), F.col("executed_constraint_count"))).drop("after")
     constrained_count = F.when(F.col("executed_constraint_count") > 0, F.element_at("after_counts", -1)).otherwise(F.col("retrieved_count"))
     return out.withColumn("constrained_count", constrained_count).withColumn("reduction_ratio", ratio(F.col("constrained_count"), F.col("retrieved_count"))).withColumn("final_reduction_ratio_from_retrieval", ratio(F.col("final_count"), F.col("retrieved_count")))
 
