@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as X
 from ..functions import timeparse as D
-from ..operators import answering, constraints, curate, evaluate, intervals, match, programs, rag, rank_join, segments, similarity
+from ..operators import answering, constraints, curate, evaluate, intervals, match, programs, rag, rank_scan, segments, similarity
 from ..sources import facts as S
 from ..streaming import facts as stream
 
@@ -529,8 +529,8 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(key("s", "l_suppkey").alias("head"), F.concat("l_returnflag", "l_linestatus").alias("relation"), key("p", "l_partkey").alias("tail")).distinct()
 
 
-def named_slots(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """For each slot (qid, name, sim): every name, by the inner product with the question's vector of that slot."""
+def named_slots(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """For each slot the questions' vectors (qid, v) and the names with theirs (name, v)."""
     e = table(spark, sf, "embeddings")
     n = e.count()
     e = e.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").alias("v"))
@@ -541,18 +541,15 @@ def named_slots(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "tail": table(spark, sf, "part").select(key("p", "p_partkey"), (F.col("p_partkey") % n).alias("vec_id")),
     }
     asked = {"head": F.col("vec_id"), "relation": (F.col("vec_id") * 7 + 1) % n, "tail": (F.col("vec_id") * 13 + 5) % n}
-    out = {}
-    for slot, vocabulary in names.items():
-        q = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), asked[slot].alias("vec_id")).join(e, "vec_id").select("query_id", "v")
-        found = similarity.scores(q, vocabulary.join(e, "vec_id").select(F.col("name").alias("id"), "v"))
-        out[slot] = found.select(F.col("query_id").alias("qid"), F.col("id").alias("name"), F.round(F.col("score") * 1_000_000).cast("long").alias("sim"))
-    return out
+    q = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    questions = {s: q.select(F.col("vec_id").alias("qid"), at.alias("vec_id")).join(e, "vec_id").select("qid", "v") for s, at in asked.items()}
+    return questions, {s: vocabulary.join(e, "vec_id").select("name", "v") for s, vocabulary in names.items()}
 
 
 @query("similarity_rank_join", f"WITH {_NAMED} SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score_sum DESC, head, relation, tail) <= 50")
 def similarity_rank_join(spark: SparkSession, sf: str) -> DataFrame:
     """The 50 best facts of each question by the sum of three similarities; all names are candidates."""
-    return rank_join.best_triples(named_slots(spark, sf), shipments(spark, sf), 50)[0]
+    return rank_scan.best_triples(*named_slots(spark, sf), shipments(spark, sf), 50)
 
 
 @query("exact_or_similar", f"""WITH {_NAMED},
@@ -566,7 +563,8 @@ def exact_or_similar(spark: SparkSession, sf: str) -> DataFrame:
     asked = F.when(F.col("vec_id") % 200 != 0, "no such part")
     p = e.select(F.col("vec_id").alias("qid"), F.concat(F.lit("s"), (F.col("vec_id") % 10 + 1).cast("string")).alias("head"), F.lit("RF").alias("relation"), asked.alias("tail"))
     f = shipments(spark, sf)
-    similar = lambda left: rank_join.best_triples({s: df.join(left.select("qid"), "qid") for s, df in named_slots(spark, sf).items()}, f, 50)[0]
+    questions, names = named_slots(spark, sf)
+    similar = lambda left: rank_scan.best_triples({s: df.join(left.select("qid"), "qid") for s, df in questions.items()}, names, f, 50)
     return match.exact_or_similar(p, f, similar).select("qid", "head", "relation", "tail", F.col("score_sum").cast("long").alias("score_sum"), "approximate")
 
 
