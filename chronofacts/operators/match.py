@@ -96,9 +96,12 @@ def exact_with_fallback(patterns: DataFrame, facts: DataFrame, stored_patterns:
     return first_of([exact(p, facts, among or {"head"}) for p, among in zip(asked, arise, strict=True)])
 
 
-def exact_or_similar(patterns: DataFrame, facts: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Exact matches; questions without any get what ``similar`` finds for them (given their patterns, it returns qid and the columns of ``exact``, cut to its cap)."""
-    found = stored(exact(patterns, facts))
+def exact_or_similar(patterns: DataFrame, facts: DataFrame, similar: Callable[[DataFrame], DataFrame], stored_patterns: bool = False) -> DataFrame:
+    """Exact matches; questions without any get what ``similar`` finds for them (given their patterns, it returns qid and the columns of ``exact``, cut to its cap).
+
+    With ``stored_patterns``, which are cheap to read again, joins that no pattern asks for are left out.
+    """
+    found = stored(exact(patterns, facts, kinds(patterns) if stored_patterns else None))
     left = patterns.join(found.select("qid").distinct(), "qid", "left_anti")
     return found.withColumn("approximate", F.lit(False)).unionByName(similar(left).withColumn("approximate", F.lit(True)), allowMissingColumns=True)
 

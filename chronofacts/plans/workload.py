@@ -525,8 +525,10 @@ j AS (SELECT qid, f.head, f.relation, f.tail, h.sim AS h_sim, r.sim AS r_sim, t.
 
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
+    """Made distinct by their keys, which are exchanged for less than the names made of them."""
     key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
-    return table(spark, sf, "lineitem").select(key("s", "l_suppkey").alias("head"), F.concat("l_returnflag", "l_linestatus").alias("relation"), key("p", "l_partkey").alias("tail")).distinct()
+    keys = table(spark, sf, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("relation"), "l_partkey").distinct()
+    return keys.select(key("s", "l_suppkey").alias("head"), "relation", key("p", "l_partkey").alias("tail"))
 
 
 def named_slots(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -562,10 +564,10 @@ def exact_or_similar(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
     asked = F.when(F.col("vec_id") % 200 != 0, "no such part")
     p = e.select(F.col("vec_id").alias("qid"), F.concat(F.lit("s"), (F.col("vec_id") % 10 + 1).cast("string")).alias("head"), F.lit("RF").alias("relation"), asked.alias("tail"))
-    f = shipments(spark, sf)
+    f = S.stored_table(shipments(spark, sf))
     questions, names = named_slots(spark, sf)
-    similar = lambda left: rank_scan.best_triples({s: df.join(left.select("qid"), "qid") for s, df in questions.items()}, names, f, 50)
-    return match.exact_or_similar(p, f, similar).select("qid", "head", "relation", "tail", F.col("score_sum").cast("long").alias("score_sum"), "approximate")
+    similar = lambda left: rank_scan.best_triples({s: df.join(left.select("qid"), "qid") for s, df in questions.items()}, names, f, 50, stored=True)
+    return match.exact_or_similar(S.stored_table(p), f, similar, stored_patterns=True).select("qid", "head", "relation", "tail", F.col("score_sum").cast("long").alias("score_sum"), "approximate")
 
 
 @query("swap_relax_cascade", _SCORES + """
