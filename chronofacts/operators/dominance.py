@@ -3,6 +3,7 @@
 For each query (s, e) of a key: how many of the key's points have a smaller s and a smaller e. Points and queries are dealt into columns by s and into rows by e
 (range exchanges, so a hot key has many of both; equal values stay together). What lies in an earlier column and an earlier row is the sum of whole cells, read
 from a running sum over the grid; the rest lies in the query's own column, or in its own row in an earlier column. Both are counted inside a strip, which is the size of a part and not of a key.
+Where only one of the two is asked for, a running sum over parts of keys (``segments``) is enough, and where neither is, a join.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.facts import stored_table
+from . import segments
 
 #: Rows of a strip, on average, that one Python task holds.
 STRIP_ROWS = 400_000
@@ -62,12 +64,28 @@ def _strip(by: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _on_a_line(points: DataFrame, queries: DataFrame, *axis: str) -> DataFrame:
+    """``counts`` by one axis, or by the key alone: a running sum over parts of keys, or a join. No row of it goes to Python."""
+    places = points.select("key", *axis, "n")
+    if axis:
+        places = places.unionByName(queries.select("key", *axis, F.lit(0).cast("long").alias("n"))).where("key IS NOT NULL")
+    found = places.groupBy("key", *axis).agg(F.sum("n").alias("n"))
+    if axis:
+        found = segments.bare(segments.running(segments.ranged(found, ["key"], axis), axis, inclusive=False, found=("sum", F.col("n"))).drop("n"))
+    else:
+        found = found.withColumnRenamed("n", "found")
+    return queries.join(found.where("found > 0"), ["key", *axis]).select("query", "found")
+
+
 def counts(points: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, found): ``points`` (key, s, e, n as longs), ``queries`` (key, query, s, e as longs; query unique, 0 or more). Queries that find nothing are left out.
 
-    A null key matches nothing. s and e of a point count when smaller than the query's. A strip holds about ``STRIP_ROWS`` rows, whatever the keys and the size of the tables;
+    A null key matches nothing. s and e of a point count when smaller than the query's; either or both may be missing from points and queries, and then nothing is asked of them. A strip holds about ``STRIP_ROWS`` rows, whatever the keys and the size of the tables;
     rows of a key that agree in s, or in e, stay together, so many of them should be one point or one query.
     """
+    axes = [a for a in ("s", "e") if a in points.columns]
+    if len(axes) < 2:
+        return _on_a_line(points, queries, *axes)
     none = F.lit(0).cast("long")
     both = points.select("key", "s", "e", "n", F.lit(-1).cast("long").alias("_query"), none.alias("found")).unionByName(queries.select("key", "s", "e", none.alias("n"), F.col("query").alias("_query"), none.alias("found"))).where("key IS NOT NULL")
     kind = both.schema["key"].dataType.simpleString()

@@ -132,50 +132,67 @@ def _bounded(facts: DataFrame, key: str, relation: str) -> DataFrame:
 
 #: A bound that is open above.
 TOP = 1 << 40
+_BOUNDS = ("low", "high", "least", "most")
 
 
-def _corners(relation: str) -> tuple[dict[tuple[str, ...], list[tuple[int, str | None, str | None, int]]], bool, bool]:
-    """The corners (number, bound of s, bound of e, sign) whose counts add up to a region's, by the days of the interval that they rest on; and whether nothing is asked of the partners' starts, or ends."""
-    bounds = REGIONS[relation](0, 100)
-    names = [n if x is not None else None for n, x in zip(("low", "high", "least", "most"), bounds, strict=True)]
-    low, high, least, most = names
-    used = [(high, most, 1)] + [(low, most, -1)] * (low is not None) + [(high, least, -1)] * (least is not None) + [(low, least, 1)] * (low is not None and least is not None)
-    moved = {day: dict(zip(names, REGIONS[relation](*at), strict=True)) for day, at in (("s", (7, 100)), ("e", (0, 107)))}
-    still = dict(zip(names, bounds, strict=True))
-    rests = lambda *of: tuple(day for day in ("s", "e") if any(b is not None and moved[day][b] != still[b] for b in of))
-    known = next(r for r in (rests(*names), ("e",)) if r)
+def _axes(relation: str) -> tuple[list[str], list[str]]:
+    """Of s and e: those that a relation fixes to one day of a partner, which can be part of the key, and those of which it asks a range. The only day asked for is a range."""
+    low, high, least, most = REGIONS[relation](0, 100)
+    asked = {a: ends for a, ends in (("s", (low, high)), ("e", (least, most))) if ends != (None, None)}
+    fixed = [a for a, (x, y) in asked.items() if len(asked) == 2 and x is not None and y == x + 1]
+    return fixed, [a for a in asked if a not in fixed]
+
+
+def _corners(relation: str) -> tuple[dict[tuple[str, ...], list[tuple[int, str | None, str | None, int]]], bool]:
+    """The corners (number, bound of s, bound of e, sign) whose counts add up to a region's, by the days of the interval that they rest on; and whether they are counted from above.
+
+    That is so for one range that is open above, which is one count from there and two from below.
+    """
+    fixed, ranged = _axes(relation)
+    bounds = dict(zip(_BOUNDS, REGIONS[relation](0, 100), strict=True))
+    ends = {"s": _BOUNDS[:2], "e": _BOUNDS[2:]}
+    low, high, least, most = (n if bounds[n] is not None and any(n in ends[a] for a in ranged) else None for n in _BOUNDS)
+    above = len(ranged) == 1 and high is None and most is None
+    if above:
+        used = [(low, least, 1)]
+    else:
+        used = [(high, most, 1)] + [(low, most, -1)] * (low is not None) + [(high, least, -1)] * (least is not None) + [(low, least, 1)] * (low is not None and least is not None)
+    moved = {day: dict(zip(_BOUNDS, REGIONS[relation](*at), strict=True)) for day, at in (("s", (7, 100)), ("e", (0, 107)))}
     found: dict[tuple[str, ...], list[tuple[int, str | None, str | None, int]]] = {}
     for k, (s, e, sign) in enumerate(used):
-        # A corner that rests on nothing, the whole key, is asked with one of the interval's days.
-        found.setdefault(rests(s, e) or known[:1], []).append((k, s, e, sign))
-    return found, low is None and high is None, least is None and most is None
+        on = [s, e, *(ends[a][0] for a in fixed)]
+        found.setdefault(tuple(day for day in ("s", "e") if any(b is not None and moved[day][b] != bounds[b] for b in on)), []).append((k, s, e, sign))
+    return found, above
 
 
 def relation_counts(facts: DataFrame, key: str, relation: str, partners: DataFrame | None = None) -> DataFrame:
     """(key, start, end, n, matches): a key's different intervals, how many facts have each, and to how many ``partners`` of the key (by default all facts, itself too) it stands in the relation.
 
     The join is counted, not made: the partners of an interval fill a range of starts and a range of ends, whose count is a sum of at most four counts of points below and
-    left of a corner (``dominance``); these are shared out over a grid, so no task holds a key. A corner that rests on one day of the interval is asked once for each such day of the key,
+    left of a corner (``dominance``); these are shared out over a grid, so no task holds a key. Where a relation fixes a start or an end, that day is part of the key and one range or none is left,
+    which needs no grid. A corner that rests on one day of the interval is asked once for each such day of the key,
     and days that nothing is asked of are summed up first, so that the rows of a key that share a place are as few as its days. A day that the relation asks for must not be null.
     """
     spans = stored_table(_bounded(facts, key, relation).withColumn("id", F.monotonically_increasing_id()))
     others = spans if partners is None else _bounded(partners.select(F.col(key), "start", "end"), key, relation)
-    corners, free_s, free_e = _corners(relation)
-    # Starts or ends that nothing asks for count as 0, and their open corner as TOP.
-    zero = F.lit(0).cast("long")
-    points = others.where("_takes").select("key", (zero if free_s else F.col("s")).alias("s"), (zero if free_e else F.col("e")).alias("e"), "n")
-    if free_s or free_e:
-        points = points.groupBy("key", "s", "e").agg(F.sum("n").alias("n"))
-    if partners is not None or free_s or free_e:
+    fixed, ranged = _axes(relation)
+    corners, above = _corners(relation)
+    first = {"s": "low", "e": "least"}
+    within = lambda days: F.struct("key", *(F.col(days[a]).alias(a) for a in fixed)).alias("key") if fixed else F.col("key")
+    points = others.where("_takes").select(within({"s": "s", "e": "e"}), *((-F.col(a) if above else F.col(a)).alias(a) for a in ranged), "n")
+    if len(fixed + ranged) < 2:
+        points = points.groupBy("key", *ranged).agg(F.sum("n").alias("n"))
+    if partners is not None or len(fixed + ranged) < 2:
         points = stored_table(points)
     asks, out, parts = spans.where("_asks"), spans, []
-    at = lambda b: F.lit(TOP) if b is None else F.col(b)
+    at = lambda b: F.lit(TOP) if b is None else 1 - F.col(b) if above else F.col(b)
     kinds = list(corners)
-    total = zero
+    total = zero = F.lit(0).cast("long")
     for kind, on in enumerate(kinds):
-        rows = asks if len(on) == 2 else stored_table(asks.select("key", *on, *(b for b in ("low", "high", "least", "most") if any(b in c[1:3] for c in corners[on]))).distinct().withColumn("id", F.monotonically_increasing_id()))
+        needed = [b for b in _BOUNDS if any(b in c[1:3] for c in corners[on]) or b in [first[a] for a in fixed]]
+        rows = asks if len(on) == 2 else stored_table(asks.select("key", *on, *needed).distinct().withColumn("id", F.monotonically_increasing_id()))
         each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), at(s).alias("s"), at(e).alias("e")) for k, s, e, _ in corners[on])))
-        parts.append((on, rows, rows.select("key", "id", each.alias("c")).select("key", (F.col("id") * 16 + kind * 4 + F.col("c.k")).alias("query"), "c.s", "c.e")))
+        parts.append((on, rows, rows.select(within(first), "id", each.alias("c")).select("key", (F.col("id") * 16 + kind * 4 + F.col("c.k")).alias("query"), *(f"c.{a}" for a in ranged))))
     found = dominance.counts(points, functools.reduce(DataFrame.unionByName, [q for _, _, q in parts]))
     negative = [kind * 4 + k for kind, on in enumerate(kinds) for k, _, _, sign in corners[on] if sign < 0]
     signed = F.when((F.col("query") % 16).isin(*negative), -F.col("found")).otherwise(F.col("found"))
