@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from functools import cache
@@ -61,7 +62,16 @@ def _fold_tables() -> tuple[str, str, str]:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "".join(one), "".join(other), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    # A class is a chain of ranges that Java tries one by one for every character. Blocks of ranges are entered by their span only, and plain ASCII enters none.
+    ranged = lambda a, b: f"\\x{{{a:x}}}-\\x{{{b:x}}}"
+    step = math.isqrt(len(ranges))
+    blocks = [ranges[k : k + step] for k in range(0, len(ranges), step)]
+    inside = "".join(f"[{ranged(b[0][0], b[-1][1])}&&[{''.join(ranged(*r) for r in b)}]]" for b in blocks)
+    return "".join(one), "".join(other), f"[{ranged(128, sys.maxunicode)}&&[{inside}]]"
+
+
+#: White space of Python's ``split`` in ASCII, and beyond it what NFKC leaves as it is.
+_BLANKS, _WIDE_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", "\x85\u1680\u2028\u2029"
 
 
 def with_folded(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -71,10 +81,13 @@ def with_folded(df: DataFrame, column: str, name: str) -> DataFrame:
     """
     one, other, several = _fold_tables()
     c = F.col(column)
-    plain, hard = c.rlike(r"^[\x00-\x7F]*$"), F.coalesce(c.rlike(several), F.lit(False))
-    mapped = F.regexp_replace(F.translate(c, one, other), "[ßẞ]", "ss")
-    spaced = lambda x: F.trim(F.regexp_replace(x, r"(?U)[\s\x1C-\x1F]+", " "))
-    easy = df.where(~hard).withColumn(name, F.when(plain, F.lower(spaced(c))).otherwise(spaced(F.translate(mapped, _UPPER, _UPPER.lower()))))
+    plain = F.octet_length(c) == F.length(c)
+    hard = F.coalesce(~plain & c.rlike(several), F.lit(False))
+    upper, blanks = _UPPER + _BLANKS + _WIDE_BLANKS, _UPPER.lower() + " " * len(_BLANKS + _WIDE_BLANKS)
+    folded = F.replace(F.replace(F.translate(c, one + upper, other + blanks), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    # Single spaces, most of all white space, stay where they are.
+    squeezed = F.regexp_replace(F.lower(c), r"[\t-\r\x1C-\x1F][\t-\r\x1C-\x1F ]*| [\t-\r\x1C-\x1F ]+", " ")
+    easy = df.where(~hard).withColumn(name, F.trim(F.when(plain, squeezed).otherwise(F.regexp_replace(folded, "  +", " "))))
     rest = df.where(hard)
     if rest.isEmpty():
         return easy
