@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,3 +212,73 @@ def relation_counts(facts: DataFrame, key: str, relation: str, partners: DataFra
         total = total + F.coalesce(F.col(f"_m{kind}"), zero)
     matches = F.when(F.col("_asks"), total).otherwise(zero)
     return out.select(F.col("key").alias(key), F.col("_start").alias("start"), F.col("_end").alias("end"), "n", matches.cast("long").alias("matches"))
+
+
+def _totals_inside(relation: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of one strip (key, tail, start, end): a row (key, pairs, tails) for each key that is surely whole, and the facts of the others as they are, with null ``pairs``.
+
+    The first and the last key of a strip may go on in the next one. A key with a null day is left to the others too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        coded = table["key"].combine_chunks().dictionary_encode()
+        names, key = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        cut, ends = np.zeros(len(names), bool), pc.min_max(names)
+        cut[pc.index_in(pa.array([ends["min"].as_py(), ends["max"].as_py()], names.type), value_set=names).to_numpy()] = True
+        cut[key[pc.or_(pc.is_null(table["start"]), pc.is_null(table["end"])).to_numpy()]] = True
+        left = table.filter(pa.array(cut[key])).combine_chunks()
+        nothing = lambda n, *kinds: [pa.nulls(n, kind) for kind in kinds]
+        for b in left.to_batches(max_chunksize=65_536):
+            yield pa.RecordBatch.from_arrays([*b.columns, *nothing(b.num_rows, pa.int64(), pa.int64())], names=[*b.schema.names, "pairs", "tails"])
+        whole = ~cut[key]
+        table, key = table.filter(pa.array(whole)), key[whole]
+        if not len(key):
+            return
+        s, e = (table[c].combine_chunks().cast(pa.int32()).to_numpy().astype(np.int64) for c in ("start", "end"))
+        low, high, least, most = REGIONS[relation](s, e)
+        places, days = np.unique(s), np.unique(e)
+        # Keys one after another, each by its places, as one number.
+        step = len(places) + 1
+        where = key * step + np.searchsorted(places, s)
+        order = np.argsort(where, kind="stable")
+        at = lambda bound, none: key * step + (none if bound is None else np.searchsorted(places, bound))
+        first, last = (np.searchsorted(where[order], x) for x in (at(low, 0), at(high, len(places))))
+        last = np.maximum(first, last)
+        ranks, ones = np.searchsorted(days, e)[order], np.ones(len(key), np.int64)
+        under = lambda bound: dominance.below(ranks, ones, first, last, np.searchsorted(days, bound))
+        found = (last - first if most is None else under(most)) - (0 if least is None else under(least))
+        if least is not None and most is not None:
+            found = np.where(least < most, found, 0)
+        pairs = np.zeros(len(names), np.int64)
+        np.add.at(pairs, key, found)
+        told = table["tail"].combine_chunks().dictionary_encode()
+        tail = told.indices.fill_null(-1).to_numpy().astype(np.int64)
+        count = len(told.dictionary) + 1
+        different = np.unique((key * count + tail)[(found > 0) & (tail >= 0)])
+        tails = np.bincount(different // count, minlength=len(names)).astype(np.int64)
+        met = np.flatnonzero(pairs)
+        out = [names.take(pa.array(met)), *nothing(len(met), *(table.schema.field(c).type for c in ("tail", "start", "end"))), pa.array(pairs[met]), pa.array(tails[met])]
+        yield pa.RecordBatch.from_arrays(out, names=["key", "tail", "start", "end", "pairs", "tails"])
+
+    return run
+
+
+def relation_totals(facts: DataFrame, key: str, tail: str, relation: str) -> DataFrame:
+    """(key, pairs, tails): how many pairs of a key's facts stand in the relation, each fact with itself too, and how many different tails their first facts have. Keys without pairs are left out.
+
+    Facts are dealt once, by key, into strips of about ``dominance.STRIP_ROWS`` rows, and a key that lies inside a strip is finished there. Only the facts of keys that a strip may cut, two for each
+    strip or one of any size, are counted over a grid (``relation_counts``), which deals them several times. Facts that agree in everything stay together.
+    """
+    rows = stored_table(facts.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(tail).alias("tail"), "start", "end"))
+    strips = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // dominance.STRIP_ROWS))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    done = stored_table(rows.repartitionByRange(strips, "key", "start", "end", "tail").mapInArrow(_totals_inside(relation), f"{kinds}, pairs long, tails long"))
+    cut = done.where("pairs IS NULL").select("key", "tail", "start", "end")
+    met = relation_counts(cut, "key", relation).where("matches > 0").drop("n")
+    met = met.select(*(F.col(c).alias(f"_{c}") for c in ("key", "start", "end")), "matches")
+    rest = cut.join(met, (F.col("key") == F.col("_key")) & F.col("start").eqNullSafe(F.col("_start")) & F.col("end").eqNullSafe(F.col("_end"))).groupBy("key").agg(F.sum("matches").alias("pairs"), F.countDistinct("tail").alias("tails"))
+    return done.where("pairs IS NOT NULL").select("key", "pairs", "tails").unionByName(rest).withColumnRenamed("key", key)
